@@ -17,5 +17,14 @@ def folded_line(pattern: str) -> str:
     return "(?i)" + pattern.replace(r"\b", r"(?U:\b)")
 
 
-def whole_file(pattern: str, flags: str = "") -> str:
-    return f"(?dU{flags}{'-u' if 'i' in flags else ''})" + pattern
+def whole_file(pattern: str, flags: str = "", starts: str = "") -> str:
+    """``starts`` lists the letters a match can begin with.
+
+    The JVM tries a pattern at every character; a class of first letters in front turns most
+    of them away before a look-behind or an alternation is tried.
+    """
+    ahead = ""
+    if starts:
+        letters = starts + starts.upper() if "i" in flags else starts
+        ahead = f"(?=[{letters}])"
+    return f"(?dU{flags}{'-u' if 'i' in flags else ''})" + ahead + pattern

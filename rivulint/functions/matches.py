@@ -4,6 +4,9 @@ Spark has no function for match positions.  A mark is put in front of every matc
 ``regexp_replace``; the places are then read off the marked text: the number of marks per
 line gives line numbers, the pieces between marks give offsets and surrounding text.  No row
 is exploded and nothing is shuffled; the work is linear in the text.
+
+The builders return SQL text rather than ``Column`` objects: the expressions are large and
+parsing one text is far cheaper than thousands of calls into the JVM.
 """
 
 from __future__ import annotations
@@ -11,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rivulint.functions.text import file_lines, let, newline_count
-
 MARK = "\x01"
 # A mark that occurs in the text itself is shown to the patterns as this other control
 # character; no pattern tells the two apart and no text is taken from the marked copy.
@@ -20,92 +21,97 @@ UNMARK = "\x02"
 BLOCK = 1024
 
 
-def searchable(content: Column) -> Column:
-    return F.replace(content, F.lit(MARK), F.lit(UNMARK))
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+LF, SPLIT_MARK = quoted("\n"), quoted(MARK)
+
+
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` inside ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def searchable(content: str) -> str:
+    return f"replace({content}, {SPLIT_MARK}, {quoted(UNMARK)})"
 
 
-def mark_matches(content: Column, pattern: str) -> Column:
-    return F.regexp_replace(searchable(content), pattern, MARK + "$0")
+def mark_matches(content: str, pattern: str) -> str:
+    return f"regexp_replace({searchable(content)}, {quoted(pattern)}, {quoted(MARK + '$0')})"
 
 
-def match_lines(marked: Column) -> Column:
+def has_mark(marked: str) -> str:
+    return f"contains({marked}, {SPLIT_MARK})"
+
+
+def groups_of(content: str, pattern: str, group: int) -> str:
+    return f"regexp_extract_all({searchable(content)}, {quoted(pattern)}, {group})"
+
+
+def match_lines(marked: str) -> str:
     """1-based line of every match, in order."""
+    return (
+        f"flatten(transform(split({marked}, {LF}, -1), (ln, ix) -> array_repeat("
+        f"ix + 1, length(ln) - length(replace(ln, {SPLIT_MARK}, '')))))"
+    )
+
+
+def newline_count(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, {LF}, '')))"
+
 
-    def lines_of(line: Column, index: Column) -> Column:
-        marks = F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))
-        return F.array_repeat((index + 1).cast("int"), marks)
+def line_after(prefix: str) -> str:
+    return f"({newline_count(prefix)} + 1)"
 
-    return F.flatten(F.transform(file_lines(marked), lines_of))
+
+def _fold(values: str) -> str:
+    return (
+        f"aggregate({values}, named_struct('total', 0, 'out', cast(array() as array<int>)), "
+        "(st, v) -> named_struct('total', st.total + v, "
+        "'out', concat(st.out, array(st.total + v))), st -> st.out)"
+    )
 
 
-def prefix_sums(numbers: Column) -> Column:
+def prefix_sums(numbers: str) -> str:
     """Running totals of an int array, folded block by block so that copying stays linear."""
+    block = _fold(f"slice(nums, blk * {BLOCK} + 1, {BLOCK})")
+    blocks = f"transform(sequence(0, cast(ceil(size(nums) / {BLOCK}) as int) - 1), blk -> {block})"
+    ends = _fold("transform(blks, b -> element_at(b, -1))")
+    joined = (
+        f"flatten(zip_with(blks, concat(array(0), slice({ends}, 1, size(blks) - 1)), "
+        "(b, base) -> transform(b, v2 -> v2 + base)))"
+    )
+    long_form = let(blocks, "blks", joined)
+    return let(
+        numbers, "nums",
+        f"if(size(nums) <= {BLOCK}, {_fold('nums')}, {long_form})",
+    )
+
 
-    def fold(values: Column) -> Column:
-        start = F.struct(
-            F.lit(0).cast("int").alias("total"),
-            F.array().cast("array<int>").alias("out"),
-        )
-
-        def step(state: Column, value: Column) -> Column:
-            total = (state["total"] + value).cast("int")
-            return F.struct(
-                total.alias("total"), F.concat(state["out"], F.array(total)).alias("out")
-            )
-
-        return F.aggregate(values, start, step, lambda state: state["out"])
-
-    def joined(blocks: Column) -> Column:
-        ends = F.transform(blocks, lambda block: F.element_at(block, -1))
-        starts = F.concat(F.array(F.lit(0)), F.slice(fold(ends), F.lit(1), F.size(blocks) - 1))
-        return F.flatten(
-            F.zip_with(blocks, starts, lambda block, base: F.transform(block, lambda v: v + base))
-        )
-
-    def blocked(values: Column) -> Column:
-        count = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
-        blocks = F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda b: fold(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))),
-        )
-        return F.when(
-            F.size(values) <= BLOCK, fold(values)
-        ).otherwise(let(blocks, joined))
-
-    return let(numbers, blocked)
-
-
-def located_matches(content: Column, pattern: str) -> Column:
-    """array<struct<match_no, start_at, line, text>> of all non-overlapping matches."""
+def located_matches(content: str, pattern: str) -> Column:
+    """array<struct<match_no, start_at, line, text>> of all matches, NULL without any."""
     marked = mark_matches(content, pattern)
-    texts = F.regexp_extract_all(searchable(content), F.lit(pattern), F.lit(0))
-
-    def build(segments: Column) -> Column:
-        before = F.slice(segments, F.lit(1), F.size(segments) - 1)
-        offsets = prefix_sums(F.transform(before, lambda s: F.length(s)))
-        lines = prefix_sums(F.transform(before, lambda s: newline_count(s).cast("int")))
-        places = F.zip_with(
-            offsets, lines,
-            lambda o, n: F.struct(o.alias("start_at"), (n + 1).cast("int").alias("line")),
-        )
-        return F.transform(
-            F.zip_with(places, texts, lambda p, t: F.struct(p.alias("p"), t.alias("t"))),
-            lambda m, i: F.struct(
-                (i + 1).cast("int").alias("match_no"),
-                m["p"]["start_at"].alias("start_at"),
-                m["p"]["line"].alias("line"),
-                m["t"].alias("text"),
-            ),
-        )
-
-    # Without a match the text is one segment and the array is NULL.
-    return let(
-        F.split(marked, MARK, -1),
-        lambda segments: F.when(F.size(segments) > 1, build(segments)),
+    texts = groups_of(content, pattern, 0)
+    before = "slice(segs, 1, size(segs) - 1)"
+    offsets = prefix_sums(f"transform({before}, s -> length(s))")
+    lines = prefix_sums(f"transform({before}, s -> {newline_count('s')})")
+    places = (
+        f"zip_with({offsets}, {lines}, "
+        "(o, n) -> named_struct('start_at', o, 'line', n + 1))"
+    )
+    found = (
+        f"transform(zip_with({places}, {texts}, (p, t) -> named_struct('p', p, 't', t)), "
+        "(m, i) -> named_struct('match_no', i + 1, 'start_at', m.p.start_at, "
+        "'line', m.p.line, 'text', m.t))"
     )
+    return F.expr(let(
+        f"split({marked}, {SPLIT_MARK}, -1)", "segs",
+        f"case when size(segs) > 1 then {found} end",
+    ))
 
 
-def surroundings(marked: Column, before: int, after: int, shortest: int) -> Column:
+def surroundings(marked: str, before: int, after: int, shortest: int) -> str:
     """Text from ``before`` characters ahead of each match start to ``after`` behind it.
 
     Every match has at least ``shortest`` characters, so only a fixed number of neighbouring
@@ -113,27 +119,16 @@ def surroundings(marked: Column, before: int, after: int, shortest: int) -> Colu
     """
     n_after = -(-after // shortest) + 1
     n_before = -(-before // shortest) + 1
-
-    def build(segments: Column) -> Column:
-        heads = F.transform(segments, lambda s: F.left(s, F.lit(after)))
-        tails = F.transform(segments, lambda s: F.right(s, F.lit(before)))
-        order = F.sequence(F.lit(1), F.size(segments) - 1)
-
-        def window(i: Column, heads: Column, tails: Column) -> Column:
-            right = F.left(F.array_join(F.slice(heads, i + 1, F.lit(n_after)), ""), F.lit(after))
-            if before == 0:
-                return right
-            first = F.greatest(F.lit(1), i + 1 - n_before)
-            left = F.array_join(F.slice(tails, first, i + 1 - first), "")
-            return F.concat(F.right(left, F.lit(before)), right)
-
-        return let(
-            heads,
-            lambda h: let(tails, lambda t: F.transform(order, lambda i: window(i, h, t))),
-        )
-
-    return let(F.split(marked, MARK, -1), build)
-
-
-def line_of_prefix(prefix: Column) -> Column:
-    return (newline_count(prefix) + 1).cast("int")
+    heads = f"transform(segs, s -> left(s, {after}))"
+    right = f"left(array_join(slice(heads, k + 1, {n_after}), ''), {after})"
+    if before == 0:
+        window = f"transform(sequence(1, size(segs) - 1), k -> {right})"
+        return let(f"split({marked}, {SPLIT_MARK}, -1)", "segs", let(heads, "heads", window))
+    tails = f"transform(segs, s -> right(s, {before}))"
+    first = f"greatest(1, k + 1 - {n_before})"
+    left = f"right(array_join(slice(tails, {first}, k + 1 - {first}), ''), {before})"
+    window = f"transform(sequence(1, size(segs) - 1), k -> concat({left}, {right}))"
+    return let(
+        f"split({marked}, {SPLIT_MARK}, -1)", "segs",
+        let(heads, "heads", let(tails, "tails", window)),
+    )

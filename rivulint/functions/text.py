@@ -13,11 +13,6 @@ REPLACEMENT = "\ufffd"
 KEEP_REPLACEMENT = "\ue000\uf8ff\ue001\uf8fe\ue002"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def trim_white(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from rivulint.functions.dialect import whole_file
 from rivulint.functions.matches import (
-    MARK, line_of_prefix, mark_matches, match_lines, searchable, surroundings,
+    LF, groups_of, has_mark, let, line_after, mark_matches, match_lines, quoted, surroundings,
+)
+from rivulint.functions.text import (
+    WHITE, file_lines, newline_count, trim_white, unix_newlines,
 )
-from rivulint.functions.text import file_lines, let, newline_count, trim_white, unix_newlines
 from rivulint.operators.detect import review_files
 from rivulint.rules import fixed_values as fv
 from rivulint.schema import as_findings
@@ -21,235 +23,208 @@ from rivulint.schema import as_findings
 HIT = "struct<rule_id:string,line:int,match_no:int,word:string,severity:string>"
 SNIPPET_WIDTH = 300
 ALL_CHECKS = [f"RV-{n:02d}" for n in range(1, 24)]
+NO_LINES = "cast(array() as array<int>)"
 
 
-def _hit(rule_id, line, number, word=None, severity=None) -> Column:
-    return F.struct(
-        F.lit(rule_id).alias("rule_id"),
-        line.cast("int").alias("line"),
-        number.cast("int").alias("match_no"),
-        (F.lit("") if word is None else word).alias("word"),
-        (F.lit(None).cast("string") if severity is None else severity).alias("severity"),
+def _hit(rule_id, line, number="1", word="''", severity="cast(null as string)") -> str:
+    return (
+        f"named_struct('rule_id', {quoted(rule_id)}, 'line', {line}, 'match_no', {number}, "
+        f"'word', {word}, 'severity', {severity})"
     )
 
 
-def _any(low: Column, *words: str) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | low.contains(word)
-    return found
-
-
-def _attach(items: Column, values: Column, name: str) -> Column:
-    return F.zip_with(items, values, lambda item, value: item.withField(name, value))
+def _any(text: str, *words: str) -> str:
+    return "(" + " or ".join(f"contains({text}, {quoted(w)})" for w in words) + ")"
 
 
-def _per_match(rule_id, content, pattern, *, group=None, keep=None, window=None,
-               word=None, severity_of=None):
-    """Hits for every match.
+def _per_match(rule_id, pattern, *, group=None, word=None, keep=None, window=None,
+               severity=None) -> str:
+    """Hits for every match of a pattern in ``text``.
 
-    ``group`` names the capture group giving the word; ``keep`` is a test on the match text
-    (or on the window when one is asked for); ``window`` is (before, after, shortest match).
+    ``group`` is the capture group giving the word and ``word`` an expression over it (``w``)
+    or, without a group, the word itself; ``keep`` is a test on the match text ``t`` (on the
+    window around the match when one is given as (before, after, shortest match));
+    ``severity`` is an expression over the second group ``v``.
     """
-
-    def build(marked: Column) -> Column:
-        items = F.transform(match_lines(marked), lambda n: F.struct(n.alias("line")))
-        for name, values in extras(marked):
-            items = _attach(items, values, name)
-        numbered = F.transform(items, lambda x, i: x.withField("no", i + 1))
-        if keep is not None:
-            field = "around" if window is not None else "text"
-            numbered = F.filter(numbered, lambda x: keep(x[field]))
-
-        def to_hit(x: Column) -> Column:
-            if word is not None:
-                found = word(x["word"]) if group is not None else F.lit(word)
-            else:
-                found = x["word"] if group is not None else None
-            severity = severity_of(x["value"]) if severity_of is not None else None
-            return _hit(rule_id, x["line"], x["no"], found, severity)
-
-        return F.transform(numbered, to_hit)
-
-    def extras(marked: Column):
-        same = searchable(content)
-        if group is not None:
-            yield "word", F.regexp_extract_all(same, F.lit(pattern), F.lit(group))
-        if severity_of is not None:
-            yield "value", F.regexp_extract_all(same, F.lit(pattern), F.lit(2))
-        if window is not None:
-            yield "around", surroundings(marked, *window)
-        elif keep is not None:
-            yield "text", F.regexp_extract_all(same, F.lit(pattern), F.lit(0))
-
+    arrays = {"line": match_lines("marked")}
+    if group is not None:
+        arrays["w"] = groups_of("text", pattern, group)
+    if severity is not None:
+        arrays["v"] = groups_of("text", pattern, 2)
+    if window is not None:
+        arrays["t"] = surroundings("marked", *window)
+    elif keep is not None:
+        arrays["t"] = groups_of("text", pattern, 0)
+    names = list(arrays)
+    if len(names) == 1:
+        items = f"transform({arrays['line']}, l -> named_struct('line', l))"
+    else:
+        items = "arrays_zip(" + ", ".join(arrays.values()) + ")"
+    fields = ", ".join(f"'{n}', it" + (".line" if len(names) == 1 else f".`{i}`")
+                       for i, n in enumerate(names))
+    items = f"transform({items}, (it, ix) -> named_struct('no', ix + 1, {fields}))"
+    if keep is not None:
+        items = f"filter({items}, m -> {keep('m.t')})"
+    found = quoted("") if word is None else word
+    if group is not None:
+        found = "m.w" if word is None else word("m.w")
+    rank = "cast(null as string)" if severity is None else severity("m.v")
+    hits = f"transform({items}, m -> {_hit(rule_id, 'm.line', 'm.no', found, rank)})"
     return let(
-        mark_matches(content, pattern),
-        lambda marked: F.when(marked.contains(MARK), build(marked)),
+        mark_matches("text", pattern), "marked",
+        f"case when {has_mark('marked')} then {hits} end",
     )
 
 
-def _function_call(names: list[str], flags: str = "") -> str:
-    return whole_file(fv.NB + "(" + "|".join(names) + r")\s*\(", flags)
-
+def _matches(text: str, pattern: str) -> str:
+    return f"({text} rlike {quoted(pattern)})"
 
-def _sql_checks(content: Column, wanted: set[str]) -> Column:
-    """RV-01 on the first match of a line; RV-02 on lines without it, unless prepared."""
-    direct = whole_file(fv.REVIEW_PATTERNS["RV-01"], "is")
-    dynamic = whole_file(fv.REVIEW_PATTERNS["RV-02"], "is")
 
-    def lines_of(pattern: str) -> Column:
-        return F.array_distinct(match_lines(mark_matches(content, pattern)))
+def _function_call(names: list[str], flags: str = "") -> str:
+    starts = "".join(dict.fromkeys(n[0] for n in names))
+    return whole_file(fv.NB + "(" + "|".join(names) + r")\s*\(", flags, starts)
 
-    def unprepared_lines(marked: Column) -> Column:
-        pairs = F.zip_with(
-            match_lines(marked), surroundings(marked, 200, 400, 8),
-            lambda n, around: F.struct(n.alias("line"), around.alias("around")),
-        )
-        open_ones = F.filter(
-            pairs,
-            lambda p: ~(p["around"].contains("prepare(") & p["around"].contains("bind_param")),
-        )
-        return F.array_distinct(F.transform(open_ones, lambda p: p["line"]))
-
-    def both(first_lines: Column) -> Column:
-        second = let(
-            mark_matches(content, dynamic),
-            lambda m: F.when(
-                m.contains(MARK), F.array_except(unprepared_lines(m), first_lines)
-            ).otherwise(F.array().cast("array<int>")),
-        )
-        parts = []
-        if "RV-01" in wanted:
-            parts.append(F.transform(first_lines, lambda n: _hit("RV-01", n, F.lit(1))))
-        if "RV-02" in wanted:
-            parts.append(F.transform(second, lambda n: _hit("RV-02", n, F.lit(1))))
-        return F.concat(*parts)
 
-    return let(lines_of(direct), both)
+def _sql_checks(wanted: set[str]) -> str:
+    """RV-01 on the first match of a line; RV-02 on lines without it, unless prepared."""
+    direct = whole_file(fv.REVIEW_PATTERNS["RV-01"], "is", "siudr")
+    dynamic = whole_file(fv.REVIEW_PATTERNS["RV-02"], "is", "siudr")
+    first = f"array_distinct({match_lines(mark_matches('text', direct))})"
+    pairs = f"arrays_zip({match_lines('dyn')}, {surroundings('dyn', 200, 400, 8)})"
+    # The fields of arrays_zip over expressions are named 0, 1, ...
+    unprepared = (
+        f"array_distinct(transform(filter({pairs}, p -> not (contains(p.`1`, 'prepare(') "
+        "and contains(p.`1`, 'bind_param'))), p -> p.`0`))"
+    )
+    second = let(
+        mark_matches("text", dynamic), "dyn",
+        f"case when {has_mark('dyn')} then array_except({unprepared}, direct_lines) "
+        f"else {NO_LINES} end",
+    )
+    parts = []
+    if "RV-01" in wanted:
+        parts.append(f"transform(direct_lines, n -> {_hit('RV-01', 'n')})")
+    if "RV-02" in wanted:
+        parts.append(f"transform({second}, n -> {_hit('RV-02', 'n')})")
+    return let(first, "direct_lines", f"concat({', '.join(parts)})")
 
 
-def _command_check(content: Column, name: str) -> Column:
+def _command_check(name: str) -> str:
     """RV-06 for one function: its first call with request data and ``)`` later in the file.
 
     The greedy pattern runs to the last ``)``, so a file has at most one match, and it starts
     at the first call whenever there is one.
     """
-    call = f"(?dUi-u:{fv.NB}{name}" + r"\s*\()"
-    split_at_call = f"(?s)^(.*?){call}(.*)$"
+    call = f"(?dUi-u:(?=[{name[0]}{name[0].upper()}]){fv.NB}{name}" + r"\s*\()"
+    split_at_call = quoted(f"(?s)^(.*?){call}(.*)$")
     reaches = whole_file(fv.REQ + r"[^)]*\)", "i")
-
-    def build(prefix: Column) -> Column:
-        rest = F.regexp_extract(content, split_at_call, 2)
-        return F.when(
-            rest.rlike(reaches),
-            F.array(_hit("RV-06", line_of_prefix(prefix), F.lit(1), F.lit(name))),
-        )
-
-    return let(F.regexp_extract(content, split_at_call, 1), build)
+    hit = _hit("RV-06", line_after("prefix"), word=quoted(name))
+    return let(
+        f"regexp_extract(text, {split_at_call}, 1)", "prefix",
+        f"case when {_matches(f'regexp_extract(text, {split_at_call}, 2)', reaches)} "
+        f"then array({hit}) end",
+    )
 
 
-def _csrf_check(content: Column, low: Column) -> Column:
+def _csrf_check() -> str:
     """RV-21: at most one per file, at the first complete form tag, else on line 1."""
     form = fv.REVIEW_PATTERNS["RV-21"]
-    complete = "(?s)^(.*?)" + whole_file(form + "[^>]*>", "i")
-    return F.when(
-        content.rlike(whole_file(form, "i")) & ~low.contains("csrf"),
-        F.array(_hit("RV-21", line_of_prefix(F.regexp_extract(content, complete, 1)), F.lit(1))),
+    complete = quoted("(?s)^(.*?)" + whole_file(form + "[^>]*>", "i"))
+    line = let(f"regexp_extract(text, {complete}, 1)", "prefix", line_after("prefix"))
+    return (
+        f"case when {_matches('text', whole_file(form, 'i'))} and not contains(low, 'csrf') "
+        f"then array({_hit('RV-21', line)}) end"
     )
 
 
-def next_statement(lines: Column, index: Column, reach: int = 3) -> Column:
+def next_statement(lines: str, index: str, reach: int = 3) -> str:
     """The first line that is no blank and no comment among the ``reach`` after 0-based index."""
-    ahead = F.transform(F.slice(lines, index + 2, F.lit(reach)), trim_white)
-    return F.get(
-        F.filter(ahead, lambda s: (s != "") & ~s.startswith("//") & ~s.startswith("#")),
-        F.lit(0),
+    strip = quoted(f"^{WHITE}+|{WHITE}+$")
+    ahead = (
+        f"transform(slice({lines}, {index} + 2, {reach}), s -> regexp_replace(s, {strip}, ''))"
+    )
+    return (
+        f"get(filter({ahead}, s -> s != '' and not startswith(s, '//') "
+        "and not startswith(s, '#')), 0)"
     )
 
 
-def _redirect_check(content: Column) -> Column:
+def _redirect_check() -> str:
     """RV-23: a Location header whose next statement within three lines is no exit or die."""
     header = whole_file(fv.REVIEW_PATTERNS["RV-23"], "i")
-
-    def build(lines: Column) -> Column:
-        numbered = F.transform(
-            lines,
-            lambda s, i: F.when(
-                s.rlike(header),
-                F.struct((i + 1).alias("line"), next_statement(lines, i).alias("next")),
-            ),
-        )
-        open_ones = F.filter(
-            F.array_compact(numbered),
-            lambda x: ~F.coalesce(x["next"].rlike(whole_file(fv.EXIT_CALL)), F.lit(False)),
-        )
-        return F.transform(open_ones, lambda x: _hit("RV-23", x["line"], F.lit(1)))
-
-    return let(file_lines(content), build)
+    numbered = (
+        f"transform(lines, (s, i) -> case when {_matches('s', header)} then "
+        f"named_struct('line', i + 1, 'next', {next_statement('lines', 'i')}) end)"
+    )
+    ended = f"coalesce({_matches('x.next', whole_file(fv.EXIT_CALL))}, false)"
+    open_ones = f"filter(array_compact({numbered}), x -> not {ended})"
+    return let(
+        f"split(text, {LF}, -1)", "lines",
+        f"transform({open_ones}, x -> {_hit('RV-23', 'x.line')})",
+    )
 
 
-def check_arrays(content: Column, low: Column, wanted: set[str]) -> list[Column]:
-    """One array of hits (or NULL) per check."""
-    req = low.contains("$_")
+def check_arrays(wanted: set[str]) -> list[str]:
+    """SQL of one array of hits (or NULL) per check, over the columns text and low."""
+    req = "contains(low, '$_')"
     texts = fv.REVIEW_PATTERNS
-    every: list[tuple[str, Column, Column]] = []
+    every: list[str] = []
 
-    def add(rule_id: str, gate: Column, hits) -> None:
+    def add(rule_id: str, gate: str, hits: str) -> None:
         if rule_id in wanted:
-            every.append((rule_id, gate, hits()))
+            every.append(f"case when {gate} then {hits} end")
 
-    def simple(rule_id: str, gate: Column, flags: str, **more) -> None:
+    def simple(rule_id: str, gate: str, flags: str, starts: str = "", **more) -> None:
         add(rule_id, gate,
-            lambda: _per_match(rule_id, content, whole_file(texts[rule_id], flags), **more))
+            _per_match(rule_id, whole_file(texts[rule_id], flags, starts), **more))
 
-    sql_word = _any(low, "select", "insert", "update", "delete", "replace", "union")
     if wanted & {"RV-01", "RV-02"}:
-        every.append(("RV-01", sql_word & low.contains("$"), _sql_checks(content, wanted)))
+        gate = _any("low", "select", "insert", "update", "delete", "replace", "union")
+        every.append(f"case when contains(low, '$') and {gate} then {_sql_checks(wanted)} end")
     safe = whole_file(fv.XSS_SAFE, "i")
-    simple("RV-03", req & _any(low, "echo", "print"), "i", keep=lambda t: ~t.rlike(safe))
-    simple("RV-04", req & low.contains("<?="), "i")
-    add("RV-05", _any(content, *fv.DANGEROUS_FUNCS),
-        lambda: _per_match("RV-05", content, _function_call(fv.DANGEROUS_FUNCS), group=1))
+    simple("RV-03", f"{req} and {_any('low', 'echo', 'print')}", "i", "ep",
+           keep=lambda t: f"not {_matches(t, safe)}")
+    simple("RV-04", f"{req} and contains(low, '<?=')", "i")
+    add("RV-05", _any("text", *fv.DANGEROUS_FUNCS),
+        _per_match("RV-05", _function_call(fv.DANGEROUS_FUNCS), group=1))
     for name in fv.COMMAND_FUNCS:
-        add("RV-06", req & low.contains(name), lambda name=name: _command_check(content, name))
-    add("RV-07", content.contains("mysql_"),
-        lambda: _per_match("RV-07", content, _function_call(fv.REMOVED_MYSQL_FUNCS), group=1))
-    add("RV-08", _any(low, *fv.REMOVED_FUNCS),
-        lambda: _per_match("RV-08", content, _function_call(list(fv.REMOVED_FUNCS), "i"),
-                           group=1, word=F.lower))
-    simple("RV-09", req & _any(low, "include", "require"), "i", group=1)
-    simple("RV-10", req & low.contains("location:"), "i")
+        add("RV-06", f"{req} and contains(low, '{name}')", _command_check(name))
+    add("RV-07", "contains(text, 'mysql_')",
+        _per_match("RV-07", _function_call(fv.REMOVED_MYSQL_FUNCS), group=1))
+    add("RV-08", _any("low", *fv.REMOVED_FUNCS),
+        _per_match("RV-08", _function_call(list(fv.REMOVED_FUNCS), "i"), group=1,
+                   word=lambda w: f"lower({w})"))
+    simple("RV-09", f"{req} and {_any('low', 'include', 'require')}", "i", "ir", group=1)
+    simple("RV-10", f"{req} and contains(low, 'location:')", "i", "h")
     for name in fv.FILE_FUNCS:
-        pattern = whole_file(fv.NB + name + r"\s*\([^)]*" + fv.REQ + r"[^)]*\)", "i")
-        add("RV-11", req & low.contains(name) & _any(content, "..", "dirname"),
-            lambda name=name, pattern=pattern: _per_match(
-                "RV-11", content, pattern, word=name, window=(0, 150, len(name) + 7),
-                keep=lambda w: w.contains("..") | w.contains("dirname")))
+        pattern = whole_file(fv.NB + name + r"\s*\([^)]*" + fv.REQ + r"[^)]*\)", "i", name[0])
+        add("RV-11", f"{req} and contains(low, '{name}') and {_any('text', '..', 'dirname')}",
+            _per_match("RV-11", pattern, word=quoted(name), window=(0, 150, len(name) + 7),
+                       keep=lambda w: _any(w, "..", "dirname")))
     password = whole_file(fv.PASSWORD_WORD, "i")
-    simple("RV-12", _any(low, "md5", "sha1") & _any(low, "pass", "pwd"), "i", group=1,
-           window=(0, 120, 4), keep=lambda w: w.rlike(password))
-    simple("RV-13", low.contains("$row") & low.contains("=="), "i")
-    simple("RV-14", content.contains("@"), "")
-    add("RV-15", _any(content, *fv.DEBUG_FUNCS),
-        lambda: _per_match("RV-15", content, _function_call(fv.DEBUG_FUNCS), group=1))
-    simple("RV-16", _any(low, "pass", "pwd", "secret", "key", "token"), "i", group=1,
-           severity_of=lambda v: F.when(
-               F.lower(v).isin(fv.PLACEHOLDER_SECRETS), F.lit("LOW")))
-    simple("RV-17", _any(low, "encrypt", "secret"), "im")
+    simple("RV-12", f"{_any('low', 'md5', 'sha1')} and {_any('low', 'pass', 'pwd')}", "i", "ms",
+           group=1, window=(0, 120, 4), keep=lambda w: _matches(w, password))
+    simple("RV-13", "contains(low, '$row') and contains(low, '==')", "i", "=$")
+    simple("RV-14", "contains(text, '@')", "")
+    add("RV-15", _any("text", *fv.DEBUG_FUNCS),
+        _per_match("RV-15", _function_call(fv.DEBUG_FUNCS), group=1))
+    placeholders = ", ".join(quoted(p) for p in fv.PLACEHOLDER_SECRETS)
+    simple("RV-16", _any("low", "pass", "pwd", "secret", "key", "token"), "i", "psa", group=1,
+           severity=lambda v: f"case when lower({v}) in ({placeholders}) then 'LOW' end")
+    simple("RV-17", _any("low", "encrypt", "secret"), "im")
     token = whole_file(fv.TOKEN_WORD, "i")
-    add("RV-18", _any(content, "rand", "uniqid") & _any(low, "token", "pass", "secret", "api",
-                                                        "auth"),
-        lambda: _per_match("RV-18", content, _function_call(fv.WEAK_RANDOM_FUNCS), group=1,
-                           window=(80, 80, 5), keep=lambda w: w.rlike(token)))
-    simple("RV-19", req & low.contains("extract"), "i")
-    simple("RV-20", req & low.contains("unserialize"), "i")
-    add("RV-21", low.contains("<form") & low.contains("post"), lambda: _csrf_check(content, low))
+    add("RV-18", f"{_any('text', 'rand', 'uniqid')} and "
+        f"{_any('low', 'token', 'pass', 'secret', 'api', 'auth')}",
+        _per_match("RV-18", _function_call(fv.WEAK_RANDOM_FUNCS), group=1, window=(80, 80, 5),
+                   keep=lambda w: _matches(w, token)))
+    simple("RV-19", f"{req} and contains(low, 'extract')", "i", "e")
+    simple("RV-20", f"{req} and contains(low, 'unserialize')", "i", "u")
+    add("RV-21", "contains(low, '<form') and contains(low, 'post')", _csrf_check())
     validator = whole_file(fv.UPLOAD_VALIDATOR, "i")
-    simple("RV-22", content.contains("move_uploaded_file"), "", window=(600, 200, 19),
-           keep=lambda w: ~w.rlike(validator))
-    add("RV-23", low.contains("header") & low.contains("location:"),
-        lambda: _redirect_check(content))
-    return [F.when(gate, hits) for _, gate, hits in every]
+    simple("RV-22", "contains(text, 'move_uploaded_file')", "", "m", window=(600, 200, 19),
+           keep=lambda w: f"not {_matches(w, validator)}")
+    add("RV-23", "contains(low, 'header') and contains(low, 'location:')", _redirect_check())
+    return every
 
 
 def review_text(files: DataFrame) -> DataFrame:
@@ -264,12 +239,12 @@ def review_text(files: DataFrame) -> DataFrame:
 def file_hits(files: DataFrame, checks=None) -> DataFrame:
     """Per file: path, number of lines, its lines where any check hit, and the hits."""
     wanted = set(ALL_CHECKS if checks is None else checks)
-    arrays = check_arrays(F.col("text"), F.col("low"), wanted)
+    hits = f"flatten(array_compact(array({', '.join(check_arrays(wanted))})))"
     return (
         review_text(files)
         .select(
             "path", "text",
-            F.flatten(F.array_compact(F.array(*arrays))).cast(f"array<{HIT}>").alias("hits"),
+            F.expr(f"cast({hits} as array<{HIT}>)").alias("hits"),
         )
         .select(
             "path",
