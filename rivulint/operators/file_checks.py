@@ -272,7 +272,7 @@ def hit_rows(per_file: DataFrame) -> DataFrame:
     )
 
 
-def describe(rows: DataFrame) -> DataFrame:
+def describe(rows: DataFrame, *keep: str) -> DataFrame:
     """Rule texts for hit rows."""
     pairs = []
     for rule_id, (severity, category, message, fix) in fv.REVIEW_TEXTS.items():
@@ -296,7 +296,7 @@ def describe(rows: DataFrame) -> DataFrame:
         F.coalesce("severity", "about.severity").alias("severity"),
         F.col("about.category").alias("category"),
         filled(F.col("about.message")).alias("message"),
-        filled(F.col("about.fix")).alias("recommendation"),
+        filled(F.col("about.fix")).alias("recommendation"), *keep,
     )
 
 
