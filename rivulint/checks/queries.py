@@ -516,12 +516,10 @@ on_code("agg9_best_rank", q.compose(
 
 def _verdicts(files: DataFrame) -> DataFrame:
     """The verdict over all, over HTML alone and over nothing."""
-    found = profiles.scan(files)
-    parts = [("all", found), ("HTML", found.where("language = 'HTML'")),
-             ("none", found.where("language = 'Cobol'"))]
-    return combine.all_findings(*[
-        analytics.verdict(rows).select(F.lit(name).alias("scope"), "verdict", "n")
-        for name, rows in parts])
+    return analytics.verdicts(profiles.scan(files), {
+        "all": F.lit(True), "HTML": F.col("language") == "HTML",
+        "none": F.col("language") == "Cobol",
+    })
 
 
 _VERDICT = ("CASE WHEN count(*) = 0 THEN 'SUCCESS' WHEN bool_or(severity = 'CRITICAL') THEN "

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulint.functions.text import newline_count, unix_newlines
@@ -92,65 +92,88 @@ def best_rank_per_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("category").agg(F.min("severity_rank").alias("best_rank"))
 
 
-def verdict(findings: DataFrame) -> DataFrame:
-    """One row: (verdict, n)."""
+def verdicts(findings: DataFrame, scopes: dict[str, Column] | None = None) -> DataFrame:
+    """(scope, verdict, n) over all findings, or per named condition; one aggregate."""
+    scopes = {"all": F.lit(True)} if scopes is None else scopes
     level = F.lower("severity")
-    sums = findings.agg(
-        _n(),
-        F.coalesce(F.bool_or(level == "critical"), F.lit(False)).alias("critical"),
-        F.coalesce(F.bool_or(level == "high"), F.lit(False)).alias("high"),
-    )
-    return sums.select(
-        F.when(F.col("n") == 0, "SUCCESS").when(F.col("critical"), "ERROR")
-        .when(F.col("high"), "WARNING").otherwise("INFO").alias("verdict"),
-        "n",
-    )
+    sums = []
+    for i, test in enumerate(scopes.values()):
+        sums += [
+            F.count(F.when(test, 1)).alias(f"n{i}"),
+            F.coalesce(F.bool_or(test & (level == "critical")), F.lit(False)).alias(f"c{i}"),
+            F.coalesce(F.bool_or(test & (level == "high")), F.lit(False)).alias(f"h{i}"),
+        ]
+    rows = [
+        F.struct(
+            F.lit(name).alias("scope"),
+            F.when(F.col(f"n{i}") == 0, "SUCCESS").when(F.col(f"c{i}"), "ERROR")
+            .when(F.col(f"h{i}"), "WARNING").otherwise("INFO").alias("verdict"),
+            F.col(f"n{i}").alias("n"),
+        )
+        for i, name in enumerate(scopes)
+    ]
+    return findings.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+def measures(file_rows: DataFrame) -> DataFrame:
+    """(path, severity, category, measure, n) from rows of findings and files.
+
+    ``file_rows`` has one row per finding (path, severity, category) and, riding on one row
+    of each file, n_lines; a file without findings has a row with severity NULL.
+    """
+    one = F.lit(1).cast("bigint")
+    some = [
+        ("total_findings", F.col("severity").isNotNull(), one),
+        ("files_scanned", F.col("n_lines").isNotNull(), one),
+        ("lines_scanned", F.col("n_lines").isNotNull(), F.col("n_lines")),
+    ]
+    entries = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(name).alias("measure"), n.alias("n")))
+        for name, test, n in some
+    ]))
+    return file_rows.select("path", "severity", "category", F.inline_outer(entries))
 
 
 def summary_rows(file_rows: DataFrame, k: int = 20) -> DataFrame:
     """The summary of a review as rows (section, rank, key, n).
 
-    ``file_rows`` has one row per finding (path, severity, category) and, riding on one row
-    of each file, n_lines; a file without findings has a row with severity NULL.  All
-    sections are read off one aggregate per (path, severity, category), so the corpus is
-    scanned once and shuffled once.
+    All sections are read off one aggregate per (path, severity, category, measure) whose
+    columns every section uses alike, so its exchange is reused: the corpus is scanned and
+    checked once.
     """
-    found = F.col("severity").isNotNull()
-    base = file_rows.groupBy("path", "severity", "category").agg(
-        F.count(F.when(found, 1)).alias("n"),
-        F.count("n_lines").alias("n_files"), F.sum("n_lines").alias("n_lines"),
+    base = measures(file_rows).groupBy("path", "severity", "category", "measure").agg(
+        F.sum("n").alias("n")
     )
-    totals = base.agg(
-        F.coalesce(F.sum("n_files"), F.lit(0)).alias("files_scanned"),
-        F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines_scanned"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_findings"),
-    ).select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("section"), F.lit(i + 1).alias("rank"),
-                 F.lit("").alias("key"), F.col(name).alias("n"))
-        for i, name in enumerate(["files_scanned", "lines_scanned", "total_findings"])
-    ])))
-    some = F.col("n") > 0
-    sums = F.sum("n").alias("n")
-    severities = base.groupBy("severity").agg(sums).where(some).select(
-        F.lit("by_severity").alias("section"),
-        (severity_rank(F.col("severity")) + 1).alias("rank"), F.col("severity").alias("key"), "n",
+
+    def total(name: str):
+        return F.coalesce(F.sum(F.when(F.col("measure") == name, F.col("n"))), F.lit(0))
+
+    names = ["files_scanned", "lines_scanned", "total_findings"]
+    totals = base.agg(*[total(name).alias(name) for name in names]).select(
+        F.inline(F.array(*[
+            F.struct(F.lit(name).alias("section"), F.lit(i + 1).alias("rank"),
+                     F.lit("").alias("key"), F.col(name).alias("n"))
+            for i, name in enumerate(names)
+        ]))
     )
 
+    def per(column: str) -> DataFrame:
+        sums = base.groupBy(F.col(column).alias("key")).agg(total("total_findings").alias("n"))
+        return sums.where(F.col("n") > 0)
+
     def ranked(rows: DataFrame, section: str) -> DataFrame:
+        # One row per category, and k files: small enough for a window.
         order = Window.partitionBy(F.lit(section)).orderBy(F.desc("n"), "key")
         return rows.select(
             F.lit(section).alias("section"), F.row_number().over(order).alias("rank"), "key", "n"
         )
 
-    # One row per category, and k rows: small enough for a window.
-    categories = ranked(
-        base.groupBy(F.col("category").alias("key")).agg(sums).where(some), "by_category"
-    )
-    files = ranked(
-        base.groupBy(F.col("path").alias("key")).agg(sums).where(some)
-        .orderBy(F.desc("n"), "key").limit(k),
-        "top_files",
+    severities = per("severity").select(
+        F.lit("by_severity").alias("section"),
+        (severity_rank(F.col("key")) + 1).alias("rank"), "key", "n",
     )
+    categories = ranked(per("category"), "by_category")
+    files = ranked(per("path").orderBy(F.desc("n"), "key").limit(k), "top_files")
     return reduce(DataFrame.unionByName, [totals, severities, categories, files])
 
 
@@ -204,8 +227,11 @@ def samples_per_category(findings: DataFrame, k: int = 15) -> DataFrame:
         F.col("sample_no") <= k
     )
     sums = findings.groupBy("category").agg(_n(), F.min("severity_rank").alias("best_rank"))
-    return first.join(sums, "category").withColumn(
-        "more", F.greatest(F.col("n") - k, F.lit(0))
+    # A missing category is a category too.
+    sums = sums.withColumnRenamed("category", "counted")
+    return (
+        first.join(sums, F.col("category").eqNullSafe(F.col("counted"))).drop("counted")
+        .withColumn("more", F.greatest(F.col("n") - k, F.lit(0)))
     )
 
 
