@@ -32,9 +32,7 @@ def unix_newlines(text: Column) -> Column:
 
 def any_newlines(text: Column) -> Column:
     """Every line terminator of the Unicode set becomes LF; plain LF text passes untouched."""
-    exotic = F.lit(False)
-    for terminator in ("\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029"):
-        exotic = exotic | text.contains(terminator)
+    exotic = text.rlike("[\r\x0b\x0c\x85\u2028\u2029]")
     return F.when(exotic, F.regexp_replace(text, r"\R", "\n")).otherwise(text)
 
 

@@ -46,5 +46,5 @@ def with_advice(findings: DataFrame) -> DataFrame:
 def with_normal_severity(findings: DataFrame) -> DataFrame:
     value = F.upper(normal_severity(F.col("severity")))
     return findings.withColumn("severity", value).withColumn(
-        "severity_rank", severity_rank(F.col("severity"))
+        "severity_rank", severity_rank()
     )

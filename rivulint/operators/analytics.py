@@ -38,7 +38,7 @@ def count_all(findings: DataFrame) -> DataFrame:
 
 def by_severity(findings: DataFrame) -> DataFrame:
     counts = findings.groupBy("severity").agg(_n())
-    return counts.withColumn("severity_rank", severity_rank(F.col("severity"))).orderBy(
+    return counts.withColumn("severity_rank", severity_rank()).orderBy(
         "severity_rank", "severity"
     )
 
@@ -170,7 +170,7 @@ def summary_rows(file_rows: DataFrame, k: int = 20) -> DataFrame:
 
     severities = per("severity").select(
         F.lit("by_severity").alias("section"),
-        (severity_rank(F.col("key")) + 1).alias("rank"), "key", "n",
+        (severity_rank("key") + 1).alias("rank"), "key", "n",
     )
     categories = ranked(per("category"), "by_category")
     files = ranked(per("path").orderBy(F.desc("n"), "key").limit(k), "top_files")

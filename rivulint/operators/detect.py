@@ -31,8 +31,8 @@ def scan_files(files: DataFrame) -> DataFrame:
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
     """A small fixed table as a literal map, so that the key is computed once."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def audit_language(path: Column) -> Column:

@@ -6,7 +6,7 @@ narrow pass.  Cheap text gates stand in front of every regular expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulint.functions.dialect import whole_file
@@ -274,29 +274,27 @@ def hit_rows(per_file: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame, *keep: str) -> DataFrame:
     """Rule texts for hit rows."""
-    pairs = []
-    for rule_id, (severity, category, message, fix) in fv.REVIEW_TEXTS.items():
-        pairs += [F.lit(rule_id), F.struct(
-            F.lit(severity).alias("severity"), F.lit(category).alias("category"),
-            F.lit(message).alias("message"), F.lit(fix).alias("fix"))]
-    versions = [F.lit(x) for item in fv.REMOVED_FUNCS.items() for x in item]
-    version = F.try_element_at(F.create_map(*versions), F.col("word"))
-
-    def filled(template: Column) -> Column:
-        with_word = F.replace(template, F.lit("{0}"), F.col("word"))
-        return F.when(
-            F.col("rule_id") == "RV-08", F.replace(with_word, F.lit("{1}"), version)
-        ).otherwise(with_word)
-
-    return rows.withColumn(
-        "about", F.try_element_at(F.create_map(*pairs), F.col("rule_id"))
-    ).select(
-        "path", "line", "rule_id", "match_no", "snippet",
-        F.lit("PHP").alias("language"),
-        F.coalesce("severity", "about.severity").alias("severity"),
-        F.col("about.category").alias("category"),
-        filled(F.col("about.message")).alias("message"),
-        filled(F.col("about.fix")).alias("recommendation"), *keep,
+    names = ("severity", "category", "message", "fix")
+    texts = ", ".join(
+        f"'{rule_id}', named_struct("
+        + ", ".join(f"'{n}', {quoted(t)}" for n, t in zip(names, about)) + ")"
+        for rule_id, about in fv.REVIEW_TEXTS.items()
+    )
+    versions = ", ".join(f"'{name}', '{since}'" for name, since in fv.REMOVED_FUNCS.items())
+    version = f"coalesce(try_element_at(map({versions}), word), '')"
+
+    def filled(template: str) -> str:
+        with_word = f"replace({template}, '{{0}}', word)"
+        return (
+            f"case when rule_id = 'RV-08' then replace({with_word}, '{{1}}', {version}) "
+            f"else {with_word} end"
+        )
+
+    return rows.selectExpr("*", f"try_element_at(map({texts}), rule_id) as about").selectExpr(
+        "path", "line", "rule_id", "match_no", "snippet", "'PHP' as language",
+        "coalesce(severity, about.severity) as severity", "about.category as category",
+        f"{filled('about.message')} as message", f"{filled('about.fix')} as recommendation",
+        *keep,
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulint.functions.dialect import exact_line, folded_line
+from rivulint.functions.matches import quoted
 from rivulint.functions.text import any_newlines, rtrim_white, trim_white, unix_newlines
 from rivulint.operators.detect import audit_language, scan_language
 from rivulint.rules.fixed_values import (
@@ -27,28 +28,36 @@ def rules_by_language(rules: list[LineRule]) -> dict[str, list[LineRule]]:
     return groups
 
 
-def _gate(text_low: Column, gate: str) -> Column:
-    found = F.lit(False)
-    for word in gate.split("|"):
-        found = found | text_low.contains(word)
-    return found
+def _gate(text: str, gate: str) -> str:
+    """SQL: does the (lower-case) text hold one of the gate's words?"""
+    return "(" + " or ".join(f"contains({text}, {quoted(w)})" for w in gate.split("|")) + ")"
 
 
-def _any_gate(text_low: Column, rules: list[LineRule]) -> Column:
+def _any_gate(text: str, rules: list[LineRule]) -> str:
     if any(not r.gate for r in rules):
-        return F.lit(True)
+        return "true"
     words = dict.fromkeys(w for r in rules for w in r.gate.split("|"))
     # A word that contains another gate word can only occur where that one does.
-    needed = [w for w in words if not any(o != w and o in w for o in words)]
-    return _gate(text_low, "|".join(needed))
+    return _gate(text, "|".join(w for w in words if not any(o != w and o in w for o in words)))
 
 
-def _per_language(language: Column, groups: dict[str, list[LineRule]], build) -> Column:
-    choice = None
-    for name, rules in groups.items():
-        test = language == name
-        choice = F.when(test, build(rules)) if choice is None else choice.when(test, build(rules))
-    return choice
+def _per_language(rules: list[LineRule], build) -> str:
+    cases = " ".join(
+        f"when {quoted(name)} then {build(group)}"
+        for name, group in rules_by_language(rules).items()
+    )
+    return f"case language {cases} end"
+
+
+def _rule_struct(rule: LineRule) -> str:
+    def text(value: str | None) -> str:
+        return "cast(null as string)" if value is None else quoted(value)
+
+    return (
+        f"named_struct('rule_id', {text(rule.rule_id)}, 'severity', {text(rule.severity)}, "
+        f"'type', {text(rule.type)}, 'category', {text(rule.category)}, "
+        f"'message', {text(rule.message)}, 'recommendation', {text(rule.recommendation)})"
+    )
 
 
 NO_LINES = "array<struct<line:string,low:string>>"
@@ -60,10 +69,9 @@ def candidate_lines(files: DataFrame, rules: list[LineRule], file_hit: Column |
     ``files`` has path, language and LF-separated text.  Where ``file_hit`` holds, the file
     adds one row without code that stands for a finding on the file itself.
     """
-    groups = rules_by_language(rules)
 
     def gated(text: str) -> Column:
-        return _per_language(F.col("language"), groups, lambda rs: _any_gate(F.col(text), rs))
+        return F.expr(_per_language(rules, lambda group: _any_gate(text, group)))
 
     lowered = files.select("path", "language", "text", F.lower("text").alias("text_low"))
     lines = F.when(
@@ -97,45 +105,29 @@ def line_hits(
 
     Of rules with equal message and type only the first to match a line reports it.
     """
-    groups = rules_by_language(rules)
 
-    def hits(group: list[LineRule]) -> Column:
+    def hits(group: list[LineRule]) -> str:
         found = []
-        for rule in group:
-            test = F.col("code").rlike(dialect(rule.pattern))
-            if rule.gate:
-                test = _gate(F.col("low"), rule.gate) & test
-            same = [
-                F.col("code").rlike(dialect(r.pattern))
-                for r in group[: group.index(rule)]
-                if (r.message, r.type) == (rule.message, rule.type)
+        for i, rule in enumerate(group):
+            tests = [_gate("low", rule.gate)] if rule.gate else []
+            tests.append(f"code rlike {quoted(dialect(rule.pattern))}")
+            tests += [
+                f"not code rlike {quoted(dialect(earlier.pattern))}" for earlier in group[:i]
+                if (earlier.message, earlier.type) == (rule.message, rule.type)
             ]
-            for earlier in same:
-                test = test & ~earlier
-            found.append(F.when(test, _rule_struct(rule)))
-        return F.array_compact(F.array(*found))
+            found.append(f"case when {' and '.join(tests)} then {_rule_struct(rule)} end")
+        return f"array({', '.join(found)})"
 
-    found = _per_language(F.col("language"), groups, hits)
+    found = f"array_compact({_per_language(rules, hits)})"
     if file_rule is not None:
-        found = F.when(F.col("code").isNull(), F.array(_rule_struct(file_rule))).otherwise(found)
+        found = f"case when code is null then array({_rule_struct(file_rule)}) else {found} end"
     return (
-        lines.select("path", "language", "line", "code", "low", found.alias("hits"))
+        lines.select("path", "language", "line", "code", "low", F.expr(found).alias("hits"))
         .select("path", "language", "line", "code", "low", F.inline_outer("hits"))
         .where(F.col("rule_id").isNotNull())
     )
 
 
-def _rule_struct(rule: LineRule) -> Column:
-    return F.struct(
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.type).alias("type"),
-        F.lit(rule.category).cast("string").alias("category"),
-        F.lit(rule.message).alias("message"),
-        F.lit(rule.recommendation).cast("string").alias("recommendation"),
-    )
-
-
 def confidence(severity: Column, code: Column, low: Column) -> Column:
     """How sure a scan finding is, from its severity and what its line mentions."""
     base = F.when(F.lower(severity).isin("critical", "high"), 90).otherwise(75)
@@ -212,7 +204,7 @@ def helper_call_findings(files: DataFrame) -> DataFrame:
         rows.select(
             "path", "language", F.lit(1).alias("line"), F.lit("").alias("snippet"),
             F.lit(HELPER_CALL_CONFIDENCE).alias("confidence"),
-            F.inline(F.array(_rule_struct(HELPER_CALL))),
+            F.expr(f"inline(array({_rule_struct(HELPER_CALL)}))"),
         ),
         "scan",
     )

@@ -15,29 +15,22 @@ FINDING_FIELDS = {
 }
 
 
-def severity_rank(severity: Column) -> Column:
-    rank = F.lit(UNKNOWN_SEVERITY_RANK)
-    for name, value in SEVERITY_RANK.items():
-        rank = F.when(F.upper(severity) == name, F.lit(value)).otherwise(rank)
-    return rank.cast("int")
+_CASES = " ".join(f"when '{name}' then {rank}" for name, rank in SEVERITY_RANK.items())
+RANK_SQL = f"case upper(severity) {_CASES} else {UNKNOWN_SEVERITY_RANK} end"
+
+
+def severity_rank(column: str = "severity") -> Column:
+    return F.expr(RANK_SQL.replace("severity", column))
 
 
 def as_findings(df: DataFrame, profile: str) -> DataFrame:
     """Bring a frame with some of the fields to the full schema; what is missing is NULL."""
-    have = set(df.columns)
-    columns = []
-    for name, kind in FINDING_FIELDS.items():
-        if name == "profile":
-            value = F.lit(profile)
-        elif name == "severity":
-            value = F.upper("severity")
-        elif name == "severity_rank":
-            value = severity_rank(F.col("severity"))
-        elif name in have:
-            value = F.col(name)
-        elif name == "match_no":
-            value = F.lit(1)
-        else:
-            value = F.lit(None)
-        columns.append(value.cast(kind).alias(name))
-    return df.select(*columns)
+    values = {name: name for name in df.columns}
+    values |= {
+        "profile": f"'{profile}'", "severity": "upper(severity)", "severity_rank": RANK_SQL,
+    }
+    values.setdefault("match_no", "1")
+    return df.selectExpr(*[
+        f"cast({values.get(name, 'null')} as {kind}) as {name}"
+        for name, kind in FINDING_FIELDS.items()
+    ])
