@@ -448,7 +448,7 @@ on_code("jn3_context_shown", q.compose(
 
 
 def _selected(files: DataFrame) -> DataFrame:
-    found = profiles.scan(files)
+    found = profiles.settled(profiles.scan(files))
     return combine.picked(found, found.where("severity = 'MEDIUM'"))
 
 
@@ -588,10 +588,10 @@ _SAMPLE_COLUMNS = ["category", "sample_no", "severity", "path", "line", "rule_id
                    "best_rank", "more"]
 on_code("win4_first_per_category", q.compose(
     f"SELECT category, sample_no, path, line, rule_id FROM ({_SAMPLES})", REVIEW),
-        lambda c: analytics.samples_per_category(profiles.review(c)).select(
+        lambda c: analytics.samples_per_category(profiles.settled(profiles.review(c))).select(
             "category", "sample_no", "path", "line", "rule_id"))
 on_code("top2_category_samples", q.compose(_SAMPLES, REVIEW),
-        lambda c: analytics.samples_per_category(profiles.review(c)).orderBy(
+        lambda c: analytics.samples_per_category(profiles.settled(profiles.review(c))).orderBy(
             "best_rank", "category", "sample_no").select(*_SAMPLE_COLUMNS))
 on_code("srt1_sorted_findings", q.compose(
     f"SELECT severity_rank, path, line, rule_id, message FROM {REVIEW} "
@@ -837,20 +837,54 @@ on_code("snk4_short_text_report", _text_sql([
     "'  ' || message", "''"], AUDIT),
         lambda c: reports.short_text_report(audit_findings(c)).select(
             "path", "line", "rule_id", "value"))
-on_code("snk5_markdown_samples", q.compose(f"""
+_MARKDOWN_SQL = f"""
 SELECT category, sample_no, value FROM (
   SELECT category, sample_no, unnest(list_filter([
+    CASE WHEN sample_no = 1 THEN '' END,
     CASE WHEN sample_no = 1 THEN '### ' || category || ' (' || n || ' found)' END,
+    CASE WHEN sample_no = 1 THEN '' END,
     '**[' || severity || '] ' || path || ':' || line || '**', '- Issue: ' || message,
     CASE WHEN snippet <> '' THEN '- Code: `' || snippet || '`' END,
-    '- Fix: ' || recommendation,
+    '- Fix: ' || recommendation, '',
     CASE WHEN sample_no = least(n, 15) AND n > 15
-         THEN '...and ' || (n - 15) || ' more instance(s).' END],
+         THEN '...and ' || (n - 15) || ' more instance(s).' END,
+    CASE WHEN sample_no = least(n, 15) AND n > 15 THEN '' END],
     lambda v: v IS NOT NULL)) AS value
-  FROM ({_SAMPLES.replace("rule_id, n,", "rule_id, message, snippet, recommendation, n,", 1)}))""",
-    REVIEW),
-        lambda c: reports.markdown_samples(profiles.review(c)).select(
+  FROM ({_SAMPLES.replace("rule_id, n,", "rule_id, message, snippet, recommendation, n,", 1)}))"""
+on_code("snk5_markdown_samples", q.compose(_MARKDOWN_SQL, REVIEW),
+        lambda c: reports.markdown_samples(profiles.settled(profiles.review(c))).select(
             "category", "sample_no", "value"))
+
+
+def _head_sql(heads: dict[str, list[str]], tail: str, item: str, strong: str) -> str:
+    fixed = q.values((reports.SECTIONS.index(s) + 1, line)
+                     for s, lines in heads.items() for line in lines)
+    number = " ".join(f"WHEN '{s}' THEN {i + 1}" for i, s in enumerate(reports.SECTIONS))
+    return f"""
+SELECT CAST(part AS INTEGER) AS part, value FROM ({fixed}) fixed(part, value) UNION ALL
+SELECT CAST(CASE section {number} END AS INTEGER), CASE section
+  WHEN 'files_scanned' THEN 'Files scanned: ' || n || '{tail}'
+  WHEN 'lines_scanned' THEN 'Lines scanned: ' || n || '{tail}'
+  WHEN 'total_findings' THEN 'Total findings: ' || n
+  WHEN 'by_severity' THEN {strong} ELSE {item} END FROM ({SUMMARY_SQL})"""
+
+
+_PLAIN, _ITEM = "'  ' || key || ': ' || n", "'- ' || key || ': ' || n"
+on_code("snk3_text_document", q.compose(
+    _head_sql(reports.TEXT_HEADS, "", _PLAIN, _PLAIN) + f"""
+UNION ALL SELECT 8, unnest(list_filter([
+  '[' || severity || '] ' || path || ':' || line, '  Category: ' || category,
+  '  Message : ' || message, CASE WHEN snippet <> '' THEN '  Code    : ' || snippet END,
+  '  Fix     : ' || recommendation, ''], lambda v: v IS NOT NULL)) FROM {REVIEW}""", REVIEW),
+        lambda c: reports.text_document(
+            profiles.review_summary_rows(c), profiles.review(c)).orderBy(
+            *reports.DOCUMENT_ORDER).select("part", "value"))
+on_code("snk5_markdown_document", q.compose(
+    _head_sql(reports.MARKDOWN_HEADS, "  ", _ITEM, "'- **' || key || '**: ' || n")
+    + f" UNION ALL SELECT 8, value FROM ({_MARKDOWN_SQL})", REVIEW),
+        lambda c: reports.markdown_document(
+            profiles.review_summary_rows(c), profiles.settled(profiles.review(c))).orderBy(
+            *reports.DOCUMENT_ORDER).select("part", "value"))
 on_code("snk6_html_rows", q.compose(f"""
 SELECT path, line, rule_id, '<tr><td>' || {ESCAPED.format('path')} || '</td><td>' || line
   || '</td><td>' || language || '</td><td>' || type || '</td><td>' || severity || '</td><td>'

@@ -248,7 +248,10 @@ def file_hits(files: DataFrame, checks=None) -> DataFrame:
         )
         .select(
             "path",
-            (newline_count(F.col("text")) + 1).cast("bigint").alias("n_lines"),
+            # An unreadable file counts as scanned, with no lines.
+            F.coalesce(newline_count(F.col("text")) + 1, F.lit(0)).cast("bigint").alias(
+                "n_lines"
+            ),
             F.when(F.size("hits") > 0, file_lines(F.col("text"))).alias("lines"),
             "hits",
         )

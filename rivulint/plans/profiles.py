@@ -1,4 +1,8 @@
-"""The three profiles end to end, and what is usually asked of them."""
+"""The three profiles end to end, and what is usually asked of them.
+
+Corpora may have a ``read_error`` column; a file with one is reported where its profile does
+so and is otherwise passed over.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +13,23 @@ from rivulint.operators import analytics
 from rivulint.operators.combine import all_findings
 from rivulint.operators.detect import scan_files
 from rivulint.operators.duplicates import duplicate_function_findings
+from rivulint.operators.errors import readable, review_read_errors, scan_read_errors
 from rivulint.operators.file_checks import check_findings, describe, file_hits, hit_rows
 from rivulint.operators.line_rules import audit_findings, scan_findings
+from rivulint.session import shared_dir
+
+
+def _parts(files: DataFrame, build, errors) -> list[DataFrame]:
+    if "read_error" not in files.columns:
+        return build(files)
+    return [*build(readable(files)), errors(files)]
 
 
 def review(files: DataFrame) -> DataFrame:
     """Whole-file PHP checks plus the check across files."""
-    return all_findings(check_findings(files), duplicate_function_findings(files))
+    return all_findings(*_parts(
+        files, lambda f: [check_findings(f), duplicate_function_findings(f)], review_read_errors
+    ))
 
 
 def audit(files: DataFrame, *tool_findings: DataFrame) -> DataFrame:
@@ -23,26 +37,41 @@ def audit(files: DataFrame, *tool_findings: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    return scan_findings(scan_files(files))
+    return all_findings(*_parts(
+        files, lambda f: [scan_findings(scan_files(f))], scan_read_errors
+    ))
 
 
 def every_profile(files: DataFrame) -> DataFrame:
     return all_findings(review(files), audit(files), scan(files))
 
 
+def settled(findings: DataFrame, purpose: str = "findings") -> DataFrame:
+    """Findings written once to the shared folder and read back.
+
+    Findings are small beside the corpus they come from.  What looks at them more than once
+    starts from here, so that the corpus is read and checked once; a lost executor costs no
+    more than its own part.
+    """
+    spark, out = findings.sparkSession, shared_dir(findings.sparkSession, purpose)
+    findings.write.parquet(out)
+    return spark.read.schema(findings.schema).parquet(out)
+
+
 def scan_language_matrix(files: DataFrame) -> DataFrame:
     """Language by severity: the headline table."""
     return analytics.language_matrix(scan(files))
 
 
 def review_summary_rows(files: DataFrame) -> DataFrame:
-    """The review's summary in one scan of the corpus for the per-file checks."""
-    rows = hit_rows(file_hits(files))
-    described = describe(rows, "n_lines").select("path", "severity", "category", "n_lines")
-    across = duplicate_function_findings(files).where(F.col("match_no") == 1).select(
-        "path", "severity", "category", F.lit(None).cast("bigint").alias("n_lines")
-    )
-    return analytics.summary_rows(described.unionByName(across))
+    """The review's summary; the per-file checks run once for all of its sections."""
+    rows = describe(hit_rows(file_hits(files)), "n_lines")
+    across = [duplicate_function_findings(files).where(F.col("match_no") == 1)]
+    if "read_error" in files.columns:
+        across.append(review_read_errors(files))
+    counted = all_findings(*across).withColumn("n_lines", F.lit(None).cast("bigint"))
+    columns = ["path", "severity", "category", "n_lines"]
+    return analytics.summary_rows(rows.select(columns).unionByName(counted.select(columns)))
 
 
 def review_summary(files: DataFrame) -> DataFrame:

@@ -9,6 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# For a cluster and a corpus of large files: few rows per columnar batch, so that a batch of
+# whole files fits in memory, and adaptive splitting of skewed join partitions.
+SCALE_SETTINGS = {
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
+    "spark.sql.files.maxPartitionBytes": "64m",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
 def build_session(app: str = "rivulint", cores: str = "*") -> SparkSession:
     """A local session for tests and benches; on a cluster the caller brings their own."""
     return (

@@ -78,37 +78,97 @@ def markdown_samples(findings: DataFrame, k: int = 15) -> DataFrame:
     first = F.col("sample_no") == 1
     last = F.col("sample_no") == F.least(F.col("n"), F.lit(k))
     lines = F.array_compact(F.array(
+        F.when(first, F.lit("")),
         F.when(first, F.format_string("### %s (%d found)", "category", "n")),
+        F.when(first, F.lit("")),
         F.format_string("**[%s] %s:%d**", "severity", "path", "line"),
         F.concat(F.lit("- Issue: "), "message"),
         F.when(F.col("snippet") != "", F.concat(F.lit("- Code: `"), "snippet", F.lit("`"))),
         F.concat(F.lit("- Fix: "), "recommendation"),
+        F.lit(""),
         F.when(last & (F.col("more") > 0),
                F.format_string("...and %d more instance(s).", "more")),
+        F.when(last & (F.col("more") > 0), F.lit("")),
     ))
     return samples.select(
         "best_rank", "category", "sample_no", F.posexplode(lines).alias("no", "value")
     )
 
 
+# The texts around the parts of a report, before each section's lines.
+TEXT_HEADS = {
+    "title": ["=== PHP CODE REVIEW REPORT (Text) ===", ""],
+    "by_severity": ["", "-- Findings by severity --"],
+    "by_category": ["", "-- Findings by category --"],
+    "top_files": ["", "-- Top files with most issues --"],
+    "details": ["", "-- Detailed findings --", ""],
+}
+MARKDOWN_HEADS = {
+    "title": ["# PHP Codebase Review Report", ""],
+    "by_severity": ["", "## Findings by severity", ""],
+    "by_category": ["", "## Findings by category", ""],
+    "top_files": ["", "## Files with the most findings", ""],
+    "details": ["", "## Detailed findings (sample per category)", ""],
+}
+SECTIONS = ["title", "files_scanned", "lines_scanned", "total_findings", "by_severity",
+            "by_category", "top_files", "details"]
+DOCUMENT_ORDER = ["part", *FINDING_ORDER, "no"]
+
+
 def summary_lines(rows: DataFrame, markdown: bool = False) -> DataFrame:
-    """The head of a text or markdown report from summary rows."""
-    titles = {
-        "files_scanned": "Files scanned: ", "lines_scanned": "Lines scanned: ",
-        "total_findings": "Total findings: ",
-    }
-    if markdown:
-        item = F.when(
-            F.col("section") == "by_severity",
-            F.format_string("- **%s**: %d", "key", "n"),
-        ).otherwise(F.format_string("- %s: %d", "key", "n"))
-    else:
-        item = F.format_string("  %s: %d", "key", "n")
-    for name, title in titles.items():
-        item = F.when(
-            F.col("section") == name, F.format_string(title + "%d", "n")
-        ).otherwise(item)
-    return rows.select("section", "rank", item.alias("value"))
+    """(section, rank, value): the summary rows as lines of a text or markdown report."""
+    plain = "concat('- ', key, ': ', n)" if markdown else "concat('  ', key, ': ', n)"
+    strong = "concat('- **', key, '**: ', n)" if markdown else plain
+    # Two spaces at the end break a markdown line.
+    tail = "'  '" if markdown else "''"
+    return rows.selectExpr("section", "rank", f"""
+        case section when 'files_scanned' then concat('Files scanned: ', n, {tail})
+                     when 'lines_scanned' then concat('Lines scanned: ', n, {tail})
+                     when 'total_findings' then concat('Total findings: ', n)
+                     when 'by_severity' then {strong} else {plain} end as value""")
+
+
+def _section_number() -> Column:
+    names = F.array(*[F.lit(s) for s in SECTIONS])
+    return F.array_position(names, F.col("section")).cast("int")
+
+
+def _document(summary: DataFrame, details: DataFrame, heads: dict, markdown: bool) -> DataFrame:
+    """Head, summary and details as lines with one common order."""
+    spark = summary.sparkSession
+    head_rows = [
+        (SECTIONS.index(section) + 1, no - len(lines), line)
+        for section, lines in heads.items() for no, line in enumerate(lines)
+    ]
+    fixed = spark.createDataFrame(head_rows, "part int, severity_rank int, value string")
+    body = summary_lines(summary, markdown).select(
+        _section_number().alias("part"), F.col("rank").alias("severity_rank"), "value"
+    )
+    missing = {name: F.lit(None) for name in ("path", "line", "rule_id", "match_no", "no")}
+    kinds = {"path": "string", "rule_id": "string"}
+    top = fixed.unionByName(body).select(
+        "part", "severity_rank",
+        *[v.cast(kinds.get(n, "int")).alias(n) for n, v in missing.items()], "value",
+    )
+    below = details.withColumn("part", F.lit(len(SECTIONS)))
+    return top.select(*DOCUMENT_ORDER, "value").unionByName(
+        below.select(*DOCUMENT_ORDER, "value")
+    )
+
+
+def text_document(summary: DataFrame, findings: DataFrame) -> DataFrame:
+    """The whole text report; write it with ``write_lines(.., DOCUMENT_ORDER, ..)``."""
+    return _document(summary, text_report(findings), TEXT_HEADS, False)
+
+
+def markdown_document(summary: DataFrame, findings: DataFrame, k: int = 15) -> DataFrame:
+    """The whole markdown report; categories by their best severity."""
+    samples = markdown_samples(findings, k).select(
+        F.col("best_rank").alias("severity_rank"), F.col("category").alias("path"),
+        F.col("sample_no").alias("line"), F.lit("").alias("rule_id"),
+        F.lit(1).alias("match_no"), "no", "value",
+    )
+    return _document(summary, samples, MARKDOWN_HEADS, True)
 
 
 def _cell(value: Column) -> Column:

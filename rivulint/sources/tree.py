@@ -106,15 +106,25 @@ def _read_contents(batches):
             )
 
 
-def read_tree(listing: DataFrame) -> DataFrame:
-    """(path, content_bytes, read_error); a file is read by whichever task its name falls to."""
-    spread = listing.select("path", "full_path").repartition("path")
+def read_tree(listing: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(path, content_bytes, read_error); a file is read by whichever task its name falls to.
+
+    The number of tasks is given outright: names are small, and adaptive execution would
+    merge them into few partitions without knowing how much there is to read behind them.
+    """
+    spark = listing.sparkSession
+    if tasks is None:
+        tasks = max(
+            4 * spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+        )
+    spread = listing.select("path", "full_path").repartition(tasks, "path")
     return spread.mapInArrow(_read_contents, CONTENT_SCHEMA)
 
 
 def tree_corpus(
     spark: SparkSession, root: str, pruned: list[str] | None = None, keep=None,
-    bad_bytes: str = "replace",
+    bad_bytes: str = "replace", tasks: int | None = None,
 ) -> DataFrame:
     """(path, content, read_error) of a tree.
 
@@ -125,6 +135,6 @@ def tree_corpus(
     if keep is not None:
         listing = keep(listing)
     decode = decode_replacing if bad_bytes == "replace" else decode_dropping
-    return read_tree(listing).select(
+    return read_tree(listing, tasks).select(
         "path", decode(F.col("content_bytes")).alias("content"), "read_error"
     )

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulint.operators.combine import FINDING_KEY
-from rivulint.operators.errors import scan_read_errors
 from rivulint.plans.profiles import scan
 from rivulint.session import shared_dir
 
@@ -31,10 +30,7 @@ def corpus_stream(
 
 def streamed_findings(files: DataFrame) -> DataFrame:
     """Findings as files arrive; an unreadable file is a finding and ends nothing."""
-    if "read_error" not in files.columns:
-        return scan(files)
-    ok = files.where(F.col("read_error").isNull())
-    return scan(ok).unionByName(scan_read_errors(files))
+    return scan(files)
 
 
 def running_counts(findings: DataFrame, column: str) -> DataFrame:

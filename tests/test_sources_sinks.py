@@ -67,6 +67,9 @@ def test_unreadable_file_is_a_finding(spark, tree):
     (row,) = review_read_errors(frame).collect()
     assert (row.severity, row.category, row.line) == ("HIGH", "Read Error", 0)
     assert row.message == "Could not read file: Permission denied"
+    doc = profiles.review_summary(frame).first()
+    assert (doc.files_scanned, doc.lines_scanned, doc.total_findings) == (1, 0, 1)
+    assert {r.rule_id for r in profiles.scan(frame).collect()} == {"READ", "S-PY-01"}
     (row,) = scan_read_errors(frame).collect()
     assert (row.severity, row.type, row.language, row.confidence) == (
         "CRITICAL", "error", "PHP", 95)
@@ -111,6 +114,20 @@ def test_report_files(spark, corpus, tmp_path):
     text = "".join(open(p).read() for p in _parts(f"{tmp_path}/text", "txt"))
     assert text.startswith("[CRITICAL] a.php:3\n  Category: ")
     assert "  Code    : eval($_GET['x']);\n  Fix     : " in text
+    whole = reports.text_document(profiles.review_summary_rows(files), found)
+    reports.write_lines(whole, reports.DOCUMENT_ORDER, f"{tmp_path}/whole")
+    text = "".join(open(p).read() for p in _parts(f"{tmp_path}/whole", "txt"))
+    assert text.startswith(
+        "=== PHP CODE REVIEW REPORT (Text) ===\n\nFiles scanned: 1\nLines scanned: 4\n"
+        "Total findings: 2\n\n-- Findings by severity --\n  CRITICAL: 1\n  MEDIUM: 1\n\n"
+        "-- Findings by category --\n")
+    assert "\n-- Detailed findings --\n\n[CRITICAL] a.php:3\n" in text
+    whole = reports.markdown_document(profiles.review_summary_rows(files), found)
+    lines = [r.value for r in whole.orderBy(*reports.DOCUMENT_ORDER).collect()]
+    start = lines.index("## Detailed findings (sample per category)")
+    assert lines[start:start + 6] == [
+        "## Detailed findings (sample per category)", "", "", "### Dangerous Function (1 found)",
+        "", "**[CRITICAL] a.php:3**"]
     reports.write_store(found, f"{tmp_path}/store")
     assert reports.read_store(spark, f"{tmp_path}/store").count() == len(order)
 
