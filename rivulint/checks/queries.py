@@ -357,6 +357,8 @@ on_code("rv24_duplicate_function", q.compose(f"SELECT {CHECK_SQL} FROM rv24", "r
         lambda c: duplicate_function_findings(c).select(*CHECK))
 on_code("review_all_checks", q.compose(f"SELECT {CHECK_SQL} FROM {REVIEW}", REVIEW),
         lambda c: profiles.review(c).select(*CHECK))
+on_code("review_once", q.compose(f"SELECT {CHECK_SQL} FROM {REVIEW}", REVIEW),
+        lambda c: profiles.review_once(c).findings.select(*CHECK))
 
 # ---- filters and projections --------------------------------------------------------------
 _HAY = ("lower(concat_ws(' ', path, CAST(line AS VARCHAR), message, category, language))")
@@ -542,6 +544,9 @@ SELECT * FROM (
 on_code("agg11_summary", q.compose(
     f"SELECT section, CAST(rank AS INTEGER) AS rank, key, n FROM ({SUMMARY_SQL})", REVIEW),
         profiles.review_summary_rows)
+on_code("agg11_summary_once", q.compose(
+    f"SELECT section, CAST(rank AS INTEGER) AS rank, key, n FROM ({SUMMARY_SQL})", REVIEW),
+        lambda c: profiles.review_once(c).summary_rows)
 on_code("agg12_file_lists", q.compose("""
 SELECT name, CAST(n_files AS BIGINT) AS n_files, files FROM shared_functions""",
                                       "shared_functions"),
@@ -588,10 +593,10 @@ _SAMPLE_COLUMNS = ["category", "sample_no", "severity", "path", "line", "rule_id
                    "best_rank", "more"]
 on_code("win4_first_per_category", q.compose(
     f"SELECT category, sample_no, path, line, rule_id FROM ({_SAMPLES})", REVIEW),
-        lambda c: analytics.samples_per_category(profiles.settled(profiles.review(c))).select(
+        lambda c: analytics.samples_per_category(profiles.review_once(c).findings).select(
             "category", "sample_no", "path", "line", "rule_id"))
 on_code("top2_category_samples", q.compose(_SAMPLES, REVIEW),
-        lambda c: analytics.samples_per_category(profiles.settled(profiles.review(c))).orderBy(
+        lambda c: analytics.samples_per_category(profiles.review_once(c).findings).orderBy(
             "best_rank", "category", "sample_no").select(*_SAMPLE_COLUMNS))
 on_code("srt1_sorted_findings", q.compose(
     f"SELECT severity_rank, path, line, rule_id, message FROM {REVIEW} "
@@ -796,8 +801,9 @@ _REPORT_SQL = ("SELECT severity, category, path AS file, line, message, snippet,
 
 @register("snk1_json_report", q.compose(_REPORT_SQL, REVIEW))
 def _snk1(spark, sf_dir):
-    code, out = code_files(spark, sf_dir), shared_dir(spark, "snk1")
-    reports.write_json(profiles.review(code), profiles.review_summary(code), out)
+    found, out = profiles.review_once(code_files(spark, sf_dir)), shared_dir(spark, "snk1")
+    reports.write_json(
+        found.findings, analytics.summary_document(found.summary_rows), out)
     return spark.read.schema(reports.REPORT_SCHEMA).json(f"{out}/findings")
 
 
@@ -852,7 +858,7 @@ SELECT category, sample_no, value FROM (
     lambda v: v IS NOT NULL)) AS value
   FROM ({_SAMPLES.replace("rule_id, n,", "rule_id, message, snippet, recommendation, n,", 1)}))"""
 on_code("snk5_markdown_samples", q.compose(_MARKDOWN_SQL, REVIEW),
-        lambda c: reports.markdown_samples(profiles.settled(profiles.review(c))).select(
+        lambda c: reports.markdown_samples(profiles.review_once(c).findings).select(
             "category", "sample_no", "value"))
 
 
@@ -869,6 +875,10 @@ SELECT CAST(CASE section {number} END AS INTEGER), CASE section
   WHEN 'by_severity' THEN {strong} ELSE {item} END FROM ({SUMMARY_SQL})"""
 
 
+def _ordered(document: DataFrame) -> DataFrame:
+    return document.orderBy(*reports.DOCUMENT_ORDER).select("part", "value")
+
+
 _PLAIN, _ITEM = "'  ' || key || ': ' || n", "'- ' || key || ': ' || n"
 on_code("snk3_text_document", q.compose(
     _head_sql(reports.TEXT_HEADS, "", _PLAIN, _PLAIN) + f"""
@@ -876,15 +886,11 @@ UNION ALL SELECT 8, unnest(list_filter([
   '[' || severity || '] ' || path || ':' || line, '  Category: ' || category,
   '  Message : ' || message, CASE WHEN snippet <> '' THEN '  Code    : ' || snippet END,
   '  Fix     : ' || recommendation, ''], lambda v: v IS NOT NULL)) FROM {REVIEW}""", REVIEW),
-        lambda c: reports.text_document(
-            profiles.review_summary_rows(c), profiles.review(c)).orderBy(
-            *reports.DOCUMENT_ORDER).select("part", "value"))
+        lambda c: _ordered(reports.text_document(*reversed(profiles.review_once(c)))))
 on_code("snk5_markdown_document", q.compose(
     _head_sql(reports.MARKDOWN_HEADS, "  ", _ITEM, "'- **' || key || '**: ' || n")
     + f" UNION ALL SELECT 8, value FROM ({_MARKDOWN_SQL})", REVIEW),
-        lambda c: reports.markdown_document(
-            profiles.review_summary_rows(c), profiles.settled(profiles.review(c))).orderBy(
-            *reports.DOCUMENT_ORDER).select("part", "value"))
+        lambda c: _ordered(reports.markdown_document(*reversed(profiles.review_once(c)))))
 on_code("snk6_html_rows", q.compose(f"""
 SELECT path, line, rule_id, '<tr><td>' || {ESCAPED.format('path')} || '</td><td>' || line
   || '</td><td>' || language || '</td><td>' || type || '</td><td>' || severity || '</td><td>'

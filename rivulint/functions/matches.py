@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 MARK = "\x01"
 # A mark that occurs in the text itself is shown to the patterns as this other control
-# character; no pattern tells the two apart and no text is taken from the marked copy.
+# character; no pattern tells the two apart and no snippet is taken from that copy.
 UNMARK = "\x02"
 BLOCK = 1024
 
@@ -38,7 +38,8 @@ def searchable(content: str) -> str:
 
 
 def mark_matches(content: str, pattern: str) -> str:
-    return f"regexp_replace({searchable(content)}, {quoted(pattern)}, {quoted(MARK + '$0')})"
+    """``content`` must be ``searchable``."""
+    return f"regexp_replace({content}, {quoted(pattern)}, {quoted(MARK + '$0')})"
 
 
 def has_mark(marked: str) -> str:
@@ -46,7 +47,7 @@ def has_mark(marked: str) -> str:
 
 
 def groups_of(content: str, pattern: str, group: int) -> str:
-    return f"regexp_extract_all({searchable(content)}, {quoted(pattern)}, {group})"
+    return f"regexp_extract_all({content}, {quoted(pattern)}, {group})"
 
 
 def match_lines(marked: str) -> str:
@@ -91,8 +92,8 @@ def prefix_sums(numbers: str) -> str:
 
 def located_matches(content: str, pattern: str) -> Column:
     """array<struct<match_no, start_at, line, text>> of all matches, NULL without any."""
-    marked = mark_matches(content, pattern)
-    texts = groups_of(content, pattern, 0)
+    marked = mark_matches(searchable(content), pattern)
+    texts = groups_of(searchable(content), pattern, 0)
     before = "slice(segs, 1, size(segs) - 1)"
     offsets = prefix_sums(f"transform({before}, s -> length(s))")
     lines = prefix_sums(f"transform({before}, s -> {newline_count('s')})")

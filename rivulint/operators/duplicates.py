@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulint.functions.dialect import whole_file
-from rivulint.operators.file_checks import review_text
-from rivulint.rules.fixed_values import REVIEW_PATTERNS, REVIEW_TEXTS
+from rivulint.operators.file_checks import defined_names, review_text
+from rivulint.rules.fixed_values import REVIEW_TEXTS
 from rivulint.schema import as_findings
 
 # A name found in more files than this has its file list spread over several rows.
@@ -16,12 +15,10 @@ FILES_PER_ROW = 10_000
 
 def function_definitions(files: DataFrame) -> DataFrame:
     """(name, path), once per file defining the name; no shuffle, a file is one row."""
-    pattern = whole_file(REVIEW_PATTERNS["RV-24"], "", "f")
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
     return (
         review_text(files)
         .where(F.col("text").contains("function"))
-        .select(F.explode(names).alias("name"), "path")
+        .select(F.explode(F.expr(defined_names())).alias("name"), "path")
     )
 
 
@@ -56,10 +53,16 @@ def files_per_name(definitions: DataFrame, files_per_row: int = FILES_PER_ROW) -
 
 def duplicate_function_findings(
     files: DataFrame, files_per_row: int = FILES_PER_ROW
+) -> DataFrame:
+    return shared_name_findings(function_definitions(files), files_per_row)
+
+
+def shared_name_findings(
+    definitions: DataFrame, files_per_row: int = FILES_PER_ROW
 ) -> DataFrame:
     """One finding per shared name (one per part of its file list when that is very long)."""
     severity, category, message, fix = REVIEW_TEXTS["RV-24"]
-    definitions = function_definitions(files).where(~F.col("name").startswith("__"))
+    definitions = definitions.where(~F.col("name").startswith("__"))
     text = F.lit(message)
     for slot, value in (
         ("{2}", F.array_join("files", ", ")),

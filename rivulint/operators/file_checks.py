@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rivulint.functions.dialect import whole_file
 from rivulint.functions.matches import (
-    LF, groups_of, has_mark, let, line_after, mark_matches, match_lines, quoted, surroundings,
+    LF, groups_of, has_mark, let, line_after, mark_matches, match_lines, quoted,
+    searchable, surroundings,
 )
 from rivulint.functions.text import (
     WHITE, file_lines, newline_count, trim_white, unix_newlines,
@@ -34,12 +35,14 @@ def _hit(rule_id, line, number="1", word="''", severity="cast(null as string)")
 
 
 def _any(text: str, *words: str) -> str:
-    return "(" + " or ".join(f"contains({text}, {quoted(w)})" for w in words) + ")"
+    # A word that contains another of them can only occur where that one does.
+    needed = [w for w in words if not any(o != w and o in w for o in words)]
+    return "(" + " or ".join(f"contains({text}, {quoted(w)})" for w in needed) + ")"
 
 
 def _per_match(rule_id, pattern, *, group=None, word=None, keep=None, window=None,
                severity=None) -> str:
-    """Hits for every match of a pattern in ``text``.
+    """Hits for every match of a pattern in ``code``.
 
     ``group`` is the capture group giving the word and ``word`` an expression over it (``w``)
     or, without a group, the word itself; ``keep`` is a test on the match text ``t`` (on the
@@ -48,13 +51,13 @@ def _per_match(rule_id, pattern, *, group=None, word=None, keep=None, window=Non
     """
     arrays = {"line": match_lines("marked")}
     if group is not None:
-        arrays["w"] = groups_of("text", pattern, group)
+        arrays["w"] = groups_of("code", pattern, group)
     if severity is not None:
-        arrays["v"] = groups_of("text", pattern, 2)
+        arrays["v"] = groups_of("code", pattern, 2)
     if window is not None:
         arrays["t"] = surroundings("marked", *window)
     elif keep is not None:
-        arrays["t"] = groups_of("text", pattern, 0)
+        arrays["t"] = groups_of("code", pattern, 0)
     names = list(arrays)
     if len(names) == 1:
         items = f"transform({arrays['line']}, l -> named_struct('line', l))"
@@ -71,7 +74,7 @@ def _per_match(rule_id, pattern, *, group=None, word=None, keep=None, window=Non
     rank = "cast(null as string)" if severity is None else severity("m.v")
     hits = f"transform({items}, m -> {_hit(rule_id, 'm.line', 'm.no', found, rank)})"
     return let(
-        mark_matches("text", pattern), "marked",
+        mark_matches("code", pattern), "marked",
         f"case when {has_mark('marked')} then {hits} end",
     )
 
@@ -89,7 +92,7 @@ def _sql_checks(wanted: set[str]) -> str:
     """RV-01 on the first match of a line; RV-02 on lines without it, unless prepared."""
     direct = whole_file(fv.REVIEW_PATTERNS["RV-01"], "is", "siudr")
     dynamic = whole_file(fv.REVIEW_PATTERNS["RV-02"], "is", "siudr")
-    first = f"array_distinct({match_lines(mark_matches('text', direct))})"
+    first = f"array_distinct({match_lines(mark_matches('code', direct))})"
     pairs = f"arrays_zip({match_lines('dyn')}, {surroundings('dyn', 200, 400, 8)})"
     # The fields of arrays_zip over expressions are named 0, 1, ...
     unprepared = (
@@ -97,7 +100,7 @@ def _sql_checks(wanted: set[str]) -> str:
         "and contains(p.`1`, 'bind_param'))), p -> p.`0`))"
     )
     second = let(
-        mark_matches("text", dynamic), "dyn",
+        mark_matches("code", dynamic), "dyn",
         f"case when {has_mark('dyn')} then array_except({unprepared}, direct_lines) "
         f"else {NO_LINES} end",
     )
@@ -165,8 +168,8 @@ def _redirect_check() -> str:
 
 
 def check_arrays(wanted: set[str]) -> list[str]:
-    """SQL of one array of hits (or NULL) per check, over the columns text and low."""
-    req = "contains(low, '$_')"
+    """SQL of one array of hits (or NULL) per check, over the columns of ``review_text``."""
+    req = "req"
     texts = fv.REVIEW_PATTERNS
     every: list[str] = []
 
@@ -221,25 +224,46 @@ def check_arrays(wanted: set[str]) -> list[str]:
     simple("RV-20", f"{req} and contains(low, 'unserialize')", "i", "u")
     add("RV-21", "contains(low, '<form') and contains(low, 'post')", _csrf_check())
     validator = whole_file(fv.UPLOAD_VALIDATOR, "i")
-    simple("RV-22", "contains(text, 'move_uploaded_file')", "", "m", window=(600, 200, 19),
+    simple("RV-22", "contains(text, 'move_uploaded_file')", "", window=(600, 200, 19),
            keep=lambda w: f"not {_matches(w, validator)}")
     add("RV-23", "contains(low, 'header') and contains(low, 'location:')", _redirect_check())
     return every
 
 
 def review_text(files: DataFrame) -> DataFrame:
-    """(path, text, low) of the PHP files the profile reads, newlines unified."""
+    """The PHP files the profile reads, newlines unified.
+
+    ``low`` is the lower-case text for gates, ``code`` the text as patterns see it, ``req``
+    whether a request variable can occur.
+    """
     return (
         review_files(files)
         .select("path", unix_newlines(F.col("content")).alias("text"))
-        .select("path", "text", F.lower("text").alias("low"))
+        .selectExpr("path", "text", "lower(text) as low", f"{searchable('text')} as code")
+        .selectExpr("*", "contains(low, '$_') as req")
     )
 
 
-def file_hits(files: DataFrame, checks=None) -> DataFrame:
-    """Per file: path, number of lines, its lines where any check hit, and the hits."""
-    wanted = set(ALL_CHECKS if checks is None else checks)
-    hits = f"flatten(array_compact(array({', '.join(check_arrays(wanted))})))"
+# Rows of this kind carry the name of a function their file defines; they are no findings.
+DEFINITION = "DEFINES"
+
+
+def defined_names() -> str:
+    """SQL of the distinct function names a file defines."""
+    pattern = whole_file(fv.REVIEW_PATTERNS["RV-24"], "", "f")
+    return f"array_distinct({groups_of('code', pattern, 1)})"
+
+
+def file_hits(files: DataFrame, checks=None, definitions: bool = False) -> DataFrame:
+    """Per file: path, number of lines, its lines where any check hit, and the hits.
+
+    With ``definitions`` the functions a file defines come along as rows of their own.
+    """
+    arrays = check_arrays(set(ALL_CHECKS if checks is None else checks))
+    if definitions:
+        names = f"transform({defined_names()}, n -> {_hit(DEFINITION, '0', word='n')})"
+        arrays.append(f"case when contains(text, 'function') then {names} end")
+    hits = f"flatten(array_compact(array({', '.join(arrays)})))"
     return (
         review_text(files)
         .select(

@@ -30,7 +30,11 @@ def rules_by_language(rules: list[LineRule]) -> dict[str, list[LineRule]]:
 
 def _gate(text: str, gate: str) -> str:
     """SQL: does the (lower-case) text hold one of the gate's words?"""
-    return "(" + " or ".join(f"contains({text}, {quoted(w)})" for w in gate.split("|")) + ")"
+
+    def all_of(words: str) -> str:
+        return " and ".join(f"contains({text}, {quoted(w)})" for w in words.split("&"))
+
+    return "(" + " or ".join(all_of(words) for words in gate.split("|")) + ")"
 
 
 def _any_gate(text: str, rules: list[LineRule]) -> str:
@@ -162,7 +166,9 @@ def scan_text(files: DataFrame) -> DataFrame:
 
 def calls_helper(content: Column) -> Column:
     """True where a Python text calls a command helper (case-sensitive, anywhere)."""
-    mentioned = content.contains("os") | content.contains("subprocess")
+    mentioned = F.lit(False)
+    for call in (".system", ".popen", ".call", ".Popen"):
+        mentioned = mentioned | content.contains(call)
     return mentioned & content.rlike(HELPER_CALL.pattern.replace(r"\b", r"(?U:\b)"))
 
 

@@ -6,16 +6,23 @@ so and is otherwise passed over.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulint.operators import analytics
 from rivulint.operators.combine import all_findings
 from rivulint.operators.detect import scan_files
-from rivulint.operators.duplicates import duplicate_function_findings
+from rivulint.operators.duplicates import (
+    duplicate_function_findings, shared_name_findings,
+)
 from rivulint.operators.errors import readable, review_read_errors, scan_read_errors
-from rivulint.operators.file_checks import check_findings, describe, file_hits, hit_rows
+from rivulint.operators.file_checks import (
+    DEFINITION, check_findings, describe, file_hits, hit_rows,
+)
 from rivulint.operators.line_rules import audit_findings, scan_findings
+from rivulint.schema import as_findings
 from rivulint.session import shared_dir
 
 
@@ -63,17 +70,50 @@ def scan_language_matrix(files: DataFrame) -> DataFrame:
     return analytics.language_matrix(scan(files))
 
 
+def _summary(rows: DataFrame, *others: DataFrame) -> DataFrame:
+    """Summary rows from check rows and findings that come from elsewhere."""
+    columns = ["path", "severity", "category", "n_lines"]
+    none = F.lit(None).cast("bigint")
+    # The parts of one very long file list are one finding.
+    counted = all_findings(*others).where("rule_id <> 'RV-24' or match_no = 1")
+    return analytics.summary_rows(
+        describe(rows, "n_lines").select(columns).unionByName(
+            counted.withColumn("n_lines", none).select(columns))
+    )
+
+
 def review_summary_rows(files: DataFrame) -> DataFrame:
     """The review's summary; the per-file checks run once for all of its sections."""
-    rows = describe(hit_rows(file_hits(files)), "n_lines")
-    across = [duplicate_function_findings(files).where(F.col("match_no") == 1)]
+    others = [duplicate_function_findings(files)]
     if "read_error" in files.columns:
-        across.append(review_read_errors(files))
-    counted = all_findings(*across).withColumn("n_lines", F.lit(None).cast("bigint"))
-    columns = ["path", "severity", "category", "n_lines"]
-    return analytics.summary_rows(rows.select(columns).unionByName(counted.select(columns)))
+        others.append(review_read_errors(files))
+    return _summary(hit_rows(file_hits(files)), *others)
 
 
 def review_summary(files: DataFrame) -> DataFrame:
     """The summary as one nested row."""
     return analytics.summary_document(review_summary_rows(files))
+
+
+class Reviewed(NamedTuple):
+    findings: DataFrame
+    summary_rows: DataFrame
+
+
+def review_once(files: DataFrame) -> Reviewed:
+    """Findings and summary with a single read of the corpus.
+
+    The checks and the function definitions of every file are written as rows to the shared
+    folder in one narrow pass; the check across files, the summary and whatever is asked of
+    the findings later start from that much smaller table.
+    """
+    rows = settled(hit_rows(file_hits(files, definitions=True)), "review")
+    hits = rows.where(F.col("rule_id") != DEFINITION)
+    others = [shared_name_findings(
+        rows.where(F.col("rule_id") == DEFINITION).select(F.col("word").alias("name"), "path")
+    )]
+    if "read_error" in files.columns:
+        others.append(review_read_errors(files.select("path", "read_error")))
+    return Reviewed(
+        all_findings(as_findings(describe(hits), "review"), *others), _summary(rows, *others)
+    )

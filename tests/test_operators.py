@@ -69,6 +69,16 @@ def test_counts_add_up(spark, corpus):
     assert list(doc.by_severity) == ["CRITICAL"]
 
 
+def test_one_read_gives_the_same(corpus):
+    files = corpus(("a.php", "<?php function f() {} eval($x);"), ("b.php", "function f(){}\n"),
+                   ("c.php", "x\ny"), ("d.php", "print_r($_GET);"))
+    once = profiles.review_once(files)
+    assert Counter(map(tuple, once.findings.collect())) == Counter(
+        map(tuple, profiles.review(files).collect()))
+    assert Counter(map(tuple, once.summary_rows.collect())) == Counter(
+        map(tuple, profiles.review_summary_rows(files).collect()))
+
+
 def test_summary_of_nothing(corpus):
     doc = profiles.review_summary(corpus(("a.txt", "x"))).first()
     assert (doc.files_scanned, doc.lines_scanned, doc.total_findings) == (0, 0, 0)
