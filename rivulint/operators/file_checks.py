@@ -290,7 +290,8 @@ def hit_rows(per_file: DataFrame) -> DataFrame:
     rows = per_file.select(
         "path", "n_lines", "lines", F.posexplode_outer("hits").alias("pos", "hit")
     )
-    code = F.try_element_at("lines", F.col("hit.line"))
+    # No line for a hit on the file itself (line 0).
+    code = F.get("lines", F.col("hit.line") - 1)
     return rows.select(
         "path",
         F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("n_lines")).alias("n_lines"),

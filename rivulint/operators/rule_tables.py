@@ -55,8 +55,9 @@ def match_by_join(lines: DataFrame, table: DataFrame, n_rules: int) -> DataFrame
     makes more pieces and so more passes, never a larger broadcast.  The gate is looked for
     first, because a pattern that comes from a column is compiled again whenever it changes.
     """
+    gate = "transform(split(lower(coalesce(gate, '')), '[|]'), words -> split(words, '&'))"
     prepared = table.select(
-        F.explode("languages").alias("language"), "rule_id", F.lower("gate").alias("gate"),
+        F.explode("languages").alias("language"), "rule_id", F.expr(gate).alias("gate"),
         F.concat(F.lit(exact_line("")), "pattern").alias("pattern"), "severity", "type",
         "category", "message", "recommendation",
     )
@@ -64,7 +65,9 @@ def match_by_join(lines: DataFrame, table: DataFrame, n_rules: int) -> DataFrame
 
     def one(piece: int) -> DataFrame:
         part = prepared.where(F.pmod(F.xxhash64("rule_id"), F.lit(pieces)) == piece)
-        found = F.expr("contains(low, gate) and rlike(code, pattern)")
+        found = F.expr(
+            "exists(gate, words -> forall(words, w -> contains(low, w))) and rlike(code, pattern)"
+        )
         low = lines.withColumn("low", F.lower("code"))
         return low.join(F.broadcast(part), "language").where(found).drop("low")
 
