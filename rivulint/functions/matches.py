@@ -52,9 +52,11 @@ def groups_of(content: str, pattern: str, group: int) -> str:
 
 def match_lines(marked: str) -> str:
     """1-based line of every match, in order."""
+    # Most lines have no mark; a search settles those without copying them.
     return (
-        f"flatten(transform(split({marked}, {LF}, -1), (ln, ix) -> array_repeat("
-        f"ix + 1, length(ln) - length(replace(ln, {SPLIT_MARK}, '')))))"
+        f"flatten(array_compact(transform(split({marked}, {LF}, -1), (ln, ix) -> "
+        f"case when {has_mark('ln')} then array_repeat("
+        f"ix + 1, length(ln) - length(replace(ln, {SPLIT_MARK}, ''))) end)))"
     )
 
 

@@ -32,7 +32,10 @@ def unix_newlines(text: Column) -> Column:
 
 def any_newlines(text: Column) -> Column:
     """Every line terminator of the Unicode set becomes LF; plain LF text passes untouched."""
-    exotic = text.rlike("[\r\x0b\x0c\x85\u2028\u2029]")
+    # Plain searches for bytes; a character class would decode and walk every text.
+    exotic = text.contains("\r")
+    for terminator in ("\x0b", "\x0c", "\x85", "\u2028", "\u2029"):
+        exotic = exotic | text.contains(terminator)
     return F.when(exotic, F.regexp_replace(text, r"\R", "\n")).otherwise(text)
 
 
