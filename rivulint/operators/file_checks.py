@@ -120,12 +120,17 @@ def _command_check(name: str) -> str:
     """
     call = f"(?dUi-u:(?=[{name[0]}{name[0].upper()}]){fv.NB}{name}" + r"\s*\()"
     split_at_call = quoted(f"(?s)^(.*?){call}(.*)$")
-    reaches = whole_file(fv.REQ + r"[^)]*\)", "i")
+    # Request data with a ``)`` somewhere behind it: request data before the last ``)``.
+    # Searching for the two together would run to the end of the file at every variable.
+    before_last = "left(rest, length(rest) - length(substring_index(rest, ')', -1)) - 1)"
+    reached = let(
+        f"regexp_extract(text, {split_at_call}, 2)", "rest",
+        _matches(before_last, whole_file(fv.REQ, "i")),
+    )
     hit = _hit("RV-06", line_after("prefix"), word=quoted(name))
     return let(
         f"regexp_extract(text, {split_at_call}, 1)", "prefix",
-        f"case when {_matches(f'regexp_extract(text, {split_at_call}, 2)', reaches)} "
-        f"then array({hit}) end",
+        f"case when {reached} then array({hit}) end",
     )
 
 
