@@ -19,7 +19,7 @@ from rivulint.session import build_session  # noqa: E402
 
 HEADLINE = [
     "agg7_language_matrix", "rul_s_scan_findings", "rul_a_audit_findings", "review_all_checks",
-    "agg11_summary", "rv01_sql_injection", "rv02_dynamic_sql", "rv06_command_injection",
+    "agg11_summary_once", "rv01_sql_injection", "rv02_dynamic_sql", "rv06_command_injection",
     "rv16_hardcoded_credential", "rv24_duplicate_function", "pos1_match_places",
     "jn1_rules_by_join", "jn3_context_five", "agg4_by_severity", "top1_files",
     "top2_category_samples", "srt1_sorted_findings", "set2_first_of_key",
