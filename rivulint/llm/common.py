@@ -46,34 +46,35 @@ def _towards_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every node points to one other, which points to none."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("points")).union(
+        pairs.select(F.col("v"), F.lit(0)))
+    points = ends.groupBy("node").agg(F.sum("points").alias("out"), F.min("points").alias("least"))
+    # A node with out = 1 and least = 0 points to one and is pointed at.
+    return not points.where("out > 1 or (out = 1 and least = 0)").take(1)
+
+
 def connected_components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, root) for every node of an edge; root is the least node reachable.
 
     ``edges`` has columns u and v of one orderable type; nulls and loops are left out.
-    Alternates two rewirings until nothing moves: larger neighbours to the least one around
-    (large star), then smaller neighbours likewise (small star).  Every round is two joins on
-    a node; a hub with very many edges is a skewed key, which adaptive execution splits, and
-    its least neighbour is found with map-side aggregation.  Each round is written to the
-    shared folder, so lineage does not grow and no lost executor costs more than a round.
+    Alternates two rewirings until every node points to the least of its component: larger
+    neighbours to the least one around (large star), then smaller neighbours likewise (small
+    star).  A hub with very many edges is a skewed key of a join, which adaptive execution
+    splits, and its least neighbour is found with map-side aggregation.  Each round is written
+    to the shared folder, so lineage does not grow and no lost executor costs more than a round.
     """
     pairs = edges.select("u", "v").where("u <> v")
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs = settled(pairs, purpose)
-    state = None
-    while True:
+    pairs = settled(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                    .distinct(), purpose)
+    while not _are_stars(pairs):
         large = _towards_least(_symmetric(pairs)).where("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         small = _towards_least(large)
         small = small.select("u", F.col("m").alias("v")).union(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        pairs = settled(small.where("u <> v").distinct(), purpose)
-        # The sum of hashes is taken as decimal, so that it cannot overflow.
-        now = pairs.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
+        pairs = settled(small.distinct(), purpose)
     roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulint.llm import (itq_neighbours, packing, sharding, simhash_groups, token_records,
-                          url_rules)
+from rivulint.llm import (contamination, itq_neighbours, line_templates, packing, sharding,
+                          simhash_groups, sql, token_records, url_rules)
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SHARDS = 24
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(
+        table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.encoded_documents(
         table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -32,6 +37,12 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "matched", "size", "containment")
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups.near_duplicate_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
@@ -64,7 +75,8 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_token_records, op4_simhash_groups, op6_shuffled_shards, op7_near_vectors,
+        op1_line_templates, op2_token_records, op3_contamination, op4_simhash_groups, op6_shuffled_shards, op7_near_vectors,
         op8_url_verdicts, op10_curve_packing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_templates": sql.OP1, "op3_contamination": sql.OP3, "op8_url_verdicts": sql.OP8}
