@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulint.llm import (contamination, itq_neighbours, line_templates, packing, sharding,
-                          simhash_groups, sql, token_records, url_rules)
+from rivulint.llm import (contamination, itq_neighbours, language_centroids, line_templates,
+                          packing, sharding, simhash_groups, sql, token_records, toxicity_cnn,
+                          url_rules)
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SHARDS = 24
@@ -49,6 +50,11 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_documents(
         table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
@@ -68,6 +74,11 @@ def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_centroids.identified(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"),
                         public_tokenizers.path(VOCABULARY), END_ID, 4096)
@@ -76,7 +87,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_templates, op2_token_records, op3_contamination, op4_simhash_groups, op6_shuffled_shards, op7_near_vectors,
-        op8_url_verdicts, op10_curve_packing)
+        op5_toxicity, op8_url_verdicts, op9_language, op10_curve_packing)
 }
 ORACLES: dict[str, str] = {
     "op1_line_templates": sql.OP1, "op3_contamination": sql.OP3, "op8_url_verdicts": sql.OP8}

@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulint.llm.common import (block_pairs, connected_components, grouped_in_order, local_stars,
-                                 settled, steps_within, whole_groups)
+from rivulint.llm.common import (block_pairs, connected_components, fresh_name, grouped_in_order,
+                                 local_stars, row_key, settled, steps_within, whole_groups)
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 SEGMENTS, SEGMENT_BITS = 8, 8
@@ -64,19 +64,20 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long) of every document."""
+    """document (key), doc_id and fingerprint (the 64 bits as a signed long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             bits = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(bits.view(np.int64))],
-                names=["doc_id", "fingerprint"])
+                [batch.column("document"), batch.column("doc_id"),
+                 pa.array(bits.view(np.int64))], names=["document", "doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    return docs.select(row_key("doc_id", "text").alias("document"),
+                       F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fingerprint long")
+        run, "document long, doc_id long, fingerprint long")
 
 
 def chain_keys() -> list[tuple[int, int]]:
@@ -139,24 +140,35 @@ def links(values: DataFrame) -> DataFrame:
         _block_links, "u long, v long")
 
 
+def _roots(marked: DataFrame) -> DataFrame:
+    """fingerprint and root, the least fingerprint its links reach."""
+    values = marked.select("fingerprint").distinct()
+    roots = connected_components(links(values), "fingerprint-groups")
+    return values.join(roots, values.fingerprint == roots.node, "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (signed long) and component_id, the least doc_id reachable."""
     marked = settled(with_fingerprints(docs), "fingerprints")
-    values = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(values.select("fingerprint")), "fingerprint-groups")
-    rooted = values.join(roots, values.fingerprint == roots.node, "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).join(
+        _roots(marked), "fingerprint")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("fingerprint", "component_id")
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, one of each group: that with the group's least doc_id.
+    """The documents, one row of each group: that with the least doc_id, null counting last.
 
-    Of several rows with that doc_id the first by text stays.
+    Rows of one doc_id are told apart by a hash of their text; of rows equal in both any stays.
     """
-    kept = near_duplicate_groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    chosen = docs.join(kept.withColumnRenamed("doc_id", "_kept"),
-                       F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return chosen
+    marked = settled(with_fingerprints(docs), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "document")
+    kept = (marked.groupBy("fingerprint").agg(F.min(order).alias("first"))
+            .join(_roots(marked), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+            .select(F.col("first.document").alias("_kept")))
+    key = fresh_name(docs, "_document")
+    return (docs.withColumn(key, row_key("doc_id", "text"))
+            .join(kept, F.col(key) == F.col("_kept"), "left_semi")
+            .dropDuplicates([key]).drop(key))
