@@ -96,11 +96,6 @@ WITH RECURSIVE located AS (
 rules(verdict, rule, rule_host, rule_path) AS (VALUES
     ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
     ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
-ruled AS (
-    SELECT l.*, r.rule, r.verdict FROM located l LEFT JOIN rules r
-        ON (l.host = r.rule_host OR ends_with(l.host, '.' || r.rule_host))
-        AND starts_with(l.path, r.rule_path)
-    QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY length(r.rule) DESC) = 1),
 tags AS (
     SELECT url AS base, unnest([
         regexp_extract(regexp_extract(html,
@@ -126,6 +121,15 @@ addresses AS (
             lambda p: p <> '' AND NOT regexp_full_match(string_split(p, '=')[1], 'utm_[a-z]+|ref'))) AS kept
         FROM (SELECT url FROM located WHERE host <> '' UNION SELECT base FROM pointed
               UNION SELECT url FROM pointed))),
+ruled AS (
+    SELECT l.url, r.rule, r.verdict FROM (
+        SELECT url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+        FROM addresses) l JOIN rules r
+        ON (l.host = r.rule_host OR ends_with(l.host, '.' || r.rule_host))
+        AND starts_with(l.path, r.rule_path)
+    QUALIFY row_number() OVER (PARTITION BY l.url ORDER BY length(r.rule) DESC) = 1),
 pairs AS (
     SELECT a.address AS a, b.address AS b FROM pointed p
     JOIN addresses a ON a.url = p.base JOIN addresses b ON b.url = p.url),
@@ -138,9 +142,9 @@ roots AS (SELECT node, min(far) AS root FROM reach GROUP BY node),
 decided AS (
     SELECT root, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked
     FROM ruled JOIN addresses USING (url) JOIN roots ON address = node GROUP BY root)
-SELECT r.page_id, r.host, r.path, r.rule,
+SELECT p.page_id, p.host, p.path, r.rule,
     coalesce(r.verdict, CASE WHEN d.blocked AND NOT coalesce(d.allowed, false) THEN 'block' END,
         'allow') AS verdict
-FROM ruled r LEFT JOIN addresses a ON r.url = a.url AND r.host <> ''
+FROM located p LEFT JOIN ruled r ON p.url = r.url LEFT JOIN addresses a ON p.url = a.url
 LEFT JOIN roots o ON a.address = o.node LEFT JOIN decided d ON o.root = d.root
 """

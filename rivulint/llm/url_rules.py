@@ -113,24 +113,26 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         url,
         F.regexp_extract(F.regexp_extract("html", LINK_TAG, 0), HREF, 1).alias("canonical"),
         F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 0), REFRESH_URL, 1).alias("refresh"))
-    pointed = tagged.select(url, F.explode(F.array("canonical", "refresh")).alias("target"))
-    pointed = pointed.select(
-        F.concat(F.lit("at "), address(url)).alias("u"),
-        F.concat(F.lit("at "), address(_absolute(url, F.col("target")))).alias("v"))
-    return spelled.union(pointed).where("u is not null and v is not null").distinct()
+    pointed = tagged.select(url, F.explode(F.array("canonical", "refresh")).alias("target")).select(
+        url, _absolute(url, F.col("target")).alias("target"))
+    target = F.col("target")
+    return spelled.union(pointed.select(
+        F.concat(F.lit("at "), address(url)), F.concat(F.lit("at "), address(target)))
+    ).union(pointed.select(
+        F.concat(F.lit("url "), target), F.concat(F.lit("at "), address(target)))
+    ).where("u is not null and v is not null").distinct()
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """The pages with host, path, rule and verdict."""
     ruled = with_rules(pages, rules)
     roots = connected_components(alias_edges(pages), "aliases")
-    spelled = ruled.select(F.concat(F.lit("url "), F.col("url")).alias("node"), "ruled").where(
-        "ruled is not null")
-    decided = spelled.join(roots, "node").groupBy("root").agg(
+    urls = roots.where(F.col("node").startswith("url "))
+    decided = with_rules(urls.select("root", F.substr("node", F.lit(5)).alias("url")), rules).where(
+        "ruled is not null").groupBy("root").agg(
         F.bool_or(F.col("ruled") == "allow").alias("allowed"),
         F.bool_or(F.col("ruled") == "block").alias("blocked"))
-    carried = roots.where(F.col("node").startswith("url ")).join(decided, "root").where(
-        "blocked and not allowed").select("node")
+    carried = urls.join(decided, "root").where("blocked and not allowed").select("node")
     blocked = carried.withColumn("_carried", F.lit("block"))
     joined = ruled.withColumn("node", F.concat(F.lit("url "), F.col("url"))).join(
         blocked, "node", "left")
