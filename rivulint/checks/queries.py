@@ -415,9 +415,8 @@ FROM {AUDIT}""", SCAN, AUDIT),
 # ---- joins --------------------------------------------------------------------------------
 on_code("jn1_rules_by_join", q.compose(
     f"SELECT path, line, rule_id, severity, message FROM {AUDIT}", AUDIT),
-        lambda c: rule_tables.match_by_join(
-            rule_tables.code_lines(c), rule_tables.rule_table(c.sparkSession),
-            len(fv.AUDIT_RULES)).select("path", "line", "rule_id", "severity", "message"))
+        lambda c: rule_tables.table_findings(c, rule_tables.rule_table(c.sparkSession)).select(
+            "path", "line", "rule_id", "severity", "message"))
 
 
 def _extension_join(files: DataFrame) -> DataFrame:
@@ -475,7 +474,7 @@ WHERE NOT EXISTS (SELECT 1 FROM rv01 o WHERE o.path = d.path AND o.line = d.line
 on_code("jn6_files_per_function", q.compose(
     "SELECT name, CAST(n_files AS BIGINT) AS n_files, first_path FROM shared_functions",
     "shared_functions"),
-        lambda c: files_per_name(function_definitions(c)).where("part = 1").select(
+        lambda c: files_per_name(function_definitions(c)).select(
             "name", "n_files", "first_path"))
 
 # ---- aggregates ---------------------------------------------------------------------------
@@ -782,10 +781,27 @@ def _str4(spark, sf_dir):
 
 
 # ---- rules as data ------------------------------------------------------------------------
+def _user_rule(rule_id, languages, pattern, message, gate=None):
+    return fv.LineRule(rule_id, languages, gate, pattern, "low", "User", "User", message, "Look")
+
+
+# Equal messages, a pattern of the empty line, null gates, repeated and no languages, and more
+# rules than one array expression takes.
+USER_RULES = [
+    *fv.AUDIT_RULES,
+    _user_rule("U-1", ("Python", "JavaScript"), "eval", "evaluates", "eval"),
+    _user_rule("U-2", ("Python", "Python", "JavaScript"), r"eval\(", "evaluates", "eval"),
+    _user_rule("U-3", ("PHP", "C"), r"^\s*$", "blank"),
+    _user_rule("U-4", None, "eval", "nowhere"),
+    *[_user_rule(f"U-N{n:03}", ("Java", "C"), rf"[a-z]{n % 23}\b|\({n}\)", f"number {n}")
+      for n in range(230)],
+]
+q.user_rules([r for r in USER_RULES if r.languages])
 on_code("ext1_rule_table", q.compose(
-    f"SELECT path, line, rule_id, severity, type, message, snippet FROM {AUDIT}", AUDIT),
+    "SELECT path, line, rule_id, severity, type, message, snippet FROM user_findings",
+    "user_findings"),
         lambda c: rule_tables.table_findings(
-            c, rule_tables.rule_table(c.sparkSession)).select(
+            c, rule_tables.rule_table(c.sparkSession, USER_RULES)).select(
             "path", "line", "rule_id", "severity", "type", "message", "snippet"))
 on_code("ext2_findings_per_file", q.compose(f"""
 SELECT path, {BIG} AS n, min(line) AS first_line, max(confidence) AS surest

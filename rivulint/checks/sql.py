@@ -118,7 +118,7 @@ RULE_COLUMNS = ("(rule_id, rule_language, pattern, severity, type, category, mes
 
 def rule_rows(rules, prefix=""):
     return [(r.rule_id, lang, prefix + r.pattern, r.severity.upper(), r.type, r.category,
-             r.message, r.recommendation) for r in rules for lang in r.languages]
+             r.message, r.recommendation) for r in rules for lang in sorted(set(r.languages))]
 
 
 cte("audit_rules", RULE_COLUMNS, values(rule_rows(fv.AUDIT_RULES)))
@@ -142,6 +142,14 @@ BASE = ("(CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 90 ELSE 75 END + CASE
         "contains(code, '$_') OR contains(lower(code), 'request') OR "
         "contains(lower(code), 'user') THEN 5 ELSE 0 END)")
 CONFIDENCE = f"CASE WHEN contains(code, 'TODO') THEN greatest(60, {BASE} - 10) ELSE {BASE} END"
+
+
+def user_rules(rules) -> None:
+    """Findings of a rule table over the lines of the case-sensitive profile."""
+    cte("user_rules", RULE_COLUMNS, values(rule_rows(rules)))
+    _hits("user_findings", "audit_lines", "user_rules", "audit", rstrip("code"), "NULL")
+
+
 _hits("audit_findings", "audit_lines", "audit_rules", "audit", rstrip("code"), "NULL")
 _hits("scan_line_findings", "scan_lines", "scan_rules", "scan", strip("code"), CONFIDENCE)
 _hits("page_findings", "page_lines", "scan_rules", "scan", strip("code"), CONFIDENCE)

@@ -8,15 +8,37 @@ from pyspark.sql import functions as F
 from rivulint.functions.text import read_lines, unix_newlines
 
 
+BITMAP_WORDS = 1 << 15
+
+
+def likely_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in ``keys`` and few others, without a shuffle of the rows.
+
+    The keys' hashes set bits in a bitmap of ``BITMAP_WORDS`` words of 64, at most 0.5 MB
+    whatever their number; that alone is broadcast.  The exact join comes after.
+    """
+    marked = F.xxhash64(key)
+    word = marked.bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    bit = F.shiftrightunsigned(marked, 32).bitwiseAND(F.lit(63)).cast("int")
+    bitmap = keys.groupBy(word.alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    held = F.call_function("getbit", F.col("_bits"), bit) == 1
+    return rows.join(F.broadcast(bitmap), word == F.col("_word")).where(held).drop(
+        "_word", "_bits")
+
+
 def context_rows(findings: DataFrame, files: DataFrame, before: int, after: int) -> DataFrame:
     """(path, line, context_line, code, is_hit) for every reported line, clamped to its file.
 
     The reported line numbers travel to the file, one row on either side of the join, so no
-    key can be hot; the numbers of one file are fewer than its lines.
+    key can be hot; the numbers of one file are fewer than its lines.  Before the join the
+    corpus is narrowed, where it is read, to files that are likely reported (``likely_among``),
+    so that the texts of other files do not move.
     """
     wanted = findings.where(F.col("line") > 0).groupBy("path").agg(
         F.collect_set("line").alias("wanted")
     )
+    files = likely_among(files.select("path", "content"), "path", wanted)
     text = files.select("path", unix_newlines(F.col("content")).alias("text"))
     return (
         text.join(wanted, "path")

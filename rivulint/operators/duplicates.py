@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulint.operators.file_checks import defined_names, review_text
 from rivulint.rules.fixed_values import REVIEW_TEXTS
 from rivulint.schema import as_findings
 
-# A name found in more files than this has its file list spread over several rows.
-FILES_PER_ROW = 10_000
+# A finding's message lists so many files of a name, the first by path, and counts the others;
+# all of them are in ``defining_files``.
+LISTED_FILES = 10_000
 
 
 def function_definitions(files: DataFrame) -> DataFrame:
@@ -31,50 +32,52 @@ def shared_names(definitions: DataFrame) -> DataFrame:
     )
 
 
-def files_per_name(definitions: DataFrame, files_per_row: int = FILES_PER_ROW) -> DataFrame:
-    """(name, n_files, first_path, part, parts, files): the sorted files of every shared name.
+def defining_files(definitions: DataFrame) -> DataFrame:
+    """(name, n_files, path): every file of every shared name, a row each."""
+    return definitions.join(
+        shared_names(definitions).select("name", "n_files"), "name").select(
+        "name", "n_files", "path")
 
-    A name in up to ``files_per_row`` files has one row with the whole list.  The list of a
-    hotter name comes in several rows, each bounded and sorted; together they hold every
-    file.  So no task ever gathers an unbounded list, and the join that tells a row how hot
-    its name is has one row per name on the other side, which adaptive execution can repeat
-    for the splits of a skewed partition.
+
+def files_per_name(definitions: DataFrame, listed: int = LISTED_FILES) -> DataFrame:
+    """(name, n_files, first_path, files): one row per shared name with its first files, sorted.
+
+    The ranking keeps ``listed`` rows per name and task before anything is shuffled, so no task
+    gathers more than that for a name, however many files define it.
     """
-    counted = definitions.join(shared_names(definitions), "name")
-    parts = F.ceil(F.col("n_files") / files_per_row)
-    part = F.when(parts > 1, F.pmod(F.xxhash64("path"), parts) + 1).otherwise(1)
-    return (
-        counted.withColumn("parts", parts.cast("int"))
-        .withColumn("part", part.cast("int"))
-        .groupBy("name", "n_files", "first_path", "parts", "part")
-        .agg(F.array_sort(F.collect_list("path")).alias("files"))
+    order = Window.partitionBy("name").orderBy("path")
+    first = (
+        definitions.withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= listed)
+        .groupBy("name").agg(F.array_sort(F.collect_list("path")).alias("files"))
     )
+    return shared_names(definitions).join(first, "name")
 
 
-def duplicate_function_findings(
-    files: DataFrame, files_per_row: int = FILES_PER_ROW
-) -> DataFrame:
-    return shared_name_findings(function_definitions(files), files_per_row)
+def duplicate_function_findings(files: DataFrame, listed: int = LISTED_FILES) -> DataFrame:
+    return shared_name_findings(function_definitions(files), listed)
 
 
-def shared_name_findings(
-    definitions: DataFrame, files_per_row: int = FILES_PER_ROW
-) -> DataFrame:
-    """One finding per shared name (one per part of its file list when that is very long)."""
+def shared_name_findings(definitions: DataFrame, listed: int = LISTED_FILES) -> DataFrame:
+    """One finding per shared name, at any number of files."""
     severity, category, message, fix = REVIEW_TEXTS["RV-24"]
     definitions = definitions.where(~F.col("name").startswith("__"))
+    others = F.col("n_files") - F.size("files")
+    shown = F.concat(
+        F.array_join("files", ", "),
+        F.when(others > 0, F.concat(F.lit(" and "), others.cast("string"), F.lit(" more")))
+        .otherwise(F.lit("")),
+    )
     text = F.lit(message)
     for slot, value in (
-        ("{2}", F.array_join("files", ", ")),
-        ("{1}", F.col("n_files").cast("string")),
-        ("{0}", F.col("name")),
+        ("{2}", shown), ("{1}", F.col("n_files").cast("string")), ("{0}", F.col("name")),
     ):
         text = F.replace(text, F.lit(slot), value)
-    rows = files_per_name(definitions, files_per_row).select(
+    rows = files_per_name(definitions, listed).select(
         F.col("first_path").alias("path"), F.lit(0).alias("line"),
         F.lit("RV-24").alias("rule_id"), F.lit(severity).alias("severity"),
         F.lit(category).alias("category"), text.alias("message"), F.lit("").alias("snippet"),
         F.lit(fix).alias("recommendation"), F.lit("PHP").alias("language"),
-        F.col("part").alias("match_no"),
+        F.lit(1).alias("match_no"),
     )
     return as_findings(rows, "review")

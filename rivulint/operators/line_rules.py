@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from rivulint.functions.dialect import exact_line, folded_line
 from rivulint.functions.matches import quoted
-from rivulint.functions.text import any_newlines, rtrim_white, trim_white, unix_newlines
+from rivulint.functions.text import (
+    any_newlines, file_lines, read_lines, rtrim_white, trim_white, unix_newlines,
+)
 from rivulint.operators.detect import audit_language, scan_language
 from rivulint.rules.fixed_values import (
     AUDIT_RULES, HELPER_CALL, HELPER_CALL_CONFIDENCE, SCAN_RULES, LineRule,
@@ -23,7 +25,7 @@ from rivulint.schema import as_findings
 def rules_by_language(rules: list[LineRule]) -> dict[str, list[LineRule]]:
     groups: dict[str, list[LineRule]] = {}
     for rule in rules:
-        for language in rule.languages:
+        for language in dict.fromkeys(rule.languages):
             groups.setdefault(language, []).append(rule)
     return groups
 
@@ -65,13 +67,18 @@ def _rule_struct(rule: LineRule) -> str:
 
 
 NO_LINES = "array<struct<line:string,low:string>>"
+# So many rules are tested by one array expression; a language with more has several.
+RULES_PER_ARRAY = 100
 
 
-def candidate_lines(files: DataFrame, rules: list[LineRule], file_hit: Column | None = None):
+def candidate_lines(
+    files: DataFrame, rules: list[LineRule], file_hit: Column | None = None, lines_of=file_lines
+) -> DataFrame:
     """(path, language, line, code, low) of the lines holding a gate word.
 
-    ``files`` has path, language and LF-separated text.  Where ``file_hit`` holds, the file
-    adds one row without code that stands for a finding on the file itself.
+    ``files`` has path, language and LF-separated text, which ``lines_of`` splits.  Where
+    ``file_hit`` holds, the file adds one row without code that stands for a finding on the
+    file itself.
     """
 
     def gated(text: str) -> Column:
@@ -81,7 +88,7 @@ def candidate_lines(files: DataFrame, rules: list[LineRule], file_hit: Column |
     lines = F.when(
         gated("text_low"),
         F.arrays_zip(
-            F.split("text", "\n", -1).alias("line"), F.split("text_low", "\n", -1).alias("low")
+            lines_of(F.col("text")).alias("line"), lines_of(F.col("text_low")).alias("low")
         ).cast(NO_LINES),
     )
     if file_hit is not None:
@@ -103,11 +110,13 @@ def candidate_lines(files: DataFrame, rules: list[LineRule], file_hit: Column |
 
 
 def line_hits(
-    lines: DataFrame, rules: list[LineRule], dialect, file_rule: LineRule | None = None
+    lines: DataFrame, rules: list[LineRule], dialect, file_rule: LineRule | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """One row per line and matching rule: the line's columns plus the rule's.
 
-    Of rules with equal message and type only the first to match a line reports it.
+    With ``once``, of rules with equal message and type only the first in the list to match a
+    line reports it.  Any number of rules is one projection over one read of the lines.
     """
 
     def hits(group: list[LineRule]) -> str:
@@ -117,10 +126,12 @@ def line_hits(
             tests.append(f"code rlike {quoted(dialect(rule.pattern))}")
             tests += [
                 f"not code rlike {quoted(dialect(earlier.pattern))}" for earlier in group[:i]
-                if (earlier.message, earlier.type) == (rule.message, rule.type)
+                if once and (earlier.message, earlier.type) == (rule.message, rule.type)
             ]
             found.append(f"case when {' and '.join(tests)} then {_rule_struct(rule)} end")
-        return f"array({', '.join(found)})"
+        arrays = [f"array({', '.join(found[at:at + RULES_PER_ARRAY])})"
+                  for at in range(0, len(found), RULES_PER_ARRAY)]
+        return f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
 
     found = f"array_compact({_per_language(rules, hits)})"
     if file_rule is not None:
@@ -145,12 +156,15 @@ def confidence(severity: Column, code: Column, low: Column) -> Column:
 
 
 def audit_findings(files: DataFrame, rules: list[LineRule] = AUDIT_RULES) -> DataFrame:
-    """The case-sensitive profile over (path, content)."""
+    """The case-sensitive profile over (path, content): every rule reports every line it hits."""
+    if not rules_by_language(rules):
+        files, rules = files.where(F.lit(False)), AUDIT_RULES
     prepared = files.select(
         "path", audit_language(F.col("path")).alias("language"),
         unix_newlines(F.col("content")).alias("text"),
     ).where(F.col("language").isNotNull())
-    hits = line_hits(candidate_lines(prepared, rules), rules, exact_line)
+    lines = candidate_lines(prepared, rules, lines_of=read_lines)
+    hits = line_hits(lines, rules, exact_line)
     return as_findings(
         hits.withColumn("snippet", rtrim_white(F.col("code"))), "audit"
     )
@@ -185,7 +199,7 @@ def scan_findings(
     if file_rule:
         on_file = (F.col("language") == "Python") & calls_helper(F.col("text"))
     lines = candidate_lines(text, rules, on_file)
-    hits = line_hits(lines, rules, folded_line, HELPER_CALL if file_rule else None)
+    hits = line_hits(lines, rules, folded_line, HELPER_CALL if file_rule else None, once=True)
     itself = F.col("code").isNull()
     return as_findings(
         hits.select(

@@ -2,84 +2,37 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from rivulint.functions.dialect import exact_line
-from rivulint.functions.text import read_lines, rtrim_white, unix_newlines
-from rivulint.operators.detect import audit_language
 from rivulint.operators.line_rules import audit_findings
 from rivulint.rules.fixed_values import AUDIT_RULES, LineRule
-from rivulint.schema import as_findings
 
 RULE_SCHEMA = (
     "rule_id string, languages array<string>, gate string, pattern string, severity string,"
     " type string, category string, message string, recommendation string"
 )
-# Up to this many rules are written into the expression itself.
-FUSED_RULES = 200
-# A rule table is broadcast in pieces of about this many rows.
-BROADCAST_RULES = 5_000
 
 
 def rule_table(spark: SparkSession, rules: list[LineRule] = AUDIT_RULES) -> DataFrame:
-    rows = [(*r[:1], list(r.languages), *r[2:]) for r in rules]
+    rows = [(*r[:1], None if r.languages is None else list(r.languages), *r[2:]) for r in rules]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
 def collected_rules(table: DataFrame) -> list[LineRule]:
-    """The rules of a small table, on the driver to be made part of the plan."""
-    rows = table.limit(FUSED_RULES + 1).collect()
-    if len(rows) > FUSED_RULES:
-        raise ValueError("too many rules to write into one expression")
-    return [LineRule(r[0], tuple(r[1]), (r[2] or "").lower(), *r[3:]) for r in rows]
-
-
-def code_lines(files: DataFrame) -> DataFrame:
-    """(path, language, line, code) of the files the case-sensitive profile reads."""
-    text = files.select(
-        "path", audit_language(F.col("path")).alias("language"),
-        unix_newlines(F.col("content")).alias("text"),
-    ).where(F.col("language").isNotNull())
-    return text.select(
-        "path", "language", F.posexplode(read_lines(F.col("text"))).alias("pos", "code")
-    ).select("path", "language", (F.col("pos") + 1).cast("int").alias("line"), "code")
-
+    """The table's rules, on the driver to be made part of the plan, in the order of their ids.
 
-def match_by_join(lines: DataFrame, table: DataFrame, n_rules: int) -> DataFrame:
-    """Lines joined with a rule table on language, kept where the pattern is found.
-
-    The table is the only side that is broadcast, in pieces of bounded size: a larger table
-    makes more pieces and so more passes, never a larger broadcast.  The gate is looked for
-    first, because a pattern that comes from a column is compiled again whenever it changes.
+    A rule table is configuration: its size is that of the rules written down, whatever the
+    corpus.  A rule without pattern or languages applies to nothing; a language listed twice
+    counts once; a null gate lets every line through.
     """
-    gate = "transform(split(lower(coalesce(gate, '')), '[|]'), words -> split(words, '&'))"
-    prepared = table.select(
-        F.explode("languages").alias("language"), "rule_id", F.expr(gate).alias("gate"),
-        F.concat(F.lit(exact_line("")), "pattern").alias("pattern"), "severity", "type",
-        "category", "message", "recommendation",
-    )
-    pieces = max(1, -(-n_rules // BROADCAST_RULES))
-
-    def one(piece: int) -> DataFrame:
-        part = prepared.where(F.pmod(F.xxhash64("rule_id"), F.lit(pieces)) == piece)
-        found = F.expr(
-            "exists(gate, words -> forall(words, w -> contains(low, w))) and rlike(code, pattern)"
-        )
-        low = lines.withColumn("low", F.lower("code"))
-        return low.join(F.broadcast(part), "language").where(found).drop("low")
-
-    return reduce(DataFrame.unionByName, [one(i) for i in range(pieces)])
+    rules = []
+    for row in table.select(*[c.split()[0] for c in RULE_SCHEMA.split(", ")]).collect():
+        languages = tuple(dict.fromkeys(x for x in row.languages or () if x is not None))
+        if languages and row.pattern is not None:
+            rules.append(LineRule(row.rule_id, languages, (row.gate or "").lower(), *row[3:]))
+    return sorted(rules, key=lambda r: (r.rule_id or "", r.pattern))
 
 
 def table_findings(files: DataFrame, table: DataFrame) -> DataFrame:
-    """Findings of a user's rule table: fused when it is small, joined when it is not."""
-    n_rules = table.count()
-    if n_rules <= FUSED_RULES:
-        return audit_findings(files, collected_rules(table))
-    hits = match_by_join(code_lines(files), table, n_rules)
-    return as_findings(
-        hits.withColumn("snippet", rtrim_white(F.col("code"))), "audit"
-    )
+    """Findings of a user's rule table; one narrow pass over the corpus for any number of rules."""
+    return audit_findings(files, collected_rules(table))

@@ -14,13 +14,9 @@ from pyspark.sql import functions as F
 from rivulint.operators import analytics
 from rivulint.operators.combine import all_findings
 from rivulint.operators.detect import scan_files
-from rivulint.operators.duplicates import (
-    duplicate_function_findings, shared_name_findings,
-)
+from rivulint.operators.duplicates import shared_name_findings
 from rivulint.operators.errors import readable, review_read_errors, scan_read_errors
-from rivulint.operators.file_checks import (
-    DEFINITION, check_findings, describe, file_hits, hit_rows,
-)
+from rivulint.operators.file_checks import DEFINITION, describe, file_hits, hit_rows
 from rivulint.operators.line_rules import audit_findings, scan_findings
 from rivulint.schema import as_findings
 from rivulint.session import shared_dir
@@ -33,10 +29,8 @@ def _parts(files: DataFrame, build, errors) -> list[DataFrame]:
 
 
 def review(files: DataFrame) -> DataFrame:
-    """Whole-file PHP checks plus the check across files."""
-    return all_findings(*_parts(
-        files, lambda f: [check_findings(f), duplicate_function_findings(f)], review_read_errors
-    ))
+    """Whole-file PHP checks plus the check across files, from one read of the corpus."""
+    return review_once(files).findings
 
 
 def audit(files: DataFrame, *tool_findings: DataFrame) -> DataFrame:
@@ -74,8 +68,7 @@ def _summary(rows: DataFrame, *others: DataFrame) -> DataFrame:
     """Summary rows from check rows and findings that come from elsewhere."""
     columns = ["path", "severity", "category", "n_lines"]
     none = F.lit(None).cast("bigint")
-    # The parts of one very long file list are one finding.
-    counted = all_findings(*others).where("rule_id <> 'RV-24' or match_no = 1")
+    counted = all_findings(*others)
     return analytics.summary_rows(
         describe(rows, "n_lines").select(columns).unionByName(
             counted.withColumn("n_lines", none).select(columns))
@@ -83,11 +76,8 @@ def _summary(rows: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def review_summary_rows(files: DataFrame) -> DataFrame:
-    """The review's summary; the per-file checks run once for all of its sections."""
-    others = [duplicate_function_findings(files)]
-    if "read_error" in files.columns:
-        others.append(review_read_errors(files))
-    return _summary(hit_rows(file_hits(files)), *others)
+    """The review's summary."""
+    return review_once(files).summary_rows
 
 
 def review_summary(files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulint.session import size_in_bytes
+from rivulint.session import CORPUS_PARTITIONS
 
 # The code put around every document's whole text to make it a source file.
 SNIPPETS = [
@@ -48,20 +48,6 @@ SNIPPETS = [
 FOLDERS = ["src", "src", "app/core", "lib", "web/static", "src", "vendor/pkg", "dist",
            "node_modules/m", "uploads"]
 
-SPREAD_BELOW_BYTES = 1 << 30
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small table out over the cores before heavy per-row work.
-
-    A small parquet file may be a single row group and so a single task.  Large tables
-    already have a task per row group and are left where they are: no shuffle at scale.
-    """
-    if size_in_bytes(df) < SPREAD_BELOW_BYTES:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-    return df
-
-
 def table_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A stored table of (path, content) and optional read_error as corpus."""
     df = spark.read.format(fmt).load(path)
@@ -92,7 +78,10 @@ def documents_as_code(documents: DataFrame, *keep: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return documents_as_code(spread_small(documents, "doc_id"))
+    partitions = spark.conf.get(CORPUS_PARTITIONS, None)
+    if partitions:
+        documents = documents.repartition(int(partitions), "doc_id")
+    return documents_as_code(documents)
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:

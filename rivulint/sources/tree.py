@@ -4,7 +4,9 @@ Spark's own file listing skips names beginning with ``_`` or ``.`` (so ``__init_
 hence a small Python data source that only lists.  The driver looks at directories until
 there are enough of them for the tasks; the tasks walk the subtrees.  The listed names are
 then dealt out evenly before the files are read, so a huge folder is one task's listing but
-never one task's reading.  The tree must be on storage every executor can see.
+never one task's reading.  The tree must be a file system that every executor mounts; for
+object storage use a table as corpus (``corpus.table_corpus``).  A folder that may not be listed
+is passed over, a file that cannot be read (a broken link too) gives its error.
 """
 
 from __future__ import annotations
@@ -42,21 +44,32 @@ class TreeReader(DataSourceReader):
             open_folders.extend(self._subfolders(folder))
         return [Subtree(f, False) for f in shallow] + [Subtree(f, True) for f in open_folders]
 
+    def _entries(self, folder: str) -> list[os.DirEntry]:
+        """What is in a folder; nothing where it may not be listed or is gone."""
+        try:
+            with os.scandir(folder) as entries:
+                return list(entries)
+        except OSError:
+            return []
+
+    def _is_file(self, entry: os.DirEntry) -> bool:
+        """Files, and links that lead nowhere: reading those gives their error."""
+        return os.path.isfile(entry.path) or (
+            entry.is_symlink() and not os.path.exists(entry.path))
+
     def _subfolders(self, folder: str):
-        with os.scandir(folder) as entries:
-            return [e.path for e in entries
-                    if e.is_dir(follow_symlinks=False) and e.name not in self.pruned]
+        return [e.path for e in self._entries(folder)
+                if e.is_dir(follow_symlinks=False) and e.name not in self.pruned]
 
     def read(self, partition):
         pending = [partition.folder]
         while pending:
-            with os.scandir(pending.pop()) as entries:
-                for entry in entries:
-                    if entry.is_dir(follow_symlinks=False):
-                        if partition.deep and entry.name not in self.pruned:
-                            pending.append(entry.path)
-                    elif entry.is_file():
-                        yield (os.path.relpath(entry.path, self.root), entry.path)
+            for entry in self._entries(pending.pop()):
+                if entry.is_dir(follow_symlinks=False):
+                    if partition.deep and entry.name not in self.pruned:
+                        pending.append(entry.path)
+                elif self._is_file(entry):
+                    yield (os.path.relpath(entry.path, self.root), entry.path)
 
 
 class TreeSource(DataSource):

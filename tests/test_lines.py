@@ -78,20 +78,29 @@ def test_same_message_is_reported_once_per_line(corpus):
     assert sorted((r.line, r.rule_id) for r in rows.collect()) == [(1, "A"), (2, "A"), (3, "B")]
 
 
-def test_rule_table_routes_agree(spark, corpus, monkeypatch):
+def test_rule_table_finds_what_the_rules_find(spark, corpus):
     files = corpus(*[(f"a/{i}{e}", "\n".join(SAMPLES)) for i, e in enumerate(EXTENSION.values())])
-    table = rule_tables.rule_table(spark)
 
     def rows(found):
         return Counter((r.path, r.line, r.rule_id, r.snippet, r.severity) for r in found.collect())
 
-    fused = rows(rule_tables.table_findings(files, table))
-    assert fused == rows(audit_findings(files))
-    monkeypatch.setattr(rule_tables, "FUSED_RULES", 10)
-    monkeypatch.setattr(rule_tables, "BROADCAST_RULES", 10)
-    assert rows(rule_tables.table_findings(files, table)) == fused
-    with pytest.raises(ValueError):
-        rule_tables.collected_rules(table)
+    assert rows(rule_tables.table_findings(files, rule_tables.rule_table(spark))) == rows(
+        audit_findings(files))
+
+
+def test_rule_table_of_a_user(spark, corpus):
+    def rule(rule_id, pattern, languages=("Python",), gate=None):
+        return LineRule(rule_id, languages, gate, pattern, "low", "t", "c", "same", "r")
+
+    rules = [rule("U1", "eval"), rule("U2", r"eval\("), rule("U3", r"^\s*$"),
+             rule("U4", "z", None), rule("U5", None), rule("U6", "z", ("Python", "Python", None)),
+             *[rule(f"V{n:03}", f"={n}=") for n in range(250)]]
+    files = corpus(("a.py", "x = eval(y)\n\nz = 1\n"), ("b.py", ""), ("c.py", "=7==249=="))
+    found = rule_tables.table_findings(files, rule_tables.rule_table(spark, rules)).collect()
+    assert sorted((r.path, r.rule_id, r.line) for r in found) == [
+        ("a.py", "U1", 1), ("a.py", "U2", 1), ("a.py", "U3", 2), ("a.py", "U6", 3),
+        ("c.py", "V007", 1), ("c.py", "V249", 1)]
+    assert rule_tables.table_findings(files, rule_tables.rule_table(spark, [])).count() == 0
 
 
 def test_findings_do_not_depend_on_partitioning(corpus):

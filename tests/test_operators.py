@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from rivulint.operators import analytics, combine, context, filters
 from rivulint.operators.advice import fallback_advice, normal_severity
 from rivulint.operators.detect import audit_files, review_files, scan_files, scan_language
-from rivulint.operators.duplicates import duplicate_function_findings
+from rivulint.operators.duplicates import (
+    defining_files, duplicate_function_findings, function_definitions,
+)
 from rivulint.operators.line_rules import audit_findings
 from rivulint.plans import profiles
 from rivulint.schema import FINDING_FIELDS, as_findings
@@ -118,11 +120,26 @@ def test_hot_function_name_is_listed_whole(corpus):
                      for i in range(60)], ("a.php", "function hot(){} function one(){}"))
     (row,) = duplicate_function_findings(files).collect()
     assert row.path == "a.php" and " 61 files: a.php, d/f000.php, " in row.message
-    parts = duplicate_function_findings(files, files_per_row=10).collect()
-    listed = [p for r in parts for p in r.message.split(": ")[1].rstrip(".").split(", ")]
-    assert len(parts) > 3 and sorted(listed) == sorted(["a.php"] + [
-        f"d/f{i:03d}.php" for i in range(60)])
-    assert sorted(r.match_no for r in parts)[0] >= 1 and {r.path for r in parts} == {"a.php"}
+    (row,) = duplicate_function_findings(files, listed=3).collect()
+    assert row.path == "a.php" and row.message.split(": ")[1].startswith(
+        "a.php, d/f000.php, d/f001.php and 58 more")
+    every = defining_files(function_definitions(files)).where("name = 'hot'").collect()
+    assert sorted((r.n_files, r.path) for r in every) == [
+        (61, p) for p in sorted(["a.php"] + [f"d/f{i:03d}.php" for i in range(60)])]
+
+
+def test_name_in_more_files_than_are_listed_counts_once(spark):
+    files = spark.range(10_050).select(
+        F.format_string("d/f%05d.php", "id").alias("path"),
+        F.lit("function hot() {}").alias("content"))
+    found = profiles.review_once(files)
+    (row,) = found.findings.collect()
+    assert (row.rule_id, row.path) == ("RV-24", "d/f00000.php")
+    assert " 10050 files: " in row.message and " and 50 more" in row.message
+    assert analytics.count_all(found.findings).first()[0] == 1
+    assert [r.n for r in analytics.top_files(found.findings).collect()] == [1]
+    total = {(r.section, r.key): r.n for r in found.summary_rows.collect()}
+    assert 1 in total.values()
 
 
 def test_filters(spark):

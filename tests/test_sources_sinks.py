@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import os
 from collections import Counter
 
 import pytest
@@ -75,6 +76,45 @@ def test_unreadable_file_is_a_finding(spark, tree):
         "CRITICAL", "error", "PHP", 95)
 
 
+def test_tree_with_what_cannot_be_read(spark, tmp_path):
+    from rivulint.sources.tree import Subtree, TreeReader, tree_corpus
+
+    (tmp_path / "a.php").write_text("x")
+    (tmp_path / "gone.php").symlink_to(tmp_path / "nowhere.php")
+    (tmp_path / "round.php").symlink_to(tmp_path / "round.php")
+    os.mkfifo(tmp_path / "pipe.php")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "linked").symlink_to(tmp_path / "sub")
+    rows = {r.path: r for r in tree_corpus(spark, str(tmp_path), tasks=2).collect()}
+    assert set(rows) == {"a.php", "gone.php", "round.php"}
+    assert rows["a.php"].read_error is None
+    assert "No such file" in rows["gone.php"].read_error and rows["round.php"].read_error
+    assert {r.path for r in review_read_errors(
+        spark.createDataFrame(list(rows.values()))).collect()} == {"gone.php", "round.php"}
+    # A folder that vanished or may not be listed is passed over.
+    reader = TreeReader(str(tmp_path), [], 4)
+    assert list(reader.read(Subtree(str(tmp_path / "missing"), True))) == []
+    assert reader._subfolders(str(tmp_path / "missing")) == []
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from rivulint.session import shared_dir
+
+    def session(**settings):
+        known = {k.replace("_", "."): v for k, v in settings.items()}
+        return SimpleNamespace(conf=SimpleNamespace(get=known.get), sparkContext=spark.sparkContext)
+
+    with pytest.raises(ValueError):
+        shared_dir(session(spark_master="spark://host:7077"), "x")
+    with pytest.raises(ValueError):
+        shared_dir(session(spark_master="local-cluster[2,1,1024]"), "x")
+    assert shared_dir(session(spark_master="local[4]"), "x")
+    assert shared_dir(session(spark_master="yarn", spark_checkpoint_dir=str(tmp_path)), "x"
+                      ).startswith(str(tmp_path))
+
+
 def test_tool_reports(spark, tmp_path):
     (tmp_path / "pylint.json").write_text(json.dumps([
         {"path": "a.py", "line": 3, "symbol": "unused", "message": "Unused x"}, {"line": 1},
