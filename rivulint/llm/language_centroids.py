@@ -30,6 +30,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 BUCKETS, CENTROIDS, SAMPLE_PER_LANGUAGE = 4096, 4, 400
+# More than there are languages; bounds the table of their counts, which is broadcast.
+LANGUAGES = 10_000
 ROUNDS, SEED, REJECTED_SHARE = 12, 3, 0.005
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -105,8 +107,18 @@ def _document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def _sample(known: DataFrame) -> DataFrame:
-    """At most SAMPLE_PER_LANGUAGE texts of each language, those least by a hash of the row."""
-    keyed = known.withColumn("_draw", F.xxhash64("doc_id", "text"))
+    """At most SAMPLE_PER_LANGUAGE texts of each language, those least by a hash of the row.
+
+    Languages are counted first and thinned by the hash to little more than is wanted, so that
+    the ranking of a language that has most of the rows sees few of them.
+    """
+    full = 1 << 30
+    share = (F.lit(1.5 * SAMPLE_PER_LANGUAGE * full) / F.col("count")).cast("long")
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(
+        "lang", F.least(F.lit(full), share).alias("_most"))
+    keyed = known.withColumn("_draw", F.xxhash64("doc_id", "text")).join(
+        F.broadcast(most), "lang").where(
+        F.col("_draw").bitwiseAND(F.lit(full - 1)) < F.col("_most"))
     order = Window.partitionBy("lang").orderBy("_draw")
     return keyed.withColumn("_rank", F.row_number().over(order)).where(
         F.col("_rank") <= SAMPLE_PER_LANGUAGE).select("lang", "text")
