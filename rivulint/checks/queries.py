@@ -546,6 +546,19 @@ on_code("agg11_summary", q.compose(
 on_code("agg11_summary_once", q.compose(
     f"SELECT section, CAST(rank AS INTEGER) AS rank, key, n FROM ({SUMMARY_SQL})", REVIEW),
         lambda c: profiles.review_once(c).summary_rows)
+on_code("agg11_summary_row", q.compose(f"""
+SELECT max(CASE WHEN section = 'files_scanned' THEN n END) AS files_scanned,
+  max(CASE WHEN section = 'lines_scanned' THEN n END) AS lines_scanned,
+  max(CASE WHEN section = 'total_findings' THEN n END) AS total_findings,
+  string_agg(key || '=' || n, '; ' ORDER BY rank) FILTER (section = 'by_severity') AS severities,
+  string_agg(key || '=' || n, '; ' ORDER BY rank) FILTER (section = 'top_files') AS files
+FROM ({SUMMARY_SQL})""", REVIEW),
+        lambda c: profiles.review_summary(c).select(
+            "files_scanned", "lines_scanned", "total_findings",
+            F.array_join(F.transform(F.map_entries("by_severity"), lambda e: F.concat(
+                e["key"], F.lit("="), e["value"].cast("string"))), "; ").alias("severities"),
+            F.array_join(F.transform("top_files", lambda e: F.concat(
+                e["file"], F.lit("="), e["n"].cast("string"))), "; ").alias("files")))
 on_code("agg12_file_lists", q.compose("""
 SELECT name, CAST(n_files AS BIGINT) AS n_files, files FROM shared_functions""",
                                       "shared_functions"),
@@ -907,28 +920,68 @@ on_code("snk5_markdown_document", q.compose(
     _head_sql(reports.MARKDOWN_HEADS, "  ", _ITEM, "'- **' || key || '**: ' || n")
     + f" UNION ALL SELECT 8, value FROM ({_MARKDOWN_SQL})", REVIEW),
         lambda c: _ordered(reports.markdown_document(*reversed(profiles.review_once(c)))))
-on_code("snk6_html_rows", q.compose(f"""
+_AUDIT_ROWS = f"""
 SELECT path, line, rule_id, '<tr><td>' || {ESCAPED.format('path')} || '</td><td>' || line
   || '</td><td>' || language || '</td><td>' || type || '</td><td>' || severity || '</td><td>'
-  || {ESCAPED.format('message')} || '</td></tr>' AS value FROM {AUDIT}""", AUDIT),
+  || {ESCAPED.format('message')} || '</td></tr>' AS value FROM {AUDIT}"""
+on_code("snk6_html_rows", q.compose(_AUDIT_ROWS, AUDIT),
         lambda c: reports.html_rows(audit_findings(c)).select(
             "path", "line", "rule_id", "value"))
-on_code("snk7_html_finding_rows", q.compose(f"""
+_SCAN_ROWS = f"""
 SELECT path, line, rule_id, '<tr><td>' || {ESCAPED.format('path')}
   || '</td><td style=''text-align:center;''>' || line
   || '</td><td class=''severity-cell''><span class=''badge-' || lower(severity) || '''>'
   || severity || '</span></td><td>' || {ESCAPED.format('message')} || '</td><td>'
   || {ESCAPED.format('language')} || '</td><td>' || {ESCAPED.format('category')} || '</td><td>'
-  || {ESCAPED.format('recommendation')} || '</td></tr>' AS value FROM {SCAN}""", SCAN),
+  || {ESCAPED.format('recommendation')} || '</td></tr>' AS value FROM {SCAN}"""
+on_code("snk7_html_finding_rows", q.compose(_SCAN_ROWS, SCAN),
         lambda c: reports.html_finding_rows(profiles.scan(c)).select(
             "path", "line", "rule_id", "value"))
-on_code("snk7_html_matrix_rows", q.compose(f"""
+_MATRIX_ROWS = f"""
 SELECT language, '<tr><td><span class=''language-badge''>' || language || '</span></td><td>'
   || critical || '</td><td>' || high || '</td><td>' || medium || '</td><td>' || low
-  || '</td><td><strong>' || total || '</strong></td></tr>' AS value FROM ({MATRIX_SQL})""", SCAN),
+  || '</td><td><strong>' || total || '</strong></td></tr>' AS value FROM ({MATRIX_SQL})"""
+on_code("snk7_html_matrix_rows", q.compose(_MATRIX_ROWS, SCAN),
         lambda c: reports.html_matrix_rows(profiles.scan_language_matrix(c)))
 
 
+TIME = "2026-01-02 03:04"
+
+
+def _fixed_lines(parts: dict[int, list[str]]) -> str:
+    rows = q.values((part, line) for part, lines in parts.items() for line in lines)
+    return f"SELECT CAST(part AS INTEGER) AS part, value FROM ({rows}) fixed(part, value)"
+
+
+on_code("snk4_short_text_document", q.compose(
+    _fixed_lines({0: [f"Code Audit Report – {TIME}", "=" * 80, ""]}) + f"""
+UNION ALL SELECT 1, unnest([path || ':' || line || ' [' || language || '] ' || type || ' ('
+  || severity || ')', '  ' || message, '']) FROM {AUDIT}""", AUDIT),
+        lambda c: _ordered(reports.short_text_document(audit_findings(c), TIME)))
+on_code("snk6_html_document", q.compose(
+    _fixed_lines({0: [reports.HTML_START, f"<h1>Code Audit Report – {TIME}</h1>",
+                      reports.html_table_head(reports.AUDIT_COLUMNS)],
+                  2: ["</table>", reports.HTML_END]}) + f"""
+UNION ALL SELECT 1, value FROM ({_AUDIT_ROWS})""", AUDIT),
+        lambda c: _ordered(reports.html_document(audit_findings(c), TIME)))
+on_code("snk7_html_document", q.compose(
+    _fixed_lines({0: [reports.HTML_START, f"<h1>Scan Report – {TIME}</h1>",
+                      "<h2>Findings by severity</h2>",
+                      reports.html_table_head(reports.TOTAL_COLUMNS)],
+                  2: ["</table>", "<h2>Findings by language</h2>",
+                      reports.html_table_head(reports.MATRIX_COLUMNS)],
+                  4: ["</table>", "<h2>All findings</h2>",
+                      reports.html_table_head(reports.SCAN_COLUMNS)],
+                  6: ["</table>", reports.HTML_END]}) + f"""
+UNION ALL SELECT 1, '<tr><td>' || level || '</td><td>' || count(s.path) || '</td></tr>'
+FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low')) l(level)
+LEFT JOIN {SCAN} s ON lower(s.severity) = lower(level) GROUP BY level
+UNION ALL SELECT 3, value FROM ({_MATRIX_ROWS})
+UNION ALL SELECT 5, value FROM ({_SCAN_ROWS})""", SCAN),
+        lambda c: _ordered(reports.scan_html_document(
+            profiles.settled(profiles.scan(c)), TIME)))
+
+
 @register("snk8_finding_store", q.compose(
     f"SELECT profile, {FINDING_SQL} FROM all_findings", "all_findings"))
 def _snk8(spark, sf_dir):

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulint.functions.text import html_escape
-from rivulint.operators.analytics import FINDING_ORDER, samples_per_category, sorted_findings
+from rivulint.operators.analytics import (
+    FINDING_ORDER, by_severity_filled, language_matrix, samples_per_category, sorted_findings,
+)
+from rivulint.schema import severity_rank
 
 CSV_COLUMNS = ["severity", "category", "file", "line", "message", "snippet", "fix"]
 REPORT_SCHEMA = (
@@ -171,6 +174,7 @@ def markdown_document(summary: DataFrame, findings: DataFrame, k: int = 15) -> D
     return _document(summary, samples, MARKDOWN_HEADS, True)
 
 
+# The markup of the cells below.
 def _cell(value: Column) -> Column:
     return F.concat(F.lit("<td>"), value, F.lit("</td>"))
 
@@ -213,6 +217,75 @@ def html_matrix_rows(matrix: DataFrame) -> DataFrame:
     return matrix.select("language", row.alias("value"))
 
 
+# What stands around the findings of the short text and the HTML reports.
+SHORT_TITLE, SHORT_RULE = "Code Audit Report – {0}", "=" * 80
+HTML_START = "<!DOCTYPE html><html><head><meta charset='utf-8'></head><body>"
+HTML_END = "</body></html>"
+AUDIT_COLUMNS = ["File", "Line", "Language", "Type", "Severity", "Message"]
+SCAN_COLUMNS = ["File", "Line", "Severity", "Message", "Language", "Category", "Recommendation"]
+MATRIX_COLUMNS = ["Language", "Critical", "High", "Medium", "Low", "Total"]
+TOTAL_COLUMNS = ["Severity", "Findings"]
+
+
+def html_table_head(columns: list[str]) -> str:
+    return "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
+
+
+def _in_parts(parts: list[list[str] | DataFrame]) -> DataFrame:
+    """Lists of fixed lines and frames of lines one after the other, in ``DOCUMENT_ORDER``."""
+    kinds = {"severity_rank": "int", "path": "string", "line": "int", "rule_id": "string",
+             "match_no": "int", "no": "int"}
+    fixed = [(part, no, line) for part, lines in enumerate(parts) if isinstance(lines, list)
+             for no, line in enumerate(lines)]
+    spark = next(p for p in parts if not isinstance(p, list)).sparkSession
+    out = spark.createDataFrame(fixed, "part int, no int, value string")
+    for part, frame in enumerate(parts):
+        if not isinstance(frame, list):
+            out = out.unionByName(frame.withColumn("part", F.lit(part)), allowMissingColumns=True)
+    known = [F.col(c).cast(k).alias(c) if c in out.columns else F.lit(None).cast(k).alias(c)
+             for c, k in kinds.items()]
+    return out.select("part", "value", *known).select(*DOCUMENT_ORDER, "value")
+
+
+def short_text_document(findings: DataFrame, time: str) -> DataFrame:
+    """The whole text report of the case-sensitive profile."""
+    head = [SHORT_TITLE.replace("{0}", time), SHORT_RULE, ""]
+    return _in_parts([head, short_text_report(findings)])
+
+
+def html_document(findings: DataFrame, time: str) -> DataFrame:
+    """The whole HTML report of the case-sensitive profile."""
+    title = f"<h1>{SHORT_TITLE.replace('{0}', time)}</h1>"
+    return _in_parts([[HTML_START, title, html_table_head(AUDIT_COLUMNS)], html_rows(findings),
+                      ["</table>", HTML_END]])
+
+
+def html_total_rows(totals: DataFrame) -> DataFrame:
+    """Table rows of the four severities' totals, in their order."""
+    row = F.concat(F.lit("<tr>"), _cell(F.initcap("severity")),
+                   _cell(F.col("n").cast("string")), F.lit("</tr>"))
+    return totals.select(
+        severity_rank("upper(severity)").alias("severity_rank"), row.alias("value"))
+
+
+def scan_html_document(findings: DataFrame, time: str) -> DataFrame:
+    """The whole HTML report of the case-insensitive profile: totals, matrix, findings.
+
+    ``findings`` are best written down before (``profiles.settled``): three sections read them.
+    """
+    matrix = html_matrix_rows(language_matrix(findings)).withColumnRenamed("language", "path")
+    return _in_parts([
+        [HTML_START, f"<h1>Scan Report – {time}</h1>", "<h2>Findings by severity</h2>",
+         html_table_head(TOTAL_COLUMNS)],
+        html_total_rows(by_severity_filled(findings)),
+        ["</table>", "<h2>Findings by language</h2>", html_table_head(MATRIX_COLUMNS)],
+        matrix,
+        ["</table>", "<h2>All findings</h2>", html_table_head(SCAN_COLUMNS)],
+        html_finding_rows(findings),
+        ["</table>", HTML_END],
+    ])
+
+
 def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
     lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
 
