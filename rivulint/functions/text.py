@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 WHITE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
          r"\x{205f}\x{3000}]")
 REPLACEMENT = "\ufffd"
-# Stands in for genuine replacement characters while bad bytes are being dropped.
-KEEP_REPLACEMENT = "\ue000\uf8ff\ue001\uf8fe\ue002"
+# While bad bytes are being dropped, genuine replacement characters are written as this escape
+# with a 1 behind it, and the escape itself with a 0, so that no text can be mistaken.
+ESCAPE = "\ue000"
 
 
 def trim_white(text: Column) -> Column:
@@ -58,10 +59,11 @@ def decode_replacing(data: Column) -> Column:
 
 def decode_dropping(data: Column) -> Column:
     """UTF-8 text of a binary column without its bad bytes; real U+FFFD characters stay."""
-    raw = data.cast("string")
-    mark, keep, none = F.lit(REPLACEMENT), F.lit(KEEP_REPLACEMENT), F.lit("")
-    guarded = F.make_valid_utf8(F.replace(raw, mark, keep))
-    return unix_newlines(F.replace(F.replace(guarded, mark, none), keep, mark))
+    mark, none = F.lit(REPLACEMENT), F.lit("")
+    own, kept = F.lit(ESCAPE + "0"), F.lit(ESCAPE + "1")
+    raw = F.replace(F.replace(data.cast("string"), F.lit(ESCAPE), own), mark, kept)
+    clean = F.replace(F.make_valid_utf8(raw), mark, none)
+    return unix_newlines(F.replace(F.replace(clean, kept, mark), own, F.lit(ESCAPE)))
 
 
 def base_name(path: Column) -> Column:

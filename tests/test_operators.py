@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from rivulint.functions.text import decode_dropping
 from rivulint.operators import analytics, combine, context, filters
 from rivulint.operators.advice import fallback_advice, normal_severity
 from rivulint.operators.detect import audit_files, review_files, scan_files, scan_language
@@ -13,6 +14,7 @@ from rivulint.operators.duplicates import (
 from rivulint.operators.line_rules import audit_findings
 from rivulint.plans import profiles
 from rivulint.schema import FINDING_FIELDS, as_findings
+from rivulint.sources.corpus import code_files
 
 
 def test_detection(corpus):
@@ -178,3 +180,38 @@ def test_schema_is_shared(corpus):
     files = corpus(("a.php", "<?php eval($x);"))
     for build in (profiles.review, profiles.audit, profiles.scan):
         assert build(files).dtypes == list(FINDING_FIELDS.items())
+
+
+def test_bad_bytes_are_dropped_and_nothing_else(spark):
+    texts = ["plain", "�", "", "1�0", "�1", "é"]
+    data = [t.encode() for t in texts] + [b"a\xff\xef\xbf\xbdb\xc3("]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, d binary").select(
+        "i", decode_dropping(F.col("d")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == [*texts, "a�b("]
+
+
+def test_review_reads_the_corpus_once(spark):
+    from rivulint.operators.file_checks import file_hits, hit_rows
+
+    files = code_files(spark, "/root/testdata/sf0.001")
+
+    def reads(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("documents.parquet")
+
+    # The one narrow pass, and nothing of the corpus behind what starts from its rows.
+    assert reads(hit_rows(file_hits(files, definitions=True))) == 1
+    found = profiles.review_once(files)
+    for df in (found.findings, found.summary_rows, profiles.review(files),
+               analytics.by_severity(profiles.review(files)),
+               analytics.sorted_findings(profiles.review(files))):
+        assert reads(df) == 0
+
+
+def test_context_moves_no_file_without_findings(spark, corpus):
+    files = corpus(*[(f"d/{i}.py", "print(1)\n" * 3 if i % 50 == 0 else "x\n") for i in range(400)])
+    found = audit_findings(files)
+    likely = context.likely_among(files, "path", found.select("path").distinct())
+    assert {f"d/{i}.py" for i in range(0, 400, 50)} <= {r.path for r in likely.collect()}
+    assert likely.count() <= 12
+    plan = likely._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
