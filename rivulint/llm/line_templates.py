@@ -40,18 +40,20 @@ FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 def masked(line: Column) -> Column:
     """The line with its variable fields generalised."""
-    plain = F.trim(F.translate(line, "\t\r", "  "))
+    blank = F.when(line.contains("\t") | line.contains("\r"), F.translate(line, "\t\r", "  "))
+    plain = F.trim(F.coalesce(blank, line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, FIELD, "<*>")).otherwise(plain)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """document (key), doc_id, line_no, masked, tokens (their number) and leaf of long lines."""
+    # Masked before the lines are taken apart, and taken apart by the outer form: else the
+    # optimizer would have every filter on them mask the lines again.
     lines = docs.select(
         row_key("doc_id", "text").alias("document"), "doc_id",
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
-    ).select("document", "doc_id", "line_no", masked(F.col("line")).alias("masked"))
+        F.posexplode_outer(F.transform(F.split("text", "\n"), masked)).alias("line_no", "masked"))
     text = F.col("masked")
-    counted = lines.withColumn(
+    counted = lines.where(text.isNotNull()).withColumn(
         "tokens", F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
     return counted.where(F.col("tokens") >= MIN_TOKENS).withColumn(
         "leaf", F.xxhash64("tokens", F.substring_index(text, " ", DEPTH)))
@@ -65,7 +67,8 @@ def _in_crowded_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     likely = lines.join(F.broadcast(bitmap), word == F.col("word")).where(
         F.call_function("getbit", F.col("bits"), bit) == 1).drop("word", "bits")
-    return likely.join(leaves, "leaf", "left_semi")
+    # Not a semi join: the optimizer would move that below the bitmap.
+    return likely.join(leaves, "leaf")
 
 
 def template_links(lines: DataFrame) -> DataFrame:
