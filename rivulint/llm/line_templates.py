@@ -7,8 +7,9 @@ holds lines that may be one template.  Within a leaf a line joins the template o
 line (ties: the lesser text) that agrees with it in at least ``SIMILARITY`` of the positions; of
 several it takes the most similar one.  Candidates are found by cutting the positions behind the
 leading tokens into so many runs that lines that similar agree in a whole run: each line meets
-only the most frequent line of each of its runs, never all lines of the leaf.  Templates so
-joined one to the other are one.
+all lines that share one of its runs.  Lines of a run are dealt into blocks of about ``BLOCK``
+that meet two by two, and pairs stay inside arrays, so no group or row count grows with the
+square of a run.  Templates so joined one to the other are one.
 
 A template whose lines stand in at least ``MIN_DOCS`` documents recurs.  Of its lines the first
 (by doc_id, then line number) stays, all others are dropped.  Lines of fewer than ``MIN_TOKENS``
@@ -31,10 +32,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulint.llm.common import connected_components, fresh_name, row_key, settled
+from rivulint.llm.common import (block_pairs, connected_components, fresh_name, row_key,
+                                 settled)
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 5, 2, 0.8
-BITMAP_WORDS = 1 << 15
+BITMAP_WORDS, BLOCK = 1 << 15, 256
 FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
@@ -76,32 +78,48 @@ def template_links(lines: DataFrame) -> DataFrame:
 
     ``lines`` are those of leaves that hold several different lines.
     """
-    kinds = settled(
-        lines.groupBy("leaf", "masked", "tokens").agg(F.count(F.lit(1)).alias("n")), "templates")
     # As many runs as leave one equal where the tolerated number of positions differ.
-    spare = F.floor((1 - SIMILARITY) * F.col("tokens") + 1e-9)
-    width = F.greatest(F.lit(1), F.floor((F.col("tokens") - DEPTH) / (spare + 1)))
-    cut = kinds.withColumn("spare", spare.cast("int")).withColumn("width", width.cast("int"))
-    cut = cut.withColumn("list", F.split("masked", " ")).withColumn(
-        "run", F.explode(F.sequence(F.lit(0), F.col("spare"))))
-    start = F.lit(DEPTH + 1) + F.col("run") * F.col("width")
-    # The last run takes the rest; one behind the end (few tokens, many runs) is empty.
-    size = F.when(F.col("run") == F.col("spare"), F.col("tokens")).otherwise(F.col("width"))
-    runs = cut.select("leaf", "masked", "n", "run",
-                      F.xxhash64(F.slice("list", start, size)).alias("piece"))
-    heads = runs.groupBy("leaf", "run", "piece").agg(
-        F.count(F.lit(1)).alias("kinds"),
-        F.min(F.struct((-F.col("n")).alias("less"), F.col("masked").alias("head"))).alias("first"))
-    heads = heads.where("kinds > 1").select("leaf", "run", "piece", "first.head", "first.less")
-    pairs = runs.join(heads, ["leaf", "run", "piece"]).where("masked <> head").select(
-        "masked", "head", "less").distinct()
-    same = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("head", " "),
-                                      lambda a, b: a == b), lambda x: x))
-    alike = pairs.withColumn("same", same).where(
-        F.col("same") + 1e-9 >= SIMILARITY * F.size(F.split("masked", " ")))
-    best = alike.groupBy("masked").agg(
-        F.min(F.struct((-F.col("same")).alias("unlike"), "less", "head")).alias("best"))
-    return best.select(F.xxhash64("masked").alias("u"), F.xxhash64("best.head").alias("v"))
+    spare = F.floor((1 - SIMILARITY) * F.col("tokens") + 1e-9).cast("int")
+    width = F.greatest(F.lit(1), F.floor((F.col("tokens") - DEPTH) / (spare + 1)).cast("int"))
+
+    def piece(run: Column) -> Column:
+        # The last run takes the rest.
+        size = F.when(run == F.col("spare"), F.col("tokens")).otherwise(F.col("width"))
+        return F.xxhash64("leaf", run, F.slice("list", F.lit(DEPTH + 1) + run * F.col("width"), size))
+
+    counted = lines.groupBy("leaf", "masked", "tokens").agg((-F.count(F.lit(1))).alias("less"))
+    cut = counted.withColumns({"spare": spare, "width": width, "list": F.split("masked", " ")})
+    kinds = settled(cut.select(
+        F.xxhash64("masked").alias("line"), "masked", "less",
+        F.transform(F.sequence(F.lit(0), "spare"), piece).alias("pieces")), "templates")
+    runs = kinds.select("line", "pieces", F.posexplode("pieces").alias("run", "piece")).select(
+        "line", "piece", F.when(F.col("run") == 0, F.col("line")).otherwise(
+            F.get("pieces", F.col("run") - 1)).alias("before"))
+    # Lines that all share the run before as well have met there.
+    fresh = runs.groupBy("piece").agg(F.min("before").alias("a"), F.max("before").alias("b")).where(
+        "a <> b").select("piece")
+    met = block_pairs(runs.join(fresh, "piece").select("line", "piece"), ["piece"],
+                      F.col("line"), BLOCK)
+    marks = F.transform(F.split("masked", " "), lambda token, at: F.xxhash64(at, token))
+    groups = met.join(kinds, "line").groupBy("piece", "low", "high").agg(F.collect_list(F.struct(
+        "line", "own", "less", "masked", "pieces", marks.alias("marks"))).alias("members"))
+
+    def best(x: Column) -> Column:
+        """The most similar more frequent line of those that x first meets in this run."""
+        met_here = F.filter("members", lambda y: (
+            (F.struct(y["less"], y["masked"]) < F.struct(x["less"], x["masked"]))
+            & ((F.col("low") == F.col("high")) | (y["own"] != x["own"]))
+            & (F.get(F.array_intersect(x["pieces"], y["pieces"]), F.lit(0)) == F.col("piece"))))
+        compared = F.transform(met_here, lambda y: F.struct(
+            (-F.size(F.array_intersect(x["marks"], y["marks"]))).alias("unlike"),
+            y["less"].alias("less"), y["masked"].alias("head"), y["line"].alias("v")))
+        return F.array_min(F.filter(
+            compared, lambda z: 1e-9 - z["unlike"] >= SIMILARITY * F.size(x["marks"])))
+
+    found = groups.select(F.explode(F.transform("members", lambda x: F.struct(
+        x["line"].alias("u"), best(x).alias("best")))).alias("one")).select("one.u", "one.best")
+    return found.where("best is not null").groupBy("u").agg(F.min("best").alias("best")).select(
+        "u", F.col("best.v").alias("v"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

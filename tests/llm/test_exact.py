@@ -401,6 +401,41 @@ def test_lines_by_template(spark):
     assert sorted((r.doc_id, r.n_dropped) for r in kept) == [(0, 0), (0, 0), (1, 1)]
 
 
+def test_similar_lines_meet_behind_more_frequent_ones(spark):
+    a, b = "a b c p q r s t u v", "a b c p q r s t u w"
+    others = ["a b c p q x x x x x", "a b c x x r s x x x", "a b c y y y y t u y"]
+    docs = documents(spark, [a, b, *["\n".join(others)] * 3])
+    rows = line_templates.drop_recurring_lines(docs).collect()
+    assert [r.n_dropped for r in sorted(rows)] == [0, 1, 0, 3, 3]
+
+
+@pytest.mark.parametrize("block", [5, 256])
+def test_template_links_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(line_templates, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    texts = []
+    for tokens, lines in ((5, 150), (10, 400), (23, 150)):
+        base = rng.integers(0, 3, (4, tokens))
+        for _ in range(lines):
+            line = base[rng.integers(0, 4)].copy()
+            line[3:] = np.where(rng.random(tokens - 3) < 0.3, rng.integers(0, 3, tokens - 3), line[3:])
+            line[:3] = 0
+            texts += [" ".join("xyz"[t] for t in line)] * int(rng.integers(1, 4))
+    lines = line_templates.lines_of(documents(spark, texts))
+    have = [(r.u, r.v) for r in line_templates.template_links(lines).collect()]
+    number = {r.masked: r.h for r in lines.selectExpr("masked", "xxhash64(masked) h").collect()}
+    order = sorted(number, key=lambda m: (-texts.count(m), m))
+    want = []
+    for place, line in enumerate(order):
+        x = line.split()
+        same = [(sum(p == q for p, q in zip(x, y.split())), -k) for k, y in enumerate(order[:place])
+                if len(y.split()) == len(x)]
+        top = max(same, default=(0, 0))
+        if top[0] + 1e-9 >= 0.8 * len(x):
+            want.append((number[line], number[order[-top[1]]]))
+    assert sorted(have) == sorted(want) and len(want) > 200
+
+
 def test_items_in_documents(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(400)]
