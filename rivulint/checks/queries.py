@@ -20,7 +20,8 @@ from rivulint.operators.detect import (
     audit_files, audit_language, review_files, scan_extensions, scan_files, scan_language,
 )
 from rivulint.operators.duplicates import (
-    duplicate_function_findings, files_per_name, function_definitions,
+    defining_files, duplicate_function_findings, file_lists, files_per_name,
+    function_definitions,
 )
 from rivulint.operators.errors import review_read_errors, scan_read_errors
 from rivulint.operators.file_checks import check_findings, next_statement, review_text
@@ -562,8 +563,13 @@ FROM ({SUMMARY_SQL})""", REVIEW),
 on_code("agg12_file_lists", q.compose("""
 SELECT name, CAST(n_files AS BIGINT) AS n_files, files FROM shared_functions""",
                                       "shared_functions"),
-        lambda c: files_per_name(function_definitions(c)).select(
+        lambda c: file_lists(function_definitions(c)).select(
             "name", "n_files", F.array_join("files", ", ").alias("files")))
+on_code("agg12_defining_files", q.compose("""
+SELECT f.name, CAST(s.n_files AS BIGINT) AS n_files, f.path
+FROM function_files f JOIN shared_functions s USING (name)""",
+                                          "function_files", "shared_functions"),
+        lambda c: defining_files(function_definitions(c)))
 
 
 # ---- windows, sorts, sets -----------------------------------------------------------------

@@ -39,6 +39,16 @@ def defining_files(definitions: DataFrame) -> DataFrame:
         "name", "n_files", "path")
 
 
+def file_lists(definitions: DataFrame) -> DataFrame:
+    """(name, n_files, files): one row per shared name with all its files, sorted.
+
+    The list of a name is one value; for names in too many files for a row use
+    ``defining_files``, which has the same content in rows.
+    """
+    return defining_files(definitions).groupBy("name", "n_files").agg(
+        F.array_sort(F.collect_list("path")).alias("files"))
+
+
 def files_per_name(definitions: DataFrame, listed: int = LISTED_FILES) -> DataFrame:
     """(name, n_files, first_path, files): one row per shared name with its first files, sorted.
 

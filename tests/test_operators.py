@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from rivulint.checks import queries
 from rivulint.functions.text import decode_dropping
 from rivulint.operators import analytics, combine, context, filters
 from rivulint.operators.advice import fallback_advice, normal_severity
@@ -144,6 +145,18 @@ def test_name_in_more_files_than_are_listed_counts_once(spark):
     assert 1 in total.values()
 
 
+def test_file_lists_hold_every_file(spark, monkeypatch):
+    files = spark.range(10_050).select(
+        F.format_string("d/f%05d.php", "id").alias("path"),
+        F.lit("function hot() {}").alias("content"))
+    monkeypatch.setattr(queries, "code_files", lambda spark, sf_dir: files)
+    paths = [f"d/f{i:05d}.php" for i in range(10_050)]
+    (row,) = queries.QUERIES["agg12_file_lists"](spark, "").collect()
+    assert (row.name, row.n_files, row.files) == ("hot", 10_050, ", ".join(paths))
+    rows = queries.QUERIES["agg12_defining_files"](spark, "").collect()
+    assert sorted((r.name, r.n_files, r.path) for r in rows) == [("hot", 10_050, p) for p in paths]
+
+
 def test_filters(spark):
     rows = _found(
         spark, ("src/a.py", 12, "R", "critical", "t", "Code", "Python", "Use of eval", 90),
