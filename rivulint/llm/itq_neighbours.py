@@ -6,8 +6,13 @@ substrings, one table each.  Vectors meet in a table where their substrings diff
 ``2 * FLIPS`` bits: each vector is entered under its substring and under every one that differs
 in ``FLIPS`` bits, so that two such vectors share an entry.  With 4 tables and 1 flip every pair
 of codes within 11 bits meets (12 or more would be needed to differ in 3 bits in all four).
-Pairs that meet and differ in at most ``RADIUS`` bits are compared by cosine of the original
-vectors in double precision; only those at the threshold or above are links.
+Pairs that meet and differ in no more bits than pairs at the threshold do are compared by cosine
+of the original vectors in double precision; only those at the threshold or above are links.
+
+Vectors with a common direction lie farther apart in bits than their cosine says.  So pairs at the
+threshold are made from the sample, and words of 64 further bits (random directions), four tables
+each, are added until ``RECALL`` of these pairs meet; the radius is taken from their distances.
+Where ``WORDS`` words do not suffice, all vectors are compared with all, in blocks.
 
 Scale.  Equal vectors are one class from the start.  Every pair has one place, the least entry
 they share, where it is counted; an entry with more than ``BLOCK`` rows is split into blocks of
@@ -16,8 +21,7 @@ meet no near code, so vectors travel only for those that do; a task passes on co
 and the components it finds, never the pairs.
 
 The sample bounds only what is learned: every vector is coded, entered and searched.  Recall is
-that of the code radius: a link at the threshold of 0.95 lies within 11 of 64 bits with
-probability 0.97, one at 0.98 with 0.999 (measured in the tests).
+that of the codes, at least about ``RECALL`` for links at the threshold and more for closer ones.
 
 Null, empty and repeated: vectors that are null, zero, of another length than most, or hold null
 or non-finite components link with nothing; repeated rows are vectors of their own and link; a
@@ -39,6 +43,7 @@ from rivulint.llm.common import (block_pairs, connected_components, grouped_in_o
 
 SAMPLE = 20_000
 BITS, TABLES, FLIPS, RADIUS = 64, 4, 1, 11
+RECALL, WORDS, TRIED = 0.95, 8, 2_000
 ROUNDS, SEED, BLOCK = 30, 5, 256
 GROUP = ["table", "key", "low", "high"]
 
@@ -62,9 +67,50 @@ def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS,
 
 
 def codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """The sign bits of unit vectors, as signed 64-bit numbers."""
+    """The sign bits of unit vectors, as signed 64-bit numbers: a row of words each."""
+    if not projection.shape[1]:
+        return np.zeros((len(vectors), 0), dtype=np.int64)
     bits = (vectors - mean) @ projection >= 0
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def pairs_at(threshold: float, sample: np.ndarray, seed: int = SEED
+             ) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sampled unit vectors with others at the threshold: any way off, and the sample's ways."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.permutation(len(sample))[:TRIED]]
+    made = []
+    for way in (rng.standard_normal(x.shape), sample[rng.integers(0, len(sample), len(x))]):
+        way = way - (way * x).sum(1, keepdims=True) * x
+        length = np.sqrt((way * way).sum(1, keepdims=True))
+        some = length[:, 0] > 1e-6
+        if some.any():
+            y = threshold * x[some] + np.sqrt(max(0.0, 1 - threshold ** 2)) * (way / np.where(
+                length > 0, length, 1))[some]
+            made.append((x[some], y))
+    return made
+
+
+def learn_codes(sample: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, projection, radius): as many words as pairs at the threshold need, or none."""
+    mean, first = learn_rotation(sample)
+    rng = np.random.default_rng(SEED + 1)
+    projection = np.hstack([first, rng.standard_normal((sample.shape[1], BITS * (WORDS - 1)))])
+    made = [(codes(x, mean, projection), codes(y, mean, projection))
+            for x, y in pairs_at(threshold, sample)]
+    for words in range(1, WORDS + 1):
+        radius, enough = RADIUS, True
+        for a, b in made:
+            a, b = (np.ascontiguousarray(side[:, :words]) for side in (a, b))
+            radius = max(radius, int(np.ceil(np.quantile(_apart(a, b), 0.999))))
+            enough &= (_place(a, b)[0] >= 0).mean() >= RECALL
+        if enough:
+            return mean, projection[:, : BITS * words], radius
+    return mean, projection[:, :0], 0
 
 
 def _unit(column: pa.Array, width: int) -> np.ndarray:
@@ -96,11 +142,14 @@ def _place(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = BITS // TABLES
     full = (1 << width) - 1
     a, b = a.view(np.uint64), b.view(np.uint64)
+    if not a.shape[1]:
+        return np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
     table = np.full(len(a), -1, dtype=np.int64)
     key = np.zeros(len(a), dtype=np.uint64)
-    for t in range(TABLES):
-        x = (a >> np.uint64(t * width)) & np.uint64(full)
-        y = (b >> np.uint64(t * width)) & np.uint64(full)
+    for t in range(TABLES * a.shape[1]):
+        word, shift = t // TABLES, np.uint64(t % TABLES * width)
+        x = (a[:, word] >> shift) & np.uint64(full)
+        y = (b[:, word] >> shift) & np.uint64(full)
         different = x ^ y
         apart = np.bitwise_count(different)
         one = different & (~different + np.uint64(1))  # the lowest differing bit
@@ -117,14 +166,16 @@ def _place(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table, key.view(np.int64)
 
 
-def _near(rows: pa.Table, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(rows: pa.Table, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs that are near by code and have their place in this group."""
-    code, table, key = (rows.column(c).to_numpy() for c in ("code", "table", "key"))
+    table, key = (rows.column(c).to_numpy() for c in ("table", "key"))
+    flat = rows.column("code").combine_chunks().flatten().to_numpy()
+    code = flat.reshape(rows.num_rows, len(flat) // max(1, rows.num_rows))
     own, low, high = (rows.column(c).to_numpy() for c in ("own", "low", "high"))
     for i, j in steps_within(group):
         # Blocks that meet compare across; within a block rows meet once, in (own, own).
         near = (own[i] != own[j]) | (low[i] == high[i])
-        near &= np.bitwise_count((code[i] ^ code[j]).view(np.uint64)) <= RADIUS
+        near &= _apart(code[i], code[j]) <= radius
         i, j = i[near], j[near]
         if len(i):
             at, least = _place(code[i], code[j])
@@ -132,22 +183,24 @@ def _near(rows: pa.Table, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
             yield i[here], j[here]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(radius: int):
     """The rows that meet a near code in their group."""
-    for rows, group in whole_groups(batches, GROUP):
-        kept = np.zeros(rows.num_rows, dtype=bool)
-        for i, j in _near(rows, group):
-            kept[i] = kept[j] = True
-        yield from rows.filter(pa.array(kept)).to_batches()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in whole_groups(batches, GROUP):
+            kept = np.zeros(rows.num_rows, dtype=bool)
+            for i, j in _near(rows, group, radius):
+                kept[i] = kept[j] = True
+            yield from rows.filter(pa.array(kept)).to_batches()
+    return run
 
 
-def _linked(threshold: float, width: int):
+def _linked(threshold: float, width: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in whole_groups(batches, GROUP):
             unit = _unit(rows.column("embedding").combine_chunks(), width)
             ids, copies = rows.column("class").to_numpy(), rows.column("copies").to_numpy()
             counts, found = np.zeros(len(ids), dtype=np.int64), []
-            for i, j in _near(rows, group):
+            for i, j in _near(rows, group, radius):
                 close = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
                 i, j = i[close], j[close]
                 np.add.at(counts, i, copies[j])
@@ -173,32 +226,38 @@ def vector_links(classes: DataFrame, width: int, threshold: float) -> DataFrame:
     drawn = classes.select("embedding").orderBy(F.xxhash64("class")).limit(SAMPLE).toArrow()
     if drawn.num_rows == 0:
         return classes.sparkSession.createDataFrame([], "u long, v long, links long")
-    mean, projection = learn_rotation(
-        _unit(drawn.column("embedding").combine_chunks(), width))
+    mean, projection, radius = learn_codes(
+        _unit(drawn.column("embedding").combine_chunks(), width), threshold)
+    words = projection.shape[1] // BITS
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = codes(_unit(batch.column("embedding"), width), mean, projection)
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(code)],
-                                             names=["class", "code"])
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * words
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class"), pa.ListArray.from_arrays(ends, code.ravel())],
+                names=["class", "code"])
 
-    code = classes.select("class", "embedding").mapInArrow(coded, "class long, code long")
+    code = classes.select("class", "embedding").mapInArrow(coded, "class long, code array<long>")
     bits = BITS // TABLES
     entries = F.array(*[
         F.struct(F.lit(t).alias("table"),
-                 F.shiftrightunsigned(F.col("code").bitwiseXOR(
-                     F.lit(m - (1 << 64) if m >> 63 else m).cast("long")), t * bits)
+                 F.shiftrightunsigned(F.get("code", F.lit(t // TABLES)).bitwiseXOR(
+                     F.lit(m - (1 << 64) if m >> 63 else m).cast("long")), t % TABLES * bits)
                  .bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("key"))
-        for t in range(TABLES) for m in _entries(t)])
+        for t in range(TABLES * words) for m in _entries(t % TABLES)])
+    if not words:  # one entry for all
+        entries = F.array(F.struct(F.lit(0).alias("table"), F.lit(0).cast("long").alias("key")))
     keyed = code.select("class", "code", F.explode(entries).alias("e")).select(
         "class", "code", "e.table", "e.key")
     met = block_pairs(keyed, ["table", "key"], F.xxhash64("class"), BLOCK)
     columns = [*GROUP, "own", "class", "code"]
     kept = grouped_in_order(met.select(*columns), GROUP).mapInArrow(
-        _met, "table int, key long, low long, high long, own long, class long, code long")
+        _met(radius),
+        "table int, key long, low long, high long, own long, class long, code array<long>")
     carried = kept.join(classes, "class").select(*columns, "copies", "embedding")
     return grouped_in_order(carried, GROUP).mapInArrow(
-        _linked(threshold, width), "u long, v long, links long")
+        _linked(threshold, width, radius), "u long, v long, links long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:

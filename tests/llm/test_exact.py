@@ -358,6 +358,23 @@ def test_vector_recall_at_the_threshold_with_odd_vectors(spark, monkeypatch):
     assert itq_neighbours.near_vectors(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("background", [0.8, 0.93])
+def test_vector_recall_around_a_common_mean(spark, background):
+    rng = np.random.default_rng(9)
+    common = np.eye(64)[0]
+    vectors = {}
+    for _ in range(120):
+        own = rng.standard_normal(64)
+        own[0] = 0
+        centre = np.sqrt(background) * common + np.sqrt(1 - background) * own / np.linalg.norm(own)
+        for _ in range(8):
+            away = rng.standard_normal(64)
+            away -= (away @ centre) * centre
+            vectors[len(vectors)] = (centre + 0.2 * away / np.linalg.norm(away)).tolist()
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    check_vectors(itq_neighbours.near_vectors(frame).collect(), vectors, 0.9)
+
+
 # --- SQL -----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
