@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rivulint.session import shared_dir
 
+HOT_SHARE = 1_000
+
 
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written once to the folder all executors share, and read back from there.
@@ -36,6 +38,26 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def keyed_join(rows: DataFrame, values: DataFrame, keys: list[str],
+               share: int = HOT_SHARE) -> DataFrame:
+    """Rows with the columns of ``values``, which has one row and ``n``, its number of rows, a key.
+
+    Keys of more than 1/``share`` of all rows, of which there are fewer than ``share``, are
+    broadcast, so that their rows stay where they are; the rows of all others are shuffled, and no
+    task can get more than that share for one key.  Both sides are read more than once: they
+    should be written tables.  Keys must not be null.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * share > total
+    hot = values.where(is_hot)
+    few = rows.join(F.broadcast(hot.drop("n")), keys)
+    others = values.where(~is_hot)
+    if others.isEmpty():
+        return few
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return few.unionByName(rest.join(others.drop("n"), keys))
+
+
 def _symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 

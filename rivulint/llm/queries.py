@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulint.llm import (contamination, itq_neighbours, language_centroids, line_templates,
-                          packing, sharding, simhash_groups, sql, token_records, toxicity_cnn,
-                          url_rules)
+from rivulint.llm import (contamination, conversation_repair, divergence_rules, feast_whitening,
+                          itq_neighbours, language_centroids, line_templates, packing, sharding,
+                          simhash_groups, sql, token_records, toxicity_cnn, url_rules)
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SHARDS = 24
@@ -84,10 +84,28 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path(VOCABULARY), END_ID, 4096)
 
 
+def op11_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules.judged(table(spark, sf_dir, "documents"), "doc_id").select(
+        "doc_id", *divergence_rules.BASE_COUNTS, "base_failed", "kept")
+
+
+def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Beyond a long the exact deviation is null; the operator itself has 38 digits.
+    return feast_whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversations, conversation_repair.damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_templates, op2_token_records, op3_contamination, op4_simhash_groups, op6_shuffled_shards, op7_near_vectors,
-        op5_toxicity, op8_url_verdicts, op9_language, op10_curve_packing)
+        op5_toxicity, op8_url_verdicts, op9_language, op10_curve_packing,
+        op11_divergence_rules, op12_feast_whitening, op13_conversation_repair)
 }
 ORACLES: dict[str, str] = {
-    "op1_line_templates": sql.OP1, "op3_contamination": sql.OP3, "op8_url_verdicts": sql.OP8}
+    "op1_line_templates": sql.OP1, "op3_contamination": sql.OP3, "op8_url_verdicts": sql.OP8,
+    "op11_divergence_rules": sql.OP11, "op13_conversation_repair": sql.OP13}
