@@ -57,61 +57,112 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _behind(array: Column, step: int) -> Column:
+    """The array without its first entries."""
+    return F.slice(array, F.lit(step + 1), F.size(array))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
-def spaced_words(text: Column) -> Column:
-    """The text in lower case, words without the marks at their ends, each between two blanks."""
-    bare = F.regexp_replace(F.lower(text), rf"[.,;:!?]+(?={SPACE}|\z)", "")
-    return F.concat(F.lit("  "), F.regexp_replace(bare, SPACE + "+", "  "), F.lit("  "))
+def spaced_words(words: Column) -> Column:
+    """The words in lower case without the marks at their ends, each between two blanks."""
+    joined = F.lower(F.array_join(words, "  "))
+    return F.concat(F.lit("  "), F.regexp_replace(joined, r"[.,;:!?]+(?=  |\z)", ""), F.lit("  "))
+
+
+def window_hashes(words: Column) -> Column:
+    """A hash for every window of five words, in order: of pairs, of pairs of these, of five."""
+    def paired(a: Column, b: Column, step: int) -> Column:
+        # The shorter side is padded with nulls, which are cut off at the end.
+        return F.zip_with(a, _behind(b, step), lambda x, y: F.xxhash64(x, y))
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(
+        paired(h, h, 1), lambda two: F.slice(paired(paired(two, two, 2), h, 4), F.lit(1), F.greatest(
+            F.lit(0), F.size(words) - WINDOW + 1))))
+
+
+def _covered(starts: Column) -> Column:
+    """Words in windows that begin at the given places, in any order."""
+    return _let(F.sort_array(starts), lambda at: F.aggregate(
+        F.zip_with(at, _behind(at, 1), lambda a, b: F.least(
+            F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))),
+        F.lit(0), lambda a, b: a + b))
 
 
 def repeated_words(words: Column) -> Column:
-    """Words that lie in a window of ``WINDOW`` words found twice or more."""
-    def windows(of) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), of)
+    """Words that lie in a window of ``WINDOW`` words found twice or more.
 
-    hashed = windows(lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))
-    # Beside the hash the window itself, so that equal hashes of different windows do not count.
-    placed = windows(lambda i: F.struct(F.array_join(F.slice(words, i, F.lit(WINDOW)), " ")
-                                        .alias("w"), i.alias("i")))
+    Windows are sorted by half of their hash, with their place in the other half of the number.
+    Where neighbours agree in that half, the windows themselves decide.
+    """
+    def window(at: Column) -> Column:
+        return F.slice(words, at + 1, F.lit(WINDOW))
 
-    def covered(ranked: Column) -> Column:
-        def same(i: Column, step: int) -> Column:
-            return F.coalesce(F.get(ranked, i)["w"] == F.get(ranked, i + step)["w"], F.lit(False))
+    def keys(hashes: Column) -> Column:
+        return F.sort_array(F.transform(hashes, lambda x, i: F.shiftleft(x, 32) + i))
 
-        starts = F.filter(F.transform(ranked, lambda s, i: F.when(
-            same(i, -1) | same(i, 1), s["i"])), lambda s: s.isNotNull())
-        return _let(F.array_sort(starts), lambda at: F.aggregate(
-            F.transform(at, lambda s, k: F.least(F.lit(WINDOW), F.coalesce(
-                F.get(at, k + 1) - s, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b))
+    def half(key: Column) -> Column:
+        return F.shiftright(key, 32)
 
-    some = _let(hashed, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(
-        F.when(some, _let(F.array_sort(placed), covered)).otherwise(F.lit(0)))
+    def place(key: Column) -> Column:
+        return key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
+    def with_next(ranked: Column) -> Column:
+        """Places of pairs of neighbours with equal halves: every repeated window is in one."""
+        return F.filter(F.zip_with(ranked, _behind(ranked, 1), lambda a, b: F.when(
+            half(a) == half(b), F.struct(place(a).alias("a"), place(b).alias("b")))),
+            lambda p: p.isNotNull())
 
-def base_counts(texts: DataFrame, *keep: str) -> DataFrame:
-    """text, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of texts (not null)."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return texts.withColumn("words", words_of(F.col("text"))).select(
-        *keep, "text", F.size("words").cast("long").alias("n_words"),
-        F.length(_without(F.col("text"), SPACE)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-        .alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"))
+    def places(pairs: Column) -> Column:
+        return F.array_union(F.transform(pairs, lambda p: p["a"]),
+                             F.transform(pairs, lambda p: p["b"]))
+
+    def exactly(pairs: Column) -> Column:
+        """Equal halves of different windows: all windows in question, sorted by their words."""
+        ranked = F.sort_array(F.transform(places(pairs), lambda i: F.struct(
+            F.array_join(window(i), " ").alias("w"), i.alias("i"))))
+        same = _let(ranked, lambda r: F.filter(F.zip_with(
+            r, _behind(r, 1), lambda x, y: F.when(
+                x["w"] == y["w"], F.struct(x["i"].alias("a"), y["i"].alias("b")))),
+            lambda p: p.isNotNull()))
+        return _let(same, lambda p: _covered(places(p)))
+
+    def counted(pairs: Column) -> Column:
+        differ = F.exists(pairs, lambda p: window(p["a"]) != window(p["b"]))
+        return F.when(F.size(pairs) == 0, F.lit(0)).when(differ, exactly(pairs)).otherwise(
+            _covered(places(pairs)))
+
+    found = _let(keys(window_hashes(words)), lambda r: _let(with_next(r), counted))
+    return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(found)
 
 
-def class_counts(text: Column) -> Column:
-    """How many characters of each class, and of none, the text has."""
-    left, lengths = text, [F.length(text)]
-    for pattern in CLASSES:
+def base_counts(texts: DataFrame, *keep: str) -> DataFrame:
+    """The counts, with the words and ``classes``, characters of each class, of texts (not null)."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # What neither small letters nor spaces are is little, and looked through several times.
+    read = texts.withColumns({"words": words_of(F.col("text")), "n_chars": F.length("text"),
+                              "rest": _without(F.col("text"), r"[\p{Ll}\x20\x09-\x0D]")})
+    n_words, word_chars = F.size("words"), F.length(F.array_join("words", ""))
+    spaces = F.col("n_chars") - word_chars
+    left, lengths = F.col("rest"), [F.length("rest")]
+    for pattern in CLASSES[2:]:
         left = _without(left, pattern)
         lengths.append(F.length(left))
-    return _let(F.array(*lengths), lambda x: F.transform(
-        x, lambda left, i: (left - F.coalesce(F.get(x, i + 1), F.lit(0))).cast("double")))
+    others = _let(F.array(*lengths), lambda x: F.transform(
+        x, lambda count, i: count - F.coalesce(F.get(x, i + 1), F.lit(0))))
+    small = F.col("n_chars") - F.length("rest") - spaces
+    return read.select(
+        *keep, "words", "n_chars", n_words.cast("long").alias("n_words"),
+        word_chars.cast("long").alias("word_chars"),
+        (F.length("rest") - F.length(_without(F.col("rest"), SYMBOLS))).cast("long")
+        .alias("n_symbols"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+        .alias("n_dup_lines"),
+        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        F.transform(F.concat(F.array(small, spaces), others), lambda n: n.cast("double"))
+        .alias("classes"))
 
 
 def word_counts(spaced: Column, common: Column, n_words: Column) -> Column:
@@ -159,7 +210,7 @@ def _first(counts: DataFrame, by: str, limit: int) -> DataFrame:
 def common_words(texts: DataFrame) -> DataFrame:
     """language, n (its documents) and common: the COMMON words that stand in most of these."""
     words = F.array_distinct(F.filter(
-        F.split(spaced_words(F.col("text")), " +"), lambda w: w != ""))
+        F.split(spaced_words(words_of(F.col("text"))), " +"), lambda w: w != ""))
     every = texts.select("language", "weight", words.alias("words"))
     docs = F.sum("weight").alias("docs")
     languages = settled(texts.groupBy("language").agg(F.count(F.lit(1)).alias("n")), "languages")
@@ -252,11 +303,10 @@ def judged(docs: DataFrame, *keep: str) -> DataFrame:
     texts = weighted(texts)
     lists = common_words(texts)
     read = base_counts(keyed_join(texts, lists, ["language"]), "own", "language", "weight", "common")
-    spaced = spaced_words(F.col("text"))
+    spaced = spaced_words(F.col("words"))
     counts = [*BASE_COUNTS]
     known = settled(read.select(
-        "own", "language", "weight", *counts, F.length("text").alias("n_chars"),
-        class_counts(F.col("text")).alias("classes"),
+        "own", "language", "weight", *counts, "n_chars", "classes",
         _let(spaced, lambda s: word_counts(s, F.col("common"), F.col("n_words"))).alias("bins")),
         "histograms")
 
