@@ -20,8 +20,8 @@ from rivulint.operators.detect import (
     audit_files, audit_language, review_files, scan_extensions, scan_files, scan_language,
 )
 from rivulint.operators.duplicates import (
-    defining_files, duplicate_function_findings, file_lists, files_per_name,
-    function_definitions,
+    defining_files, duplicate_function_findings, file_lists, function_definitions, list_texts,
+    shared_names, stored_definitions,
 )
 from rivulint.operators.errors import review_read_errors, scan_read_errors
 from rivulint.operators.file_checks import check_findings, next_statement, review_text
@@ -35,6 +35,7 @@ from rivulint.sinks import reports
 from rivulint.sources import tool_reports
 from rivulint.sources.corpus import code_files, documents_as_code, page_files, reported_files
 from rivulint.streaming import feeds
+from rivulint.streaming import review as streamed_review
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -436,10 +437,10 @@ FROM {findings} f JOIN {lines} l
   ON l.path = f.path AND l.line BETWEEN f.line - {before} AND f.line + {after}"""
 on_code("jn3_context_five", q.compose(
     _CONTEXT.format(findings=AUDIT, lines="audit_lines", before=5, after=5), AUDIT),
-        lambda c: context.context_rows(audit_findings(c), c, 5, 5))
+        lambda c: context.audit_context(c, 5, 5))
 on_code("jn3_context_two", q.compose(
     _CONTEXT.format(findings=SCAN, lines="scan_lines", before=2, after=2), SCAN),
-        lambda c: context.context_rows(profiles.scan(c), c, 2, 2))
+        lambda c: context.scan_context(c, 2, 2))
 on_code("jn3_context_shown", q.compose(
     "SELECT path, line, context_line, CASE WHEN is_hit THEN printf('%4d >>> %s', context_line, "
     "code) ELSE printf('%4d     %s', context_line, code) END AS shown FROM ("
@@ -475,7 +476,7 @@ WHERE NOT EXISTS (SELECT 1 FROM rv01 o WHERE o.path = d.path AND o.line = d.line
 on_code("jn6_files_per_function", q.compose(
     "SELECT name, CAST(n_files AS BIGINT) AS n_files, first_path FROM shared_functions",
     "shared_functions"),
-        lambda c: files_per_name(function_definitions(c)).select(
+        lambda c: shared_names(function_definitions(c)).select(
             "name", "n_files", "first_path"))
 
 # ---- aggregates ---------------------------------------------------------------------------
@@ -563,13 +564,23 @@ FROM ({SUMMARY_SQL})""", REVIEW),
 on_code("agg12_file_lists", q.compose("""
 SELECT name, CAST(n_files AS BIGINT) AS n_files, files FROM shared_functions""",
                                       "shared_functions"),
-        lambda c: file_lists(function_definitions(c)).select(
-            "name", "n_files", F.array_join("files", ", ").alias("files")))
+        lambda c: list_texts(stored_definitions(c)).select(
+            "name", "n_files", F.col("text").alias("files")))
+SMALL_PART = 50
+on_code("agg12_file_parts", q.compose(f"""
+SELECT name, CAST(n_files AS BIGINT) AS n_files, first_path, CAST(part AS INTEGER) AS part,
+       string_agg(path, ', ' ORDER BY path) AS files
+FROM (SELECT s.*, f.path, (row_number() OVER (PARTITION BY f.name ORDER BY f.path) - 1)
+                          // {SMALL_PART} + 1 AS part
+      FROM function_files f JOIN shared_functions s USING (name))
+GROUP BY name, n_files, first_path, part""", "function_files", "shared_functions"),
+        lambda c: file_lists(stored_definitions(c), SMALL_PART).select(
+            "name", "n_files", "first_path", "part", F.array_join("files", ", ").alias("files")))
 on_code("agg12_defining_files", q.compose("""
 SELECT f.name, CAST(s.n_files AS BIGINT) AS n_files, f.path
 FROM function_files f JOIN shared_functions s USING (name)""",
                                           "function_files", "shared_functions"),
-        lambda c: defining_files(function_definitions(c)))
+        lambda c: defining_files(stored_definitions(c)))
 
 
 # ---- windows, sorts, sets -----------------------------------------------------------------
@@ -592,9 +603,8 @@ on_code("win2_context_block", q.compose("""
 SELECT path, line, string_agg(code, chr(10) ORDER BY context_line) AS block FROM ("""
     + _CONTEXT.format(findings=AUDIT, lines="audit_lines", before=2, after=2)
     + ") GROUP BY path, line", AUDIT),
-        lambda c: context.context_rows(audit_findings(c), c, 2, 2).groupBy("path", "line").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-                "context_line", "code"))), lambda x: x["code"]), "\n").alias("block")))
+        lambda c: context.audit_blocks(c, 2, 2).select(
+            "path", "line", F.array_join("block", "\n").alias("block")))
 on_code("win3_first_of_line", q.compose(f"""
 SELECT path, line, min(rule_id) AS rule_id FROM {SCAN} GROUP BY path, line""", SCAN),
         lambda c: combine.first_of_key(
@@ -799,6 +809,52 @@ def _str4(spark, sf_dir):
     return feeds.drained(found, "str4")
 
 
+register("str1_streamed_audit", q.compose(f"SELECT {FINDING_SQL} FROM {AUDIT}", AUDIT))(
+    lambda s, d: feeds.drained(feeds.streamed_audit(
+        documents_as_code(_document_stream(s, d))).select(*FINDING), "str1"))
+register("str1_streamed_checks", q.compose(
+    f"SELECT {FINDING_SQL} FROM {REVIEW} WHERE rule_id <> 'RV-24'", REVIEW))(
+    lambda s, d: feeds.drained(feeds.streamed_checks(
+        documents_as_code(_document_stream(s, d))).select(*FINDING), "str1"))
+
+
+def _once_per_file(spark, sf_dir):
+    """Every file twice in the feed, a minute apart by its own clock."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    both = [documents_as_code(feeds.corpus_stream(
+        spark, sf_dir, schema, pathGlobFilter="documents.parquet"), "doc_id").withColumn(
+        "arrived", F.timestamp_seconds(F.lit(60 * k) + F.col("doc_id") % 600)) for k in (0, 1)]
+    once = feeds.once_per_file(both[0].unionByName(both[1]), "arrived", "2 hours")
+    return feeds.drained(feeds.streamed_findings(once.select("path", "content")).select(
+        *FINDING), "str3")
+
+
+register("str3_once_per_file", q.compose(f"SELECT {FINDING_SQL} FROM {SCAN}", SCAN))(
+    _once_per_file)
+
+
+STREAMED_FILES, FILES_A_BATCH = 12, 4
+
+
+def _review_store(spark, sf_dir):
+    """The corpus as a folder of files, reviewed in several batches, one of them twice."""
+    folder = shared_dir(spark, "arriving")
+    code_files(spark, sf_dir).repartition(STREAMED_FILES, "path").write.parquet(folder)
+    stream = feeds.corpus_stream(
+        spark, folder, "path string, content string", files_per_trigger=FILES_A_BATCH)
+    store = streamed_review.drain_review(stream)
+    again = spark.read.schema(streamed_review.HIT_SCHEMA).parquet(store.hits_path).where(
+        "batch = 1").select("path").distinct()
+    store.absorb(spark.read.parquet(folder).join(again, "path", "left_semi"), 1)
+    return store
+
+
+register("str5_streamed_review", q.compose(f"SELECT {FINDING_SQL} FROM {REVIEW}", REVIEW))(
+    lambda s, d: _review_store(s, d).reviewed().findings.select(*FINDING))
+register("str5_streamed_duplicates", q.compose(f"SELECT {CHECK_SQL} FROM rv24", "rv24"))(
+    lambda s, d: _review_store(s, d).shared_name_findings().select(*CHECK))
+
+
 # ---- rules as data ------------------------------------------------------------------------
 def _user_rule(rule_id, languages, pattern, message, gate=None):
     return fv.LineRule(rule_id, languages, gate, pattern, "low", "User", "User", message, "Look")
@@ -815,13 +871,74 @@ USER_RULES = [
     *[_user_rule(f"U-N{n:03}", ("Java", "C"), rf"[a-z]{n % 23}\b|\({n}\)", f"number {n}")
       for n in range(230)],
 ]
-q.user_rules([r for r in USER_RULES if r.languages])
+# Rules in the scan manner: equal messages, so that the first of the ordinals reports a line, one
+# type apart, a pattern of its own case; and rules of the audit manner with flags.
+USER_SCAN_RULES = [
+    (_user_rule("V-9", ("Python", "JavaScript", "PHP"), r"EVAL\s*\(", "evaluates", "eval"), ""),
+    (_user_rule("V-1", ("Python", "PHP"), "eval|exec", "evaluates"), "i"),
+    (_user_rule("V-2", ("Python",), r"request\.", "evaluates", "request"), ""),
+    (_user_rule("V-3", ("Python",), "os", "evaluates")._replace(type="Other"), ""),
+    (_user_rule("V-4", ("C/C++", "Java", "HTML"), r"[a-z]+\(\s*[\"a-z]", "calls"), ""),
+    (_user_rule("V-5", ("HTML", "CSS", "PHP"), r"^\s*$", "blank"), ""),
+    (_user_rule("V-6", ("PHP",), r"\bECHO\b", "says"), "i"),
+]
+USER_FLAGGED_RULES = [
+    (_user_rule("W-1", ("Python", "Java"), r"\bDEBUG\s*=|STRING", "flagged"), "i"),
+    (_user_rule("W-2", ("PHP",), "  function \\s+ LOAD  # by any case", "flagged"), "ix"),
+    (_user_rule("W-3", ("JavaScript",), "console.log", "flagged", "console"), "s"),
+]
+
+
+def _both_manners(spark) -> DataFrame:
+    """The rules of both manners as one table, out of order."""
+    plain = rule_tables.rule_table(spark, USER_RULES)
+    rows = [(*r[:1], list(r.languages), *r[2:], profile, flags, at)
+            for profile, flagged in (("audit", USER_FLAGGED_RULES), ("scan", USER_SCAN_RULES))
+            for at, (r, flags) in enumerate(flagged)]
+    manner = spark.createDataFrame(
+        rows[::-1], f"{rule_tables.RULE_SCHEMA}, {rule_tables.MANNER_SCHEMA}")
+    return manner.unionByName(plain, allowMissingColumns=True)
+
+
+q.user_rules([(r, "") for r in USER_RULES if r.languages])
+_USER_SQL = "SELECT profile, path, line, rule_id, severity, type, message, snippet, confidence FROM {}"
+_USER = ["profile", "path", "line", "rule_id", "severity", "type", "message", "snippet",
+         "confidence"]
 on_code("ext1_rule_table", q.compose(
     "SELECT path, line, rule_id, severity, type, message, snippet FROM user_findings",
     "user_findings"),
         lambda c: rule_tables.table_findings(
             c, rule_tables.rule_table(c.sparkSession, USER_RULES)).select(
             "path", "line", "rule_id", "severity", "type", "message", "snippet"))
+q.flagged_rules(USER_FLAGGED_RULES, USER_SCAN_RULES)
+on_code("ext1_both_manners", q.compose(_USER_SQL.format("every_user_finding"),
+                                       "every_user_finding"),
+        lambda c: rule_tables.table_findings(c, _both_manners(c.sparkSession)).select(*_USER))
+on_code("ext1_both_manners_indexed", q.compose(_USER_SQL.format("every_user_finding"),
+                                               "every_user_finding"),
+        lambda c: rule_tables.table_findings(
+            c, _both_manners(c.sparkSession), indexed_from=0).select(*_USER))
+# As many rules as there are pairs of these syllables, each a whole word in some languages.
+SYLLABLES = ("the of and to in is that it for was on are as with at be by or an er re ti es ing ed "
+             "on en st ion le nd ha ou sh wh ea ly ble de la le et les des en un du une que qui "
+             "par au eau re ti tre ment ion der die und den von zu das mit sich ein ung ver ge "
+             "be sch el los se del las con do ar os as").split()
+SYLLABLES = list(dict.fromkeys(SYLLABLES))
+WORD_LANGUAGES = [("Python", "PHP"), ("JavaScript",), ("C", "Java"), ("HTML", "CSS")]
+
+
+def _word_rules() -> list[fv.LineRule]:
+    pairs = [(a, b) for a in SYLLABLES for b in SYLLABLES]
+    return [_user_rule(f"X-{n:05}", WORD_LANGUAGES[n % 4], rf"\b{a}{b}\b", f"word {n}")
+            for n, (a, b) in enumerate(pairs)]
+
+
+q.word_rules(_word_rules())
+on_code("jn1_indexed_rules", q.compose(
+    "SELECT path, line, rule_id, message FROM word_findings", "word_findings"),
+        lambda c: rule_tables.table_findings(
+            c, rule_tables.rule_table(c.sparkSession, _word_rules())).select(
+            "path", "line", "rule_id", "message"))
 on_code("ext2_findings_per_file", q.compose(f"""
 SELECT path, {BIG} AS n, min(line) AS first_line, max(confidence) AS surest
 FROM {SCAN} GROUP BY path""", SCAN),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from rivulint.functions.text import WHITE
 from rivulint.rules import fixed_values as fv
 from rivulint.sources.corpus import FOLDERS, SNIPPETS
@@ -144,12 +146,63 @@ BASE = ("(CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 90 ELSE 75 END + CASE
 CONFIDENCE = f"CASE WHEN contains(code, 'TODO') THEN greatest(60, {BASE} - 10) ELSE {BASE} END"
 
 
+def _flagged(rules, always: str = ""):
+    """Rows of (rule, flags) in the order they are tried."""
+    rows = []
+    for at, (rule, flags) in enumerate(rules):
+        pattern = rule.pattern
+        if "x" in flags:  # RE2 has no comments mode
+            pattern = re.sub(r"\s+|#.*", "", pattern)
+        kept = "".join(dict.fromkeys(always + flags)).replace("x", "")
+        pattern = f"(?{kept})" + pattern if kept else pattern
+        rows += [(rule.rule_id, lang, pattern, rule.severity.upper(), rule.type, rule.category,
+                  rule.message, rule.recommendation, at) for lang in sorted(set(rule.languages))]
+    return rows
+
+
+RANKED_COLUMNS = RULE_COLUMNS[:-1] + ", ordinal)"
+
+
 def user_rules(rules) -> None:
     """Findings of a rule table over the lines of the case-sensitive profile."""
-    cte("user_rules", RULE_COLUMNS, values(rule_rows(rules)))
+    cte("user_rules", RANKED_COLUMNS, values(_flagged(rules)))
     _hits("user_findings", "audit_lines", "user_rules", "audit", rstrip("code"), "NULL")
 
 
+def flagged_rules(audit_rules, scan_rules) -> None:
+    """Findings of those and of rules with flags and in the scan manner."""
+    cte("user_flagged_rules", RANKED_COLUMNS, values(_flagged(audit_rules)))
+    _hits("user_flagged_findings", "audit_lines", "user_flagged_rules", "audit", rstrip("code"),
+          "NULL")
+    cte("user_scan_rules", RANKED_COLUMNS, values(_flagged(scan_rules, "i")))
+    cte("user_scan_lines", "", """
+SELECT * FROM scan_lines JOIN user_scan_rules
+  ON language = rule_language AND regexp_matches(code, pattern)
+QUALIFY row_number() OVER (PARTITION BY path, line, message, type ORDER BY ordinal) = 1""",
+        "scan_lines", "user_scan_rules")
+    cte("user_scan_findings", "", f"""
+SELECT 'scan' AS profile, path, line, rule_id, severity, {rank('severity')} AS severity_rank,
+       type, CAST(category AS VARCHAR) AS category, language, message, {strip('code')} AS snippet,
+       CAST(recommendation AS VARCHAR) AS recommendation,
+       CAST({CONFIDENCE} AS INTEGER) AS confidence FROM user_scan_lines""", "user_scan_lines")
+    cte("every_user_finding", "", """
+SELECT * FROM user_findings UNION ALL SELECT * FROM user_flagged_findings
+UNION ALL SELECT * FROM user_scan_findings""",
+        "user_findings", "user_flagged_findings", "user_scan_findings")
+
+
+def word_rules(rules) -> None:
+    """Findings of rules that are whole words: an equality of words instead of patterns."""
+    cte("word_rules", "(rule_id, rule_language, word, message)", values(
+        (r.rule_id, lang, r.pattern.replace(r"\b", ""), r.message)
+        for r in rules for lang in r.languages))
+    cte("word_findings", "", r"""
+SELECT DISTINCT path, line, rule_id, message FROM (
+  SELECT path, language, line, unnest(regexp_extract_all(code, '[\p{L}\p{M}\p{N}_]+')) AS word
+  FROM audit_lines) l JOIN word_rules r ON r.rule_language = l.language AND r.word = l.word""",
+        "audit_lines", "word_rules")
+
+
 _hits("audit_findings", "audit_lines", "audit_rules", "audit", rstrip("code"), "NULL")
 _hits("scan_line_findings", "scan_lines", "scan_rules", "scan", strip("code"), CONFIDENCE)
 _hits("page_findings", "page_lines", "scan_rules", "scan", strip("code"), CONFIDENCE)

@@ -28,3 +28,34 @@ def whole_file(pattern: str, flags: str = "", starts: str = "") -> str:
         letters = starts + starts.upper() if "i" in flags else starts
         ahead = f"(?=[{letters}])"
     return f"(?dU{flags}{'-u' if 'i' in flags else ''})" + ahead + pattern
+
+
+def first_suffices(pattern: str) -> str:
+    r"""The same answer for one line, in time proportional to it.
+
+    A pattern of parts with ``.*`` between them matches a line exactly when its first part does,
+    the next part behind the first place of that, and so on.  As written, every place of the
+    first part runs to the end of the line; here each part is looked for once, and where the rest
+    is missing nothing is tried again.  Parts must not hold ``.*`` in a group or class.
+    """
+    *parts, last = pattern.split(".*")
+    return "^" + "".join(f"(?>.*?{part})" for part in parts) + ".*" + last if parts else pattern
+
+
+def first_of_part(opening: str, stop: str, rest: str, repeat: str = "*") -> str:
+    """``opening`` followed by characters other than ``stop`` and then ``rest``, tried once a part.
+
+    Parts are what lies between the stops.  If any opening of a part goes on so, its first does.
+    """
+    return f"(?<![^{stop}])(?>[^{stop}]*?{opening})[^{stop}]{repeat}+{rest}"
+
+
+def marked_part(opening: str, stop: str, inside: str, closed: bool) -> str:
+    """As ``first_of_part``, for text ``inside`` before the stop; groups: what is before, the match.
+
+    A part has at most one match: from its first opening, if ``inside`` comes after that.
+    """
+    return (
+        f"(?<![^{stop}])((?>[^{stop}]*?(?={opening})))"
+        f"({opening}(?=[^{stop}]*?{inside})[^{stop}]*+{'[' + stop + ']' if closed else ''})"
+    )

@@ -42,6 +42,11 @@ def mark_matches(content: str, pattern: str) -> str:
     return f"regexp_replace({content}, {quoted(pattern)}, {quoted(MARK + '$0')})"
 
 
+def mark_parts(content: str, pattern: str) -> str:
+    """Marks matches of a pattern whose two groups are the text before a match and the match."""
+    return f"regexp_replace({content}, {quoted(pattern)}, {quoted('$1' + MARK + '$2')})"
+
+
 def has_mark(marked: str) -> str:
     return f"contains({marked}, {SPLIT_MARK})"
 

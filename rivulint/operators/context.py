@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulint.functions.dialect import exact_line, folded_line
 from rivulint.functions.text import read_lines, unix_newlines
+from rivulint.operators.detect import scan_files
+from rivulint.operators.line_rules import audit_text, calls_helper, reported_lines, scan_text
+from rivulint.rules.fixed_values import AUDIT_RULES, SCAN_RULES, LineRule
 
 
 BITMAP_WORDS = 1 << 15
@@ -27,9 +31,39 @@ def likely_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
         "_word", "_bits")
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Rows of (path, line, first, block) as one row for each line of a block."""
+    return blocks.select("path", "line", "first", F.posexplode("block").alias("pos", "code")).select(
+        "path", "line", (F.col("first") + F.col("pos")).cast("int").alias("context_line"),
+        "code", (F.col("first") + F.col("pos") == F.col("line")).alias("is_hit"),
+    )
+
+
+def audit_context(files: DataFrame, before: int, after: int,
+                  rules: list[LineRule] = AUDIT_RULES) -> DataFrame:
+    """The lines around what ``audit`` reports: one read of the corpus, nothing is shuffled."""
+    return _numbered(audit_blocks(files, before, after, rules))
+
+
+def audit_blocks(files: DataFrame, before: int, after: int,
+                 rules: list[LineRule] = AUDIT_RULES) -> DataFrame:
+    """path, line, first and block, an array of lines, for every line ``audit`` reports."""
+    return reported_lines(audit_text(files), rules, exact_line, before, after)
+
+
+def scan_context(files: DataFrame, before: int, after: int,
+                 rules: list[LineRule] = SCAN_RULES) -> DataFrame:
+    """The lines around what ``scan`` reports, the finding on a whole file being on line 1."""
+    on_file = (F.col("language") == "Python") & calls_helper(F.col("text"))
+    return _numbered(reported_lines(
+        scan_text(scan_files(files)), rules, folded_line, before, after, on_file))
+
+
 def context_rows(findings: DataFrame, files: DataFrame, before: int, after: int) -> DataFrame:
     """(path, line, context_line, code, is_hit) for every reported line, clamped to its file.
 
+    For findings that come from elsewhere, with line numbers alone; ``audit_context`` and
+    ``scan_context`` need no join.
     The reported line numbers travel to the file, one row on either side of the join, so no
     key can be hot; the numbers of one file are fewer than its lines.  Before the join the
     corpus is narrowed, where it is read, to files that are likely reported (``likely_among``),
@@ -40,7 +74,7 @@ def context_rows(findings: DataFrame, files: DataFrame, before: int, after: int)
     )
     files = likely_among(files.select("path", "content"), "path", wanted)
     text = files.select("path", unix_newlines(F.col("content")).alias("text"))
-    return (
+    blocks = (
         text.join(wanted, "path")
         .select("path", read_lines(F.col("text")).alias("lines"), "wanted")
         .select("path", "lines", F.explode("wanted").alias("line"))
@@ -52,12 +86,8 @@ def context_rows(findings: DataFrame, files: DataFrame, before: int, after: int)
                 F.lit(after + 1) + F.least(F.lit(before), F.col("line") - 1),
             ).alias("block"),
         )
-        .select("path", "line", "first", F.posexplode("block").alias("pos", "code"))
-        .select(
-            "path", "line", (F.col("first") + F.col("pos")).cast("int").alias("context_line"),
-            "code", (F.col("first") + F.col("pos") == F.col("line")).alias("is_hit"),
-        )
     )
+    return _numbered(blocks)
 
 
 def context_texts(rows: DataFrame, style: str = "numbered") -> DataFrame:

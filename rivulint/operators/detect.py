@@ -11,10 +11,13 @@ from rivulint.rules.fixed_values import (
 )
 
 
+def is_reviewed(path: Column) -> Column:
+    return F.lower(path).endswith(".php") & ~below_any(path, REVIEW_PRUNED_DIRS)
+
+
 def review_files(files: DataFrame) -> DataFrame:
     """PHP files outside the pruned folders."""
-    path = F.col("path")
-    return files.where(F.lower(path).endswith(".php") & ~below_any(path, REVIEW_PRUNED_DIRS))
+    return files.where(is_reviewed(F.col("path")))
 
 
 def audit_files(files: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulint.functions.dialect import whole_file
+from rivulint.functions.dialect import marked_part, whole_file
 from rivulint.functions.matches import (
-    LF, groups_of, has_mark, let, line_after, mark_matches, match_lines, quoted,
-    searchable, surroundings,
+    LF, SPLIT_MARK, groups_of, has_mark, let, line_after, mark_matches, mark_parts, match_lines,
+    quoted, searchable, surroundings,
 )
 from rivulint.functions.text import (
     WHITE, file_lines, newline_count, trim_white, unix_newlines,
@@ -41,13 +41,13 @@ def _any(text: str, *words: str) -> str:
 
 
 def _per_match(rule_id, pattern, *, group=None, word=None, keep=None, window=None,
-               severity=None) -> str:
+               severity=None, mark=mark_matches) -> str:
     """Hits for every match of a pattern in ``code``.
 
     ``group`` is the capture group giving the word and ``word`` an expression over it (``w``)
     or, without a group, the word itself; ``keep`` is a test on the match text ``t`` (on the
     window around the match when one is given as (before, after, shortest match));
-    ``severity`` is an expression over the second group ``v``.
+    ``severity`` is an expression over the second group ``v``; ``mark`` puts the marks.
     """
     arrays = {"line": match_lines("marked")}
     if group is not None:
@@ -74,7 +74,7 @@ def _per_match(rule_id, pattern, *, group=None, word=None, keep=None, window=Non
     rank = "cast(null as string)" if severity is None else severity("m.v")
     hits = f"transform({items}, m -> {_hit(rule_id, 'm.line', 'm.no', found, rank)})"
     return let(
-        mark_matches("code", pattern), "marked",
+        mark("code", pattern), "marked",
         f"case when {has_mark('marked')} then {hits} end",
     )
 
@@ -136,11 +136,14 @@ def _command_check(name: str) -> str:
 
 def _csrf_check() -> str:
     """RV-21: at most one per file, at the first complete form tag, else on line 1."""
-    form = fv.REVIEW_PATTERNS["RV-21"]
-    complete = quoted("(?s)^(.*?)" + whole_file(form + "[^>]*>", "i"))
-    line = let(f"regexp_extract(text, {complete}, 1)", "prefix", line_after("prefix"))
+    opening, method = fv.REVIEW_PATTERNS["RV-21"].split("[^>]*")
+    anywhere, complete = (
+        whole_file(marked_part(opening, ">", method, closed), "i") for closed in (False, True))
+    line = let(mark_parts("code", complete), "marked",
+               f"case when {has_mark('marked')} then "
+               f"{line_after(f'substring_index(marked, {SPLIT_MARK}, 1)')} else 1 end")
     return (
-        f"case when {_matches('text', whole_file(form, 'i'))} and not contains(low, 'csrf') "
+        f"case when {_matches('code', anywhere)} and not contains(low, 'csrf') "
         f"then array({_hit('RV-21', line)}) end"
     )
 
@@ -205,10 +208,11 @@ def check_arrays(wanted: set[str]) -> list[str]:
     simple("RV-09", f"{req} and {_any('low', 'include', 'require')}", "i", "ir", group=1)
     simple("RV-10", f"{req} and contains(low, 'location:')", "i", "h")
     for name in fv.FILE_FUNCS:
-        pattern = whole_file(fv.NB + name + r"\s*\([^)]*" + fv.REQ + r"[^)]*\)", "i", name[0])
+        opening = f"(?=[{name[0]}{name[0].upper()}]){fv.NB}{name}" + r"\s*\("
+        pattern = whole_file(marked_part(opening, ")", fv.REQ, True), "i")
         add("RV-11", f"{req} and contains(low, '{name}') and {_any('text', '..', 'dirname')}",
             _per_match("RV-11", pattern, word=quoted(name), window=(0, 150, len(name) + 7),
-                       keep=lambda w: _any(w, "..", "dirname")))
+                       keep=lambda w: _any(w, "..", "dirname"), mark=mark_parts))
     password = whole_file(fv.PASSWORD_WORD, "i")
     simple("RV-12", f"{_any('low', 'md5', 'sha1')} and {_any('low', 'pass', 'pwd')}", "i", "ms",
            group=1, window=(0, 120, 4), keep=lambda w: _matches(w, password))
@@ -226,7 +230,10 @@ def check_arrays(wanted: set[str]) -> list[str]:
         _per_match("RV-18", _function_call(fv.WEAK_RANDOM_FUNCS), group=1, window=(80, 80, 5),
                    keep=lambda w: _matches(w, token)))
     simple("RV-19", f"{req} and contains(low, 'extract')", "i", "e")
-    simple("RV-20", f"{req} and contains(low, 'unserialize')", "i", "u")
+    opening = texts["RV-20"].split(r"\s*[^)]*")[0]
+    add("RV-20", f"{req} and contains(low, 'unserialize')",
+        _per_match("RV-20", whole_file(marked_part(opening, ")", fv.REQ, False), "i"),
+                   mark=mark_parts))
     add("RV-21", "contains(low, '<form') and contains(low, 'post')", _csrf_check())
     validator = whole_file(fv.UPLOAD_VALIDATOR, "i")
     simple("RV-22", "contains(text, 'move_uploaded_file')", "", window=(600, 200, 19),
@@ -259,6 +266,12 @@ def defined_names() -> str:
     return f"array_distinct({groups_of('code', pattern, 1)})"
 
 
+def definition_hits() -> str:
+    """SQL of a row of its own for every function a file defines."""
+    names = f"transform({defined_names()}, n -> {_hit(DEFINITION, '0', word='n')})"
+    return f"case when contains(text, 'function') then {names} end"
+
+
 def file_hits(files: DataFrame, checks=None, definitions: bool = False) -> DataFrame:
     """Per file: path, number of lines, its lines where any check hit, and the hits.
 
@@ -266,8 +279,7 @@ def file_hits(files: DataFrame, checks=None, definitions: bool = False) -> DataF
     """
     arrays = check_arrays(set(ALL_CHECKS if checks is None else checks))
     if definitions:
-        names = f"transform({defined_names()}, n -> {_hit(DEFINITION, '0', word='n')})"
-        arrays.append(f"case when contains(text, 'function') then {names} end")
+        arrays.append(definition_hits())
     hits = f"flatten(array_compact(array({', '.join(arrays)})))"
     return (
         review_text(files)

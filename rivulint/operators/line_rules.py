@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulint.functions.dialect import exact_line, folded_line
+from rivulint.functions.dialect import (
+    exact_line, first_of_part, first_suffices, folded_line,
+)
 from rivulint.functions.matches import quoted
 from rivulint.functions.text import (
     any_newlines, file_lines, read_lines, rtrim_white, trim_white, unix_newlines,
@@ -39,7 +41,7 @@ def _gate(text: str, gate: str) -> str:
     return "(" + " or ".join(all_of(words) for words in gate.split("|")) + ")"
 
 
-def _any_gate(text: str, rules: list[LineRule]) -> str:
+def any_gate(text: str, rules: list[LineRule]) -> str:
     if any(not r.gate for r in rules):
         return "true"
     words = dict.fromkeys(w for r in rules for w in r.gate.split("|"))
@@ -47,15 +49,15 @@ def _any_gate(text: str, rules: list[LineRule]) -> str:
     return _gate(text, "|".join(w for w in words if not any(o != w and o in w for o in words)))
 
 
-def _per_language(rules: list[LineRule], build) -> str:
+def per_language(rules: list[LineRule], build, column: str = "language") -> str:
     cases = " ".join(
         f"when {quoted(name)} then {build(group)}"
         for name, group in rules_by_language(rules).items()
     )
-    return f"case language {cases} end"
+    return f"case {column} {cases} end"
 
 
-def _rule_struct(rule: LineRule) -> str:
+def rule_struct(rule: LineRule) -> str:
     def text(value: str | None) -> str:
         return "cast(null as string)" if value is None else quoted(value)
 
@@ -66,6 +68,26 @@ def _rule_struct(rule: LineRule) -> str:
     )
 
 
+# Shipped rules with an open end, in a form that tries each line, or each part of it, once.
+_STOPPED = {"A-PY-07": (")", "*"), "A-C-04": (";", "*"), "A-C-05": (";", "+")}
+
+
+def _once_through(rule: LineRule) -> str:
+    if rule.rule_id in _STOPPED:
+        stop, repeat = _STOPPED[rule.rule_id]
+        opening, rest = rule.pattern.split(f"[^{stop}]{repeat}")
+        return first_of_part(opening, stop, rest, repeat)
+    return first_suffices(rule.pattern)
+
+
+LINEAR_PATTERNS = {r.pattern: _once_through(r) for r in (*AUDIT_RULES, *SCAN_RULES)}
+
+
+def linear(pattern: str) -> str:
+    """A shipped pattern in its linear form; any other as it is."""
+    return LINEAR_PATTERNS.get(pattern, pattern)
+
+
 NO_LINES = "array<struct<line:string,low:string>>"
 # So many rules are tested by one array expression; a language with more has several.
 RULES_PER_ARRAY = 100
@@ -82,7 +104,7 @@ def candidate_lines(
     """
 
     def gated(text: str) -> Column:
-        return F.expr(_per_language(rules, lambda group: _any_gate(text, group)))
+        return F.expr(per_language(rules, lambda group: any_gate(text, group)))
 
     lowered = files.select("path", "language", "text", F.lower("text").alias("text_low"))
     lines = F.when(
@@ -109,33 +131,39 @@ def candidate_lines(
     )
 
 
-def line_hits(
-    lines: DataFrame, rules: list[LineRule], dialect, file_rule: LineRule | None = None,
-    once: bool = False,
-) -> DataFrame:
-    """One row per line and matching rule: the line's columns plus the rule's.
-
-    With ``once``, of rules with equal message and type only the first in the list to match a
-    line reports it.  Any number of rules is one projection over one read of the lines.
-    """
+def matching_rules(rules: list[LineRule], dialect, once: bool = False) -> str:
+    """SQL of the array of rules that match the columns code and low in a language."""
 
     def hits(group: list[LineRule]) -> str:
         found = []
         for i, rule in enumerate(group):
             tests = [_gate("low", rule.gate)] if rule.gate else []
-            tests.append(f"code rlike {quoted(dialect(rule.pattern))}")
+            tests.append(f"code rlike {quoted(dialect(linear(rule.pattern)))}")
             tests += [
-                f"not code rlike {quoted(dialect(earlier.pattern))}" for earlier in group[:i]
+                f"not code rlike {quoted(dialect(linear(earlier.pattern)))}" for earlier in group[:i]
                 if once and (earlier.message, earlier.type) == (rule.message, rule.type)
             ]
-            found.append(f"case when {' and '.join(tests)} then {_rule_struct(rule)} end")
+            found.append(f"case when {' and '.join(tests)} then {rule_struct(rule)} end")
         arrays = [f"array({', '.join(found[at:at + RULES_PER_ARRAY])})"
                   for at in range(0, len(found), RULES_PER_ARRAY)]
         return f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
 
-    found = f"array_compact({_per_language(rules, hits)})"
+    return f"array_compact({per_language(rules, hits)})"
+
+
+def line_hits(
+    lines: DataFrame, rules: list[LineRule], dialect, file_rule: LineRule | None = None,
+    once: bool = False,
+) -> DataFrame:
+    """One row per line and matching rule: the line's columns plus the rule's.
+
+    With ``once``, of rules with equal message and type only the first in the list to match a
+    line reports it.  Any number of rules is one projection over one read of the lines.
+    """
+
+    found = matching_rules(rules, dialect, once)
     if file_rule is not None:
-        found = f"case when code is null then array({_rule_struct(file_rule)}) else {found} end"
+        found = f"case when code is null then array({rule_struct(file_rule)}) else {found} end"
     return (
         lines.select("path", "language", "line", "code", "low", F.expr(found).alias("hits"))
         .select("path", "language", "line", "code", "low", F.inline_outer("hits"))
@@ -155,15 +183,50 @@ def confidence(severity: Column, code: Column, low: Column) -> Column:
     )
 
 
+def reported_lines(
+    texts: DataFrame, rules: list[LineRule], dialect, before: int, after: int,
+    on_file: Column | None = None,
+) -> DataFrame:
+    """path, line, first and block: each line a rule matches, with the lines around it.
+
+    ``texts`` has path, language and LF-separated text.  The block is cut in the file's own row,
+    for lines holding a gate word; of these only the ones that are hit go on.  Where
+    ``on_file`` holds, line 1 is reported in any case.
+    """
+    named = on_file if on_file is not None else F.lit(False)
+    lowered = texts.select("path", "language", "text", F.lower("text").alias("text_low"),
+                           F.coalesce(named, F.lit(False)).alias("on_file"))
+    wanted = F.expr(per_language(rules, lambda group: any_gate("text_low", group))) | F.col("on_file")
+    split = lowered.select("path", "language", "on_file", *[
+        F.when(wanted, read_lines(F.col(c))).alias(name)
+        for c, name in (("text", "codes"), ("text_low", "lows"))])
+    gate = per_language(rules, lambda group: any_gate("l", group))
+    block = (f"slice(codes, greatest(1, i + 1 - {before}), "
+             f"{after} + 1 + least({before}, i))")
+    candidates = F.expr(
+        f"array_compact(transform(lows, (l, i) -> case when {gate} or (on_file and i = 0) then "
+        "named_struct('line', i + 1, 'code', get(codes, i), 'low', l, "
+        f"'first', greatest(1, i + 1 - {before}), 'block', {block}) end))")
+    rows = split.select("path", "language", "on_file", F.inline_outer(candidates)).where(
+        F.col("line").isNotNull())
+    hit = F.expr(f"size({matching_rules(rules, dialect)}) > 0")
+    return rows.where(F.coalesce(hit, F.lit(False)) | (F.col("on_file") & (F.col("line") == 1))
+                      ).select("path", "line", "first", "block")
+
+
+def audit_text(files: DataFrame) -> DataFrame:
+    """(path, language, text) of the files with a mapped suffix."""
+    return files.select(
+        "path", audit_language(F.col("path")).alias("language"),
+        unix_newlines(F.col("content")).alias("text"),
+    ).where(F.col("language").isNotNull())
+
+
 def audit_findings(files: DataFrame, rules: list[LineRule] = AUDIT_RULES) -> DataFrame:
     """The case-sensitive profile over (path, content): every rule reports every line it hits."""
     if not rules_by_language(rules):
         files, rules = files.where(F.lit(False)), AUDIT_RULES
-    prepared = files.select(
-        "path", audit_language(F.col("path")).alias("language"),
-        unix_newlines(F.col("content")).alias("text"),
-    ).where(F.col("language").isNotNull())
-    lines = candidate_lines(prepared, rules, lines_of=read_lines)
+    lines = candidate_lines(audit_text(files), rules, lines_of=read_lines)
     hits = line_hits(lines, rules, exact_line)
     return as_findings(
         hits.withColumn("snippet", rtrim_white(F.col("code"))), "audit"
@@ -198,7 +261,7 @@ def scan_findings(
     on_file = None
     if file_rule:
         on_file = (F.col("language") == "Python") & calls_helper(F.col("text"))
-    lines = candidate_lines(text, rules, on_file)
+    lines = candidate_lines(text, rules, on_file, read_lines)
     hits = line_hits(lines, rules, folded_line, HELPER_CALL if file_rule else None, once=True)
     itself = F.col("code").isNull()
     return as_findings(
@@ -224,7 +287,7 @@ def helper_call_findings(files: DataFrame) -> DataFrame:
         rows.select(
             "path", "language", F.lit(1).alias("line"), F.lit("").alias("snippet"),
             F.lit(HELPER_CALL_CONFIDENCE).alias("confidence"),
-            F.expr(f"inline(array({_rule_struct(HELPER_CALL)}))"),
+            F.expr(f"inline(array({rule_struct(HELPER_CALL)}))"),
         ),
         "scan",
     )

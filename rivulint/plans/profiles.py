@@ -16,8 +16,12 @@ from rivulint.operators.combine import all_findings
 from rivulint.operators.detect import scan_files
 from rivulint.operators.duplicates import shared_name_findings
 from rivulint.operators.errors import readable, review_read_errors, scan_read_errors
-from rivulint.operators.file_checks import DEFINITION, describe, file_hits, hit_rows
+from rivulint.operators.file_checks import (
+    ALL_CHECKS, DEFINITION, check_findings, describe, file_hits, hit_rows,
+)
 from rivulint.operators.line_rules import audit_findings, scan_findings
+from rivulint.operators.one_pass import found_rows
+from rivulint.rules.fixed_values import AUDIT_RULES, SCAN_RULES, LineRule
 from rivulint.schema import as_findings
 from rivulint.session import shared_dir
 
@@ -44,7 +48,34 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def every_profile(files: DataFrame) -> DataFrame:
-    return all_findings(review(files), audit(files), scan(files))
+    """All three profiles from one read of the corpus, written as rows by profile."""
+    return all_findings(*found_findings(files, AUDIT_RULES, SCAN_RULES, ALL_CHECKS, True))
+
+
+def found_findings(
+    files: DataFrame, audit_rules: list[LineRule], scan_rules: list[LineRule],
+    checks: list[str], file_rule: bool,
+) -> list[DataFrame]:
+    good = readable(files) if "read_error" in files.columns else files
+    rows = found_rows(good, audit_rules, scan_rules, checks, file_rule)
+    out = shared_dir(files.sparkSession, "found")
+    rows.write.partitionBy("profile").parquet(out)
+    stored = files.sparkSession.read.schema(rows.schema).parquet(out)
+
+    def of(profile: str) -> DataFrame:
+        return stored.where(F.col("profile") == profile)
+
+    parts = [as_findings(of(p).drop("profile", "word"), p) for p in ("audit", "scan")]
+    if checks:
+        hits = of("review").select(
+            "path", "line", "rule_id", "match_no", "word", "severity", "snippet")
+        parts += [
+            as_findings(describe(hits.where(F.col("rule_id") != DEFINITION)), "review"),
+            shared_name_findings(definitions_of(hits))]
+    if "read_error" in files.columns:
+        parts += [review_read_errors(files)] if checks else []
+        parts += [scan_read_errors(files)] if file_rule else []
+    return parts
 
 
 def settled(findings: DataFrame, purpose: str = "findings") -> DataFrame:
@@ -85,6 +116,14 @@ def review_summary(files: DataFrame) -> DataFrame:
     return analytics.summary_document(review_summary_rows(files))
 
 
+def review_checks(files: DataFrame) -> DataFrame:
+    """The per-file checks and read errors alone: lazy, narrow, and as good for a stream.
+
+    The check across files needs the definitions of all of them; ``review`` adds it.
+    """
+    return all_findings(*_parts(files, lambda f: [check_findings(f)], review_read_errors))
+
+
 class Reviewed(NamedTuple):
     findings: DataFrame
     summary_rows: DataFrame
@@ -97,13 +136,26 @@ def review_once(files: DataFrame) -> Reviewed:
     folder in one narrow pass; the check across files, the summary and whatever is asked of
     the findings later start from that much smaller table.
     """
-    rows = settled(hit_rows(file_hits(files, definitions=True)), "review")
-    hits = rows.where(F.col("rule_id") != DEFINITION)
-    others = [shared_name_findings(
-        rows.where(F.col("rule_id") == DEFINITION).select(F.col("word").alias("name"), "path")
-    )]
+    rows = settled(review_hits(files), "review")
+    others = []
     if "read_error" in files.columns:
         others.append(review_read_errors(files.select("path", "read_error")))
+    return reviewed(rows, *others)
+
+
+def review_hits(files: DataFrame) -> DataFrame:
+    """What checks and the check across files need of every file, in narrow rows; lazy."""
+    return hit_rows(file_hits(files, definitions=True))
+
+
+def definitions_of(hits: DataFrame) -> DataFrame:
+    return hits.where(F.col("rule_id") == DEFINITION).select(F.col("word").alias("name"), "path")
+
+
+def reviewed(hits: DataFrame, *others: DataFrame) -> Reviewed:
+    """Findings and summary from stored rows of ``review_hits``."""
+    others = [shared_name_findings(definitions_of(hits)), *others]
+    checks = hits.where(F.col("rule_id") != DEFINITION)
     return Reviewed(
-        all_findings(as_findings(describe(hits), "review"), *others), _summary(rows, *others)
+        all_findings(as_findings(describe(checks), "review"), *others), _summary(hits, *others)
     )

@@ -23,12 +23,15 @@ def severity_rank(column: str = "severity") -> Column:
     return F.expr(RANK_SQL.replace("severity", column))
 
 
-def as_findings(df: DataFrame, profile: str) -> DataFrame:
-    """Bring a frame with some of the fields to the full schema; what is missing is NULL."""
+def as_findings(df: DataFrame, profile: str | None) -> DataFrame:
+    """Bring a frame with some of the fields to the full schema; what is missing is NULL.
+
+    Without a profile the frame has one for every row.
+    """
     values = {name: name for name in df.columns}
-    values |= {
-        "profile": f"'{profile}'", "severity": "upper(severity)", "severity_rank": RANK_SQL,
-    }
+    values |= {"severity": "upper(severity)", "severity_rank": RANK_SQL}
+    if profile is not None:
+        values["profile"] = f"'{profile}'"
     values.setdefault("match_no", "1")
     return df.selectExpr(*[
         f"cast({values.get(name, 'null')} as {kind}) as {name}"

@@ -1,4 +1,4 @@
-"""The same expressions over a stream of files.
+"""The same expressions over a stream of files; the check across files is in ``review``.
 
 Rules, checks and dedup of one file need no state: a file is one row.  State is kept only for
 running counts (one row per severity or language) and, where files may arrive again, for
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulint.operators.combine import FINDING_KEY
-from rivulint.plans.profiles import scan
+from rivulint.plans.profiles import audit, review_checks, scan
 from rivulint.session import shared_dir
 
 CORPUS_SCHEMA = "path string, content string, read_error string"
@@ -33,6 +33,19 @@ def streamed_findings(files: DataFrame) -> DataFrame:
     return scan(files)
 
 
+def streamed_audit(files: DataFrame) -> DataFrame:
+    """Findings of the case-sensitive line rules as files arrive."""
+    return audit(files)
+
+
+def streamed_checks(files: DataFrame) -> DataFrame:
+    """Findings of the whole-file checks as files arrive, without any state.
+
+    The check across files needs them all; ``streaming.review`` keeps what that takes.
+    """
+    return review_checks(files)
+
+
 def running_counts(findings: DataFrame, column: str) -> DataFrame:
     return findings.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from rivulint.checks import queries
 from rivulint.functions.text import decode_dropping
-from rivulint.operators import analytics, combine, context, filters
+from rivulint.operators import analytics, combine, context, duplicates, filters
 from rivulint.operators.advice import fallback_advice, normal_severity
 from rivulint.operators.detect import audit_files, review_files, scan_files, scan_language
 from rivulint.operators.duplicates import (
-    defining_files, duplicate_function_findings, function_definitions,
+    defining_files, duplicate_function_findings, file_lists, function_definitions,
 )
 from rivulint.operators.line_rules import audit_findings
 from rivulint.plans import profiles
@@ -123,9 +123,16 @@ def test_hot_function_name_is_listed_whole(corpus):
                      for i in range(60)], ("a.php", "function hot(){} function one(){}"))
     (row,) = duplicate_function_findings(files).collect()
     assert row.path == "a.php" and " 61 files: a.php, d/f000.php, " in row.message
-    (row,) = duplicate_function_findings(files, listed=3).collect()
-    assert row.path == "a.php" and row.message.split(": ")[1].startswith(
-        "a.php, d/f000.php, d/f001.php and 58 more")
+    paths = sorted(["a.php"] + [f"d/f{i:03d}.php" for i in range(60)])
+    assert row.message.endswith(": " + ", ".join(paths) + ".")
+    # In parts, put together again; and with more parts than one text holds.
+    (parted,) = duplicate_function_findings(files, listed=3).collect()
+    assert parted == row
+    several = sorted(duplicate_function_findings(files, listed=3, parts=4).collect(),
+                     key=lambda r: r.match_no)
+    assert [r.match_no for r in several] == list(range(1, 7))
+    listed = [p for r in several for p in r.message.split(": ")[1][:-1].split(", ")]
+    assert listed == paths and {r.path for r in several} == {"a.php"}
     every = defining_files(function_definitions(files)).where("name = 'hot'").collect()
     assert sorted((r.n_files, r.path) for r in every) == [
         (61, p) for p in sorted(["a.php"] + [f"d/f{i:03d}.php" for i in range(60)])]
@@ -138,13 +145,41 @@ def test_name_in_more_files_than_are_listed_counts_once(spark):
     found = profiles.review_once(files)
     (row,) = found.findings.collect()
     assert (row.rule_id, row.path) == ("RV-24", "d/f00000.php")
-    assert " 10050 files: " in row.message and " and 50 more" in row.message
+    assert " 10050 files: " in row.message and row.message.count(", ") == 10_049
     assert analytics.count_all(found.findings).first()[0] == 1
     assert [r.n for r in analytics.top_files(found.findings).collect()] == [1]
     total = {(r.section, r.key): r.n for r in found.summary_rows.collect()}
     assert 1 in total.values()
 
 
+def test_a_hot_name_is_ranked_in_many_tasks(spark, monkeypatch):
+    """A third of all definitions are of one name: every task ranks its share of them."""
+    stored = {}
+
+    def keep(rows, purpose, write=duplicates.written):
+        stored[purpose] = write(rows, purpose)
+        return stored[purpose]
+
+    monkeypatch.setattr(duplicates, "written", keep)
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(
+            F.concat(F.lit("f"), (F.col("id") % 5_000).cast("string"))).alias("name"),
+        F.format_string("p/%06d.php", "id").alias("path"))
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")
+    try:
+        ranked = duplicates.ranked_files(rows.repartition(8))
+    finally:
+        spark.conf.unset(merged)
+    tasks = stored["ranked"].where("name = 'hot'").groupBy("task").count().collect()
+    assert len(tasks) >= 3 and max(r["count"] for r in tasks) < 6_000
+    got = [(r.place, r.path) for r in ranked.where("name = 'hot'").orderBy("place").collect()]
+    assert got == [(i, f"p/{3 * i:06d}.php") for i in range(10_000)]
+    lists = file_lists(rows, 400).where("name = 'hot'").collect()
+    assert sorted(r.part for r in lists) == list(range(1, 26))
+    assert {len(r.files) for r in lists} == {400}
+
+
 def test_file_lists_hold_every_file(spark, monkeypatch):
     files = spark.range(10_050).select(
         F.format_string("d/f%05d.php", "id").alias("path"),
