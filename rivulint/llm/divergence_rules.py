@@ -40,7 +40,7 @@ MIN_CHARS, CLASS_BASE, CLASS_SPREAD = 200, 0.1, 3.0
 BUCKETS, FIRST_BUCKETS = 4096, 64
 # The weight of a document in whole numbers, so that sums do not depend on their order.
 WEIGHT = 1_000_000
-SPACE = r"[\x20\x09-\x0D]"
+SPACE, BLANKS = r"[\x20\x09-\x0D]", " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 # Character classes, each of what the ones before have left.
 CLASSES = [r"\p{Ll}", SPACE, r"\p{Lu}", r"\p{N}", r"[.,;:!?'\"()\-]", r"[\p{L}\p{M}]"]
@@ -63,13 +63,14 @@ def _behind(array: Column, step: int) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    """What stands between spaces; one empty word in a text of nothing else is left out."""
+    return F.array_remove(F.split(F.btrim(text, F.lit(BLANKS)), SPACE + "+"), "")
 
 
-def spaced_words(words: Column) -> Column:
-    """The words in lower case without the marks at their ends, each between two blanks."""
-    joined = F.lower(F.array_join(words, "  "))
-    return F.concat(F.lit("  "), F.regexp_replace(joined, r"[.,;:!?]+(?=  |\z)", ""), F.lit("  "))
+def bare_words(text: Column) -> Column:
+    """The words in lower case without the marks at their ends; one empty word if there is none."""
+    bare = F.regexp_replace(F.lower(text), rf"[.,;:!?]+(?={SPACE}|\z)", "")
+    return F.split(F.btrim(bare, F.lit(BLANKS)), SPACE + "+")
 
 
 def window_hashes(words: Column) -> Column:
@@ -134,8 +135,11 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(pairs) == 0, F.lit(0)).when(differ, exactly(pairs)).otherwise(
             _covered(places(pairs)))
 
-    found = _let(keys(window_hashes(words)), lambda r: _let(with_next(r), counted))
-    return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(found)
+    def found(hashes: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(
+            keys(hashes), lambda r: _let(with_next(r), counted))).otherwise(F.lit(0))
+
+    return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(_let(window_hashes(words), found))
 
 
 def base_counts(texts: DataFrame, *keep: str) -> DataFrame:
@@ -165,16 +169,19 @@ def base_counts(texts: DataFrame, *keep: str) -> DataFrame:
         .alias("classes"))
 
 
-def word_counts(spaced: Column, common: Column, n_words: Column) -> Column:
-    """How often each common word stands between blanks, and how many other words there are."""
-    size = F.octet_length(spaced)
+def word_counts(words: Column, common: Column, n_words: Column) -> Column:
+    """How often each common word occurs among bare words, and how many other words there are.
 
-    def count(word: Column) -> Column:
+    ``words`` are narrowed to the buckets of the common words; the rest is searched as one text.
+    """
+    def count(text: Column, word: Column) -> Column:
         # Words have two blanks between them, of which the search takes one on either side.
-        rest = F.octet_length(F.replace(spaced, F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
-        return ((size - rest) / (F.octet_length(word) + 2)).cast("double")
+        rest = F.octet_length(F.replace(text, F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
+        return ((F.octet_length(text) - rest) / (F.octet_length(word) + 2)).cast("double")
 
-    return _let(F.transform(common, count), lambda c: F.concat(
+    text = F.concat(F.lit(" "), F.array_join(_flagged(words), "  "), F.lit(" "))
+    counts = _let(text, lambda t: F.transform(common, lambda w: count(t, w)))
+    return _let(counts, lambda c: F.concat(
         c, F.array(n_words.cast("double") - F.aggregate(c, F.lit(0.0), lambda a, b: a + b))))
 
 
@@ -198,7 +205,17 @@ def weighted(texts: DataFrame, share: int = HOT_SHARE) -> DataFrame:
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _flags(buckets: Column) -> Column:
+    """For every bucket whether it is among the given ones."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
+                       lambda i: F.array_contains(buckets, i))
+
+
+def _flagged(words: Column) -> Column:
+    return F.filter(words, lambda w: F.get("flags", _bucket(w)))
 
 
 def _first(counts: DataFrame, by: str, limit: int) -> DataFrame:
@@ -208,25 +225,26 @@ def _first(counts: DataFrame, by: str, limit: int) -> DataFrame:
 
 
 def common_words(texts: DataFrame) -> DataFrame:
-    """language, n (its documents) and common: the COMMON words that stand in most of these."""
-    words = F.array_distinct(F.filter(
-        F.split(spaced_words(words_of(F.col("text"))), " +"), lambda w: w != ""))
-    every = texts.select("language", "weight", words.alias("words"))
+    """language, n (its documents), common, the COMMON words in most of these, and their flags."""
+    every = texts.select("language", "weight", bare_words(F.col("text")).alias("words"))
     docs = F.sum("weight").alias("docs")
     languages = settled(texts.groupBy("language").agg(F.count(F.lit(1)).alias("n")), "languages")
-    # A document counts in a bucket once for each of its words there, so a bucket has at
-    # least the documents of any of its words.
+    # A document counts once in each bucket it has words in, so a bucket has at least the
+    # documents of any of its words.
+    found_in = F.array_distinct(F.transform("words", _bucket))
     buckets = settled(
-        every.select("language", "weight", F.explode(F.transform("words", _bucket)).alias("bucket"))
+        every.select("language", "weight", F.explode(found_in).alias("bucket"))
         .groupBy("language", "bucket").agg(docs), "word-buckets")
 
     def counted(chosen: DataFrame) -> DataFrame:
         """Documents of every word of the chosen buckets."""
-        wanted = settled(chosen.groupBy("language").agg(
-            F.collect_list("bucket").alias("wanted")).join(languages, "language"), "buckets")
+        wanted = settled(chosen.groupBy("language").agg(F.collect_list("bucket").alias("chosen"))
+                         .select("language", _flags(F.col("chosen")).alias("flags")).join(languages, "language"),
+                         "buckets")
+        held = F.array_distinct(_flagged(F.col("words")))
         return keyed_join(every, wanted, ["language"]).select(
-            "language", "weight", F.explode(F.filter("words", lambda w: F.array_contains(
-                "wanted", _bucket(w)))).alias("word")).groupBy("language", "word").agg(docs)
+            "language", "weight", F.explode(held).alias("word")).where("word <> ''").groupBy(
+            "language", "word").agg(docs)
 
     tried = _first(buckets, "bucket", FIRST_BUCKETS).select("language", "bucket")
     found = settled(_first(counted(tried), "word", COMMON).drop("place"), "common-words")
@@ -240,9 +258,11 @@ def common_words(texts: DataFrame) -> DataFrame:
         found = _first(found.unionByName(counted(others)), "word", COMMON)
     lists = found.groupBy("language").agg(F.array_sort(F.collect_list(
         F.struct((-F.col("docs")).alias("less"), "word"))).alias("ranked"))
+    common = F.coalesce(F.transform("ranked", lambda s: s["word"]),
+                        F.array().cast("array<string>"))
     return settled(languages.join(lists, "language", "left").select(
-        "language", "n", F.coalesce(F.transform("ranked", lambda s: s["word"]),
-                                    F.array().cast("array<string>")).alias("common")), "common")
+        "language", "n", common.alias("common"),
+        _flags(F.transform(common, _bucket)).alias("flags")), "common")
 
 
 def _shares(counts: Column) -> Column:
@@ -302,12 +322,12 @@ def judged(docs: DataFrame, *keep: str) -> DataFrame:
                         _language(docs).alias("language"), text.alias("text"))
     texts = weighted(texts)
     lists = common_words(texts)
-    read = base_counts(keyed_join(texts, lists, ["language"]), "own", "language", "weight", "common")
-    spaced = spaced_words(F.col("words"))
+    read = base_counts(keyed_join(texts, lists, ["language"]), "own", "language", "weight", "common", "flags",
+                       "text")
     counts = [*BASE_COUNTS]
     known = settled(read.select(
         "own", "language", "weight", *counts, "n_chars", "classes",
-        _let(spaced, lambda s: word_counts(s, F.col("common"), F.col("n_words"))).alias("bins")),
+        word_counts(bare_words(F.col("text")), F.col("common"), F.col("n_words")).alias("bins")),
         "histograms")
 
     references = reference_histograms(known)
