@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulint.operators.keyed import HOT_SHARE, keyed_join
 from rivulint.session import shared_dir
 
-HOT_SHARE = 1_000
+__all__ = ["HOT_SHARE", "block_pairs", "connected_components", "fresh_name", "grouped_in_order",
+           "keyed_join", "local_stars", "row_key", "settled", "steps_within", "whole_groups"]
 
 
 def settled(df: DataFrame, purpose: str) -> DataFrame:
@@ -38,34 +40,15 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def keyed_join(rows: DataFrame, values: DataFrame, keys: list[str],
-               share: int = HOT_SHARE) -> DataFrame:
-    """Rows with the columns of ``values``, which has one row and ``n``, its number of rows, a key.
-
-    Keys of more than 1/``share`` of all rows, of which there are fewer than ``share``, are
-    broadcast, so that their rows stay where they are; the rows of all others are shuffled, and no
-    task can get more than that share for one key.  Both sides are read more than once: they
-    should be written tables.  Keys must not be null.
-    """
-    total = values.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") * share > total
-    hot = values.where(is_hot)
-    few = rows.join(F.broadcast(hot.drop("n")), keys)
-    others = values.where(~is_hot)
-    if others.isEmpty():
-        return few
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return few.unionByName(rest.join(others.drop("n"), keys))
-
-
 def _symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _towards_least(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with the least of u and all its partners."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return pairs.join(least, "u")
+def _towards_least(pairs: DataFrame, purpose: str) -> DataFrame:
+    """Each pair (u, v) of a written table with the least of u and all its partners."""
+    least = settled(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"),
+                                           F.count(F.lit(1)).alias("n")), purpose)
+    return keyed_join(pairs, least, ["u"])
 
 
 def _are_stars(pairs: DataFrame) -> bool:
@@ -83,17 +66,17 @@ def connected_components(edges: DataFrame, purpose: str = "components") -> DataF
     ``edges`` has columns u and v of one orderable type; nulls and loops are left out.
     Alternates two rewirings until every node points to the least of its component: larger
     neighbours to the least one around (large star), then smaller neighbours likewise (small
-    star).  A hub with very many edges is a skewed key of a join, which adaptive execution
-    splits, and its least neighbour is found with map-side aggregation.  Each round is written
-    to the shared folder, so lineage does not grow and no lost executor costs more than a round.
+    star).  A hub's least neighbour is found with map-side aggregation and broadcast to its
+    edges, which stay where they are (``keyed_join``).  Each half of a round is written to the
+    shared folder, so lineage does not grow and no lost executor costs more than that.
     """
     pairs = edges.select("u", "v").where("u <> v")
     pairs = settled(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                     .distinct(), purpose)
     while not _are_stars(pairs):
-        large = _towards_least(_symmetric(pairs)).where("v > u").select(
+        large = _towards_least(_symmetric(pairs), purpose).where("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _towards_least(large)
+        small = _towards_least(settled(large, purpose), purpose)
         small = small.select("u", F.col("m").alias("v")).union(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         pairs = settled(small.distinct(), purpose)

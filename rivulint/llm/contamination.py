@@ -2,7 +2,8 @@
 
 Texts are sets of shingles of five words (words: runs of letters or digits, lower case; a text
 of fewer words has one shingle, all of it).  An item is found in a document that holds at least
-``threshold`` of its shingles, however long the document is.
+``threshold`` of its shingles, however long the document is; for items of fewer than five words
+documents also offer their shingles of those lengths.
 
 Search.  Items are partitioned by size, at powers of two.  An item keeps the least k of its
 shingles by hash, its bottom-k MinHash, where k is one more than the shingles an item of its
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulint.llm.common import row_key
+from rivulint.llm.common import fresh_name, row_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 BITMAP_BITS = 1 << 24
@@ -53,14 +54,14 @@ class _WordHashes(dict):
         return found
 
 
-def shingle_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """A hash for each shingle, in order."""
-    if not words:
+def shingle_hashes(words: list[str], known: dict[str, int], size: int = SHINGLE) -> np.ndarray:
+    """A hash for each shingle of so many words, in order; none of fewer words."""
+    if len(words) < size or not words:
         return np.empty(0, dtype=np.uint64)
     each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    count = max(1, len(words) - SHINGLE + 1)
+    count = len(words) - size + 1
     mixed = np.zeros(count, dtype=np.uint64)
-    for place in range(min(SHINGLE, len(words))):
+    for place in range(size):
         mixed += each[place: place + count] * PLACES[place]
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
@@ -74,7 +75,7 @@ def minima(size: int, threshold: float) -> int:
 
 
 def item_shingles(items: DataFrame, threshold: float) -> DataFrame:
-    """item, item_id, shingle, place (in a bitmap), size and minimum (whether it is one)."""
+    """item, item_id, shingle, place (in a bitmap), size, minimum (whether it is one) and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -83,21 +84,24 @@ def item_shingles(items: DataFrame, threshold: float) -> DataFrame:
             for key, item, text in zip(*(batch.column(c).to_pylist()
                                          for c in ("item", "item_id", "text"))):
                 words = WORD.findall((text or "").lower())
-                hashes = shingle_hashes(words, known).tolist()
-                distinct = {" ".join(words[i: i + SHINGLE]): h for i, h in enumerate(hashes)}
+                width = min(SHINGLE, len(words))
+                hashes = shingle_hashes(words, known, width).tolist()
+                distinct = {" ".join(words[i: i + width]): h for i, h in enumerate(hashes)}
                 ranked = sorted(distinct, key=lambda s: (distinct[s], s))
                 kept = set(ranked[: minima(len(ranked), threshold)]) if ranked else set()
-                out += [(key, item, s, distinct[s] % BITMAP_BITS, len(ranked), s in kept)
+                out += [(key, item, s, distinct[s] % BITMAP_BITS, len(ranked), s in kept, width)
                         for s in ranked]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(),
+                     pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)],
-                names=["item", "item_id", "shingle", "place", "size", "minimum"])
+                [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)],
+                names=["item", "item_id", "shingle", "place", "size", "minimum", "words"])
 
     return items.select(row_key("item_id", "text").alias("item"),
                         F.col("item_id").cast("long").alias("item_id"),
                         F.col("text").cast("string").alias("text")).distinct().mapInArrow(
-        run, "item long, item_id long, shingle string, place long, size long, minimum boolean")
+        run, "item long, item_id long, shingle string, place long, size long, minimum boolean, "
+             "words int")
 
 
 def _bitmap(places: DataFrame) -> np.ndarray:
@@ -114,6 +118,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """document (key), doc_id, item_id, matched, size and containment of every find."""
     spark = docs.sparkSession
     shingles = item_shingles(items, threshold)
+    # At most as many lengths as a shingle has words.
+    widths = sorted({SHINGLE} | {r.words for r in shingles.select("words").distinct().collect()})
     whole = spark.sparkContext.broadcast(_bitmap(shingles))
     least = spark.sparkContext.broadcast(_bitmap(shingles.where("minimum")))
 
@@ -128,11 +134,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
             texts = batch.column("text")
             for at in range(len(texts)):
                 words = WORD.findall((texts[at].as_py() or "").lower())
-                places = shingle_hashes(words, known) & np.uint64(BITMAP_BITS - 1)
-                if not held(first, places).any():
+                offered = [(n, shingle_hashes(words, known, n) & np.uint64(BITMAP_BITS - 1))
+                           for n in widths]
+                if not any(held(first, places).any() for _, places in offered):
                     continue
                 key, doc = batch.column("document")[at].as_py(), batch.column("doc_id")[at].as_py()
-                hits = {" ".join(words[i: i + SHINGLE])
+                hits = {" ".join(words[i: i + n]) for n, places in offered
                         for i in np.flatnonzero(held(every, places)).tolist()}
                 out += [(key, doc, s) for s in hits]
             kinds = [pa.int64(), pa.int64(), pa.string()]
@@ -156,6 +163,6 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def without_contaminated(docs: DataFrame, items: DataFrame,
                          threshold: float = THRESHOLD) -> DataFrame:
     """The documents in which no item is found."""
-    found = contaminated(docs, items, threshold).select(
-        F.col("document").alias("_found")).distinct()
-    return docs.join(found, row_key("doc_id", "text") == F.col("_found"), "left_anti")
+    name = fresh_name(docs, "_found")
+    found = contaminated(docs, items, threshold).select(F.col("document").alias(name)).distinct()
+    return docs.join(found, row_key("doc_id", "text") == F.col(name), "left_anti")

@@ -13,7 +13,9 @@ square of a run.  Templates so joined one to the other are one.
 
 A template whose lines stand in at least ``MIN_DOCS`` documents recurs.  Of its lines the first
 (by doc_id, then line number) stays, all others are dropped.  Lines of fewer than ``MIN_TOKENS``
-tokens are left alone.
+tokens have too few places to generalise: each is a template of its own, if it has at least
+``MIN_CHARS`` characters (scripts without blanks included); shorter ones repeat by chance and
+are left alone.
 
 Only DataFrame functions are used.  The texts are read twice and shuffled once, at the end, with
 the numbers of their dropped lines; in between, lines travel as hashes.  Lines of leaves with
@@ -32,10 +34,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulint.llm.common import (block_pairs, connected_components, fresh_name, row_key,
-                                 settled)
+from rivulint.llm.common import (block_pairs, connected_components, fresh_name, keyed_join,
+                                 row_key, settled)
 
-DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 5, 2, 0.8
+DEPTH, MIN_TOKENS, MIN_CHARS, MIN_DOCS, SIMILARITY = 3, 5, 16, 2, 0.8
 BITMAP_WORDS, BLOCK = 1 << 15, 256
 FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
@@ -48,7 +50,7 @@ def masked(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """document (key), doc_id, line_no, masked, tokens (their number) and leaf of long lines."""
+    """document (key), doc_id, line_no, masked, tokens (their number) and leaf of the lines."""
     # Masked before the lines are taken apart, and taken apart by the outer form: else the
     # optimizer would have every filter on them mask the lines again.
     lines = docs.select(
@@ -57,8 +59,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     text = F.col("masked")
     counted = lines.where(text.isNotNull()).withColumn(
         "tokens", F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
-    return counted.where(F.col("tokens") >= MIN_TOKENS).withColumn(
-        "leaf", F.xxhash64("tokens", F.substring_index(text, " ", DEPTH)))
+    is_long = F.col("tokens") >= MIN_TOKENS
+    # A short line's leaf holds nothing else.
+    return counted.where(is_long | (F.length(text) >= MIN_CHARS)).withColumn(
+        "leaf", F.xxhash64("tokens", F.when(is_long, F.substring_index(text, " ", DEPTH))
+                           .otherwise(text)))
 
 
 def _in_crowded_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -130,22 +135,29 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         "a <> b").select("leaf")
     roots = connected_components(
         template_links(_in_crowded_leaves(lines_of(docs), leaves)), "template-groups")
-    known = every.join(roots, F.col("line") == F.col("node"), "left").select(
-        "document", "doc_id", "line_no", F.coalesce("root", "line").alias("template"))
+    known = settled(every.join(roots, F.col("line") == F.col("node"), "left").select(
+        "document", "doc_id", "line_no", F.coalesce("root", "line").alias("template")),
+        "line-templates")
     first = F.struct("doc_id", "document", "line_no")
-    recurring = (known.groupBy("template", "document").agg(F.min(first).alias("first"))
-                 .groupBy("template").agg(F.count(F.lit(1)).alias("documents"),
-                                          F.min("first").alias("first"))
-                 .where(F.col("documents") >= MIN_DOCS).select("template", "first"))
+    recurring = settled(
+        known.groupBy("template", "document").agg(F.min(first).alias("first"),
+                                                  F.count(F.lit(1)).alias("n"))
+        .groupBy("template").agg(F.count(F.lit(1)).alias("documents"),
+                                 F.min("first").alias("first"), F.sum("n").alias("n"))
+        .where(F.col("documents") >= MIN_DOCS).select("template", "first", "n"), "recurring")
     later = (F.col("document") != F.col("first.document")) | (
         F.col("line_no") != F.col("first.line_no"))
-    return known.join(recurring, "template").where(later).groupBy("document").agg(
+    return keyed_join(known, recurring, ["template"]).where(later).groupBy("document").agg(
         F.collect_set("line_no").alias("drops"))
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """The documents without recurring lines, with n_lines and n_dropped."""
-    docs = docs.drop("n_lines", "n_dropped")
+def drop_recurring_lines(docs: DataFrame, n_lines: str = "n_lines",
+                         n_dropped: str = "n_dropped") -> DataFrame:
+    """The documents without recurring lines, with the numbers of lines and of dropped ones.
+
+    Columns with the names of these two are replaced.
+    """
+    docs = docs.drop(n_lines, n_dropped)
     key, gone = fresh_name(docs, "_document"), fresh_name(docs, "_drops")
     drops = dropped_lines(docs).select(F.col("document").alias(key), F.col("drops").alias(gone))
     lines = F.split("text", "\n")
@@ -154,5 +166,5 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     return joined.select(
         *[F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias(c)
           if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped"))
+        F.coalesce(F.size(lines), F.lit(0)).alias(n_lines),
+        F.coalesce(F.size(gone), F.lit(0)).alias(n_dropped))

@@ -165,10 +165,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     marked = settled(with_fingerprints(docs), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "document")
+    key = fresh_name(docs, "_document")
+    name = fresh_name(docs, "_kept")
     kept = (marked.groupBy("fingerprint").agg(F.min(order).alias("first"))
             .join(_roots(marked), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
-            .select(F.col("first.document").alias("_kept")))
-    key = fresh_name(docs, "_document")
+            .select(F.col("first.document").alias(name)))
     return (docs.withColumn(key, row_key("doc_id", "text"))
-            .join(kept, F.col(key) == F.col("_kept"), "left_semi")
+            .join(kept, F.col(key) == F.col(name), "left_semi")
             .dropDuplicates([key]).drop(key))

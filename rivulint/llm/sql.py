@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Lines by template: leaves, runs, the most frequent line of each run, the best of these.
+# Lines by template: leaves, runs, all more frequent lines of each run, the best of these.
 OP1_LINES = r"""
 lines AS (
     SELECT doc_id, line_no, m, n, array_to_string(k[1:3], ' ') AS lead, k
@@ -15,10 +15,10 @@ lines AS (
             FROM (
                 SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
                     unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
-                FROM documents))) WHERE n >= 5),
+                FROM documents))) WHERE n >= 5 OR length(m) >= 16),
 kinds AS (
     SELECT lead, n, m, any_value(k) AS k, count(*) AS c,
-        CAST(floor(0.2 * n + 1e-9) AS BIGINT) AS spare FROM lines GROUP BY lead, n, m),
+        CAST(floor(0.2 * n + 1e-9) AS BIGINT) AS spare FROM lines WHERE n >= 5 GROUP BY lead, n, m),
 crowded AS (
     SELECT *, count(*) OVER (PARTITION BY lead, n) AS in_leaf,
         greatest(1, CAST(floor((n - 3) / (spare + 1)) AS BIGINT)) AS width FROM kinds),
@@ -29,14 +29,11 @@ runs AS (
     SELECT lead, n, m, k, c, run, array_to_string(
         k[4 + run * width : CASE WHEN run = spare THEN n ELSE 3 + (run + 1) * width END], ' ') AS piece
     FROM cut),
-heads AS (
-    SELECT *, first_value(m) OVER w AS head, first_value(c) OVER w AS head_c,
-        first_value(k) OVER w AS head_k FROM runs
-    WINDOW w AS (PARTITION BY lead, n, run, piece ORDER BY c DESC, m)),
 alike AS (
-    SELECT DISTINCT m, head, head_c, n,
-        len(list_filter(list_zip(k, head_k), lambda z: z[1] = z[2])) AS same
-    FROM heads WHERE m <> head),
+    SELECT DISTINCT a.m, b.m AS head, b.c AS head_c, n,
+        len(list_filter(list_zip(a.k, b.k), lambda z: z[1] = z[2])) AS same
+    FROM runs a JOIN runs b USING (lead, n, run, piece)
+    WHERE b.c > a.c OR (b.c = a.c AND b.m < a.m)),
 best AS (
     SELECT m, head FROM alike WHERE same + 1e-9 >= 0.8 * n
     QUALIFY row_number() OVER (PARTITION BY m ORDER BY same DESC, head_c DESC, head) = 1),
@@ -69,17 +66,21 @@ FROM documents d LEFT JOIN gone g USING (doc_id)
 """
 
 
-def _shingles(name: str, key: str, source: str) -> str:
-    return rf"""
-{name} AS (
-    SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN []
-        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
-    FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {source}))"""
-
-
-OP3 = "WITH " + _shingles("docs", "doc_id", "documents") + "," + _shingles(
-    "items", "item_id", "benchmark") + r""",
+# An item's shingles have five words, or all of its fewer; a document offers every such length.
+OP3 = r"""
+WITH doc_words AS (
+    SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+item_words AS (
+    SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+widths AS (SELECT DISTINCT least(len(w), 5) AS n FROM item_words WHERE len(w) > 0),
+docs AS (
+    SELECT DISTINCT doc_id, unnest(list_transform(
+        range(1, greatest(1, len(w) - n + 2)), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+    FROM doc_words, widths),
+items AS (
+    SELECT DISTINCT item_id, unnest(list_transform(
+        range(1, greatest(1, len(w) - n + 2)), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+    FROM (SELECT *, least(len(w), 5) AS n FROM item_words WHERE len(w) > 0)),
 sizes AS (SELECT item_id, count(*) AS size FROM items GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS matched, size, count(*) / size AS containment
 FROM docs JOIN items USING (s) JOIN sizes USING (item_id)

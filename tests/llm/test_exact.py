@@ -12,12 +12,13 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rivulint.llm import (contamination, itq_neighbours, language_centroids, line_templates,
                           packing, queries, sharding, simhash_groups, sql, token_records,
                           toxicity_cnn, url_rules, word_tokens)
-from rivulint.llm.common import connected_components
+from rivulint.llm.common import connected_components, keyed_join, settled
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path(queries.VOCABULARY)
@@ -358,23 +359,125 @@ def test_vector_recall_at_the_threshold_with_odd_vectors(spark, monkeypatch):
     assert itq_neighbours.near_vectors(frame.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("background", [0.8, 0.93])
-def test_vector_recall_around_a_common_mean(spark, background):
+@pytest.mark.parametrize("size", [64, 256])
+@pytest.mark.parametrize("background", [0, 0.5, 0.8, 0.9, 0.94])
+def test_vector_recall_around_a_common_mean(spark, background, size):
     rng = np.random.default_rng(9)
-    common = np.eye(64)[0]
+    common = np.eye(size)[0]
     vectors = {}
     for _ in range(120):
-        own = rng.standard_normal(64)
+        own = rng.standard_normal(size)
         own[0] = 0
         centre = np.sqrt(background) * common + np.sqrt(1 - background) * own / np.linalg.norm(own)
         for _ in range(8):
-            away = rng.standard_normal(64)
+            away = rng.standard_normal(size)
             away -= (away @ centre) * centre
             vectors[len(vectors)] = (centre + 0.2 * away / np.linalg.norm(away)).tolist()
     frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
     check_vectors(itq_neighbours.near_vectors(frame).collect(), vectors, 0.9)
 
 
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(4)
+    vectors = {}
+    for size in (8, 16, 8, 3):
+        centre = rng.standard_normal(size)
+        for _ in range(20):
+            vectors[len(vectors)] = (centre + 0.02 * rng.standard_normal(size)).tolist()
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    rows = itq_neighbours.near_vectors(frame).collect()
+    for size in (3, 8, 16):
+        own = {i: v for i, v in vectors.items() if len(v) == size}
+        check_vectors([r for r in rows if r.vec_id in own], own, 0.9)
+
+
+def test_substrings_lengthen_with_the_number_of_vectors():
+    sample = np.random.default_rng(5).standard_normal((2_000, 64))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    learned = {n: itq_neighbours.learn_codes(sample, 0.95, n) for n in (10 ** 4, 10 ** 6, 10 ** 8)}
+    assert [c.length for c in learned.values()] == sorted(c.length for c in learned.values())
+    # Strangers that meet a vector, among ten thousand times as many vectors.
+    meetings = [c.tables * n * itq_neighbours.chance(c.length) for n, c in learned.items()]
+    assert max(meetings) < 500 and meetings[-1] < 30 * meetings[0]
+
+
+def test_short_items_are_found_inside_documents(spark):
+    items = [(1, "beta gamma delta"), (2, "Alpha"), (3, "one two three four five six"), (4, None),
+             (5, "beta gamma delta"), (6, "delta beta")]
+    texts = ["beta gamma delta", "so alpha, beta; gamma delta and more words", "gamma delta beta",
+             "alphabet soup", "zero one two three four five six seven", None, ""]
+    docs, marks = documents(spark, texts, _found=["x"] * 7), spark.createDataFrame(
+        items, "item_id long, text string")
+    found = contamination.contaminated(docs, marks).select("doc_id", "item_id").collect()
+    assert {tuple(r) for r in found} == {(0, 1), (0, 5), (1, 1), (1, 2), (1, 5), (2, 6), (4, 3)}
+    want = in_sql(sql.OP3, documents=("doc_id BIGINT, text VARCHAR", list(enumerate(texts))),
+                  benchmark=("item_id BIGINT, text VARCHAR", items))
+    assert {tuple(r) for r in found} == {w[:2] for w in want}
+    left = contamination.without_contaminated(docs, marks)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {3, 5, 6}
+
+
+def test_short_lines_are_templates_of_their_own(spark):
+    said, japanese = "All rights reserved.", "この文章は何度も繰り返される長い一行です。"
+    texts = [f"{said}\nshort\n{japanese}\nown words {i} here {i}" for i in range(6)]
+    texts += [f"{said} 2001\nAll rights kept here.", "Section 12 of 99", "Section 3 of 77"]
+    out = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(
+        documents(spark, texts)).collect()}
+    assert [out[i].count(said) + out[i].count(japanese) for i in range(6)] == [2, 0, 0, 0, 0, 0]
+    assert all("short" in out[i] for i in range(6)) and out[6] == texts[6]
+    # Fields are generalised, so numbers do not tell short lines apart either.
+    assert (out[7], out[8]) == ("Section 12 of 99", "")
+    want = in_sql(sql.OP1, documents=("doc_id BIGINT, text VARCHAR", list(enumerate(texts))))
+    assert out == {w[0]: w[1] for w in want}
+
+
+def test_one_text_a_document_reaches_the_driver(spark, monkeypatch):
+    """A labelled doc_id that stands five thousand times teaches once."""
+    docs = spark.range(5_000).select(
+        (F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"),
+        F.lit("x").alias("lang"))
+    marks = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, toxic int")
+    got = []
+    monkeypatch.setattr(toxicity_cnn, "train", lambda rows, weight: got.extend(rows))
+    toxicity_cnn.learn(docs, marks, folds=1, held=1)
+    assert len(got) == 2
+
+
+def test_a_hub_stays_where_its_edges_are(spark):
+    """A third of all edges at one node: no task of a join reads more than others by far."""
+    edges = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 9_000 + 1).alias("u"),
+        (F.col("id") + 100_000).alias("v"))
+    pairs = settled(edges, "hub")
+    least = settled(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")),
+                    "hub-least")
+    joined = keyed_join(pairs, least, ["u"])
+    assert joined.count() == 30_000
+    cold = joined.where("u <> 0")
+    assert cold.groupBy("u").count().agg(F.max("count")).first()[0] <= 30
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    roots = {r.node: r.root for r in connected_components(edges).collect()}
+    assert len({v for k, v in roots.items()}) == len(
+        set(plain_roots([(r.u, r.v) for r in edges.collect()]).values()))
+
+
+def plain_roots(edges):
+    up = {}
+
+    def top(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(up)}
+
+
 # --- SQL -----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -580,7 +683,7 @@ def test_toxicity_of_made_texts(spark):
     assert sum(rows[i].predicted == labels[i] for i in held) >= 0.97 * len(held)
     assert [rows[i].predicted for i in range(400, 404)] == [0, 0, 1, 1]
     kept = toxicity_cnn.without_toxic(docs, marks)
-    assert set(kept.columns) == set(docs.columns) - {"toxic_score"}
+    assert kept.columns == docs.columns
     none = toxicity_cnn.toxicity(docs, marks.where("false"))
     assert {r.score for r in none.collect()} == {0.0}
     assert toxicity_cnn.toxicity(docs.where("false"), marks).count() == 0
