@@ -165,10 +165,35 @@ def _pylint(spark, sf_dir):
         tool_reports.pylint_items(_pylint_reports(spark, sf_dir)))
 
 
-register("src8_pylint_report", _PYLINT_SQL)(lambda s, d: _pylint(s, d).select(*_TOOL))
+REPORT_FILES = 3
 
 
-def _bandit(spark, sf_dir):
+def _written_reports(items: DataFrame, purpose: str, head: str, tail: str) -> str:
+    """Items (JSON texts) as report files of their own, each a valid JSON text."""
+    spark, out = items.sparkSession, shared_dir(items.sparkSession, purpose)
+    dealt = items.select(F.pmod(F.xxhash64("item"), F.lit(REPORT_FILES)).alias("file"),
+                         F.lit(1).alias("place"), F.concat("item", F.lit(",")).alias("value"))
+    ends = spark.range(REPORT_FILES).select(F.col("id").alias("file"), F.inline(F.array(
+        F.struct(F.lit(0).alias("place"), F.lit(head).alias("value")),
+        F.struct(F.lit(2).alias("place"), F.lit(f"null{tail}").alias("value")))))
+    dealt.union(ends.select("file", "place", "value")).repartition("file").sortWithinPartitions(
+        "file", "place").drop("place").write.partitionBy("file").option(
+        "compression", "none").text(out)
+    return out
+
+
+@register("src8_pylint_report", _PYLINT_SQL)
+def _src8(spark, sf_dir):
+    items = _pylint_reports(spark, sf_dir).select(F.expr(
+        "substring(report, 2, length(report) - 2)").alias("item"))
+    out = _written_reports(items, "src8", "[", "]")
+    return tool_reports.read_pylint(spark, f"{out}/*").select(*_TOOL)
+
+
+
+
+def _bandit_issues(spark, sf_dir):
+    """The fields of an issue per document, some of them missing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "lang", "source", "n_chars")
     size = F.col("n_chars")
@@ -180,8 +205,12 @@ def _bandit(spark, sf_dir):
         F.col("source").alias("test_name"), F.col("lang").alias("issue_text"),
         F.when(size % 2 == 0, F.lit("eval(\"x\")")).alias("code"),
     )
-    texts = docs.select(F.to_json(F.struct(F.array(issue, issue).alias("results"))).alias(
-        "report"))
+    return docs.select(issue.alias("issue"))
+
+
+def _bandit(spark, sf_dir):
+    texts = _bandit_issues(spark, sf_dir).select(F.to_json(F.struct(
+        F.array("issue", "issue").alias("results"))).alias("report"))
     return tool_reports.bandit_findings(tool_reports.bandit_issues(texts))
 
 
@@ -194,8 +223,16 @@ SELECT 'm/' || doc_id || '.py' AS path,
 FROM documents, (VALUES (1), (2)) twice(k)"""
 _RAW_SEVERITY = ("CASE WHEN n_chars % 5 = 0 THEN 'MEDIUM' ELSE "
                  "['LOW', 'ERROR', 'HIGH', 'ODD'][n_chars % 4 + 1] END")
-register("src9_bandit_report", _BANDIT_SQL.format(severity=_RAW_SEVERITY))(
-    lambda s, d: _bandit(s, d).select(*_TOOL))
+
+
+@register("src9_bandit_report", _BANDIT_SQL.format(severity=_RAW_SEVERITY))
+def _src9(spark, sf_dir):
+    items = _bandit_issues(spark, sf_dir).select(F.explode(F.array(
+        F.to_json("issue"), F.to_json("issue"))).alias("item"))
+    out = _written_reports(items, "src9", '{"errors": [{"filename": "x"}], "results": [', "]}")
+    return tool_reports.read_bandit(spark, f"{out}/*").select(*_TOOL)
+
+
 on_code("src10_table_corpus", q.compose("""
 SELECT path, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS digest
 FROM code_files""", "code_files"),
@@ -277,6 +314,25 @@ on_code("rul_s_scan_findings", q.compose(
 register("rul_s_page_findings", q.compose(
     f"SELECT {FINDING_SQL} FROM page_findings", "page_findings"))(
         lambda s, d: scan_findings(page_files(s, d), file_rule=False).select(*FINDING))
+
+
+def _hits_per_rule(files: DataFrame) -> DataFrame:
+    """Every shipped line rule with its number of findings, none left out."""
+    spark, rules = files.sparkSession, [*fv.AUDIT_RULES, *fv.SCAN_RULES]
+    found = combine.all_findings(
+        audit_findings(files), scan_findings(scan_files(files), file_rule=False))
+    counts = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("found"))
+    every = spark.createDataFrame([(r.rule_id,) for r in rules], "rule_id string")
+    return every.join(F.broadcast(counts), "rule_id", "left").select(
+        "rule_id", F.coalesce("found", F.lit(0)).alias("n"))
+
+
+on_code("rul_hits_per_rule", q.compose(f"""
+SELECT r.rule_id, CAST(count(f.path) AS BIGINT) AS n
+FROM (SELECT DISTINCT rule_id FROM audit_rules UNION SELECT DISTINCT rule_id FROM scan_rules) r
+LEFT JOIN (SELECT rule_id, path FROM {AUDIT} UNION ALL
+           SELECT rule_id, path FROM scan_line_findings) f ON f.rule_id = r.rule_id
+GROUP BY r.rule_id""", "audit_rules", "scan_rules", AUDIT, "scan_line_findings"), _hits_per_rule)
 on_code("rul_f_helper_calls", q.compose(
     f"SELECT {FINDING_SQL} FROM helper_findings", "helper_findings"),
         lambda c: helper_call_findings(scan_files(c)).select(*FINDING))
@@ -1111,3 +1167,16 @@ def _snk8(spark, sf_dir):
     out = shared_dir(spark, "snk8")
     reports.write_store(profiles.every_profile(code_files(spark, sf_dir)), out)
     return reports.read_store(spark, out).select("profile", *FINDING)
+
+
+@register("snk8_incremental_store", q.compose(f"""
+SELECT profile, {FINDING_SQL} FROM all_findings
+WHERE profile = 'audit' OR NOT contains(path, '/src/')""", "all_findings"))
+def _snk8_incremental(spark, sf_dir):
+    """A run over all files, then one over those of a folder, by the case-sensitive rules alone."""
+    store, files = shared_dir(spark, "snk8"), code_files(spark, sf_dir)
+    reports.write_run(profiles.every_profile(files), files, store, 0)
+    some = files.where(F.col("path").contains("/src/"))
+    for _ in range(2):  # once more under the same number
+        reports.write_run(profiles.audit(some), some, store, 1)
+    return reports.read_runs(spark, store).select("profile", *FINDING)

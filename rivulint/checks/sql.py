@@ -6,7 +6,7 @@ import re
 
 from rivulint.functions.text import WHITE
 from rivulint.rules import fixed_values as fv
-from rivulint.sources.corpus import FOLDERS, SNIPPETS
+from rivulint.sources.corpus import FOLDERS, PAGE_SNIPPET, SNIPPETS
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -90,7 +90,8 @@ SELECT 'repo' || (doc_id % 7) || '/' || folder || '/f' || doc_id || ext AS path,
        snippet || chr(10) || text || chr(10) || snippet || chr(10) AS content, source, doc_id
 FROM documents JOIN snippets ON doc_id % 13 = sid JOIN folders ON doc_id % 10 = fid""",
     "snippets", "folders")
-cte("page_files", "", "SELECT url || '.html' AS path, html AS content FROM pages")
+cte("page_files", "",
+    f"SELECT url || '.html' AS path, html || {lit(PAGE_SNIPPET)} AS content FROM pages")
 cte("php_files", "", f"""
 SELECT path, content, string_split(content, chr(10)) AS lines FROM code_files
 WHERE lower(path) LIKE '%.php' AND NOT {pruned('path', fv.REVIEW_PRUNED_DIRS)}""", "code_files")

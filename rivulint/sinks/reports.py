@@ -13,7 +13,7 @@ from rivulint.functions.text import html_escape
 from rivulint.operators.analytics import (
     FINDING_ORDER, by_severity_filled, language_matrix, samples_per_category, sorted_findings,
 )
-from rivulint.schema import severity_rank
+from rivulint.schema import FINDING_FIELDS, severity_rank
 
 CSV_COLUMNS = ["severity", "category", "file", "line", "message", "snippet", "fix"]
 REPORT_SCHEMA = (
@@ -290,10 +290,40 @@ def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
     lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
 
 
+def _sized(findings: DataFrame) -> DataFrame:
+    """Findings dealt by profile and severity into partitions of the advisory size.
+
+    Adaptive execution splits a large pair over several tasks and lets small ones share a task,
+    so the number of files follows from the bytes, not from the tasks before.
+    """
+    return findings.hint("rebalance", "profile", "severity")
+
+
 def write_store(findings: DataFrame, path: str) -> None:
     """The store later queries read: one folder per profile and severity."""
-    findings.write.mode("overwrite").partitionBy("profile", "severity").parquet(path)
+    _sized(findings).write.mode("overwrite").partitionBy("profile", "severity").parquet(path)
 
 
 def read_store(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_run(findings: DataFrame, paths: DataFrame, store: str, run: int) -> None:
+    """The findings of one run over some files, beside those of other runs.
+
+    ``paths`` are all files the run looked at, so that a file without findings is known as such.
+    A run replaces what earlier runs found in these files, and nothing else; it counts once its
+    list of files is there, and is written over if it is run again under its number.
+    """
+    _sized(findings).write.mode("overwrite").partitionBy("profile", "severity").parquet(
+        f"{store}/findings/run={run}")
+    paths.select("path").distinct().write.mode("overwrite").parquet(f"{store}/files/run={run}")
+
+
+def read_runs(spark, store: str) -> DataFrame:
+    """Every file's findings of the last run that looked at it."""
+    files = spark.read.schema("path string, run long").parquet(f"{store}/files")
+    last = files.groupBy("path").agg(F.max("run").alias("run"))
+    schema = ", ".join(f"{name} {kind}" for name, kind in FINDING_FIELDS.items())
+    found = spark.read.schema(f"{schema}, run long").parquet(f"{store}/findings")
+    return found.join(last, ["path", "run"]).select(*FINDING_FIELDS)

@@ -12,18 +12,21 @@ SNIPPETS = [
     (".py", "import os\nx = eval(data)\nos.system(user_cmd)  # TODO later\nDEBUG = True\n"
             "try:\n    pass\nexcept:\n    print(\"x\")"),
     (".py", "SECRET_KEY = \"abc\"\ncfg = yaml.load(fh)\nobj = pickle.loads(request.body)\n"
-            "subprocess.Popen(cmd, shell=True)\nname = input()\ndef f(a):\n    assert a"),
+            "subprocess.Popen(cmd, shell=True)\nname = input()\ndef f(a):\n    assert a\n"
+            "exec(code)\nreturn HttpResponse('a' + request.GET['q'])\nrows = Item.objects.raw(q)"),
     (".py", "value = ast.literal_eval(text)\nlog.info(\"retrieval (ok)\")"),
     (".js", "document.write(x);\nnode.innerHTML = \"<b>\" + user;\n"
             "localStorage.setItem(\"k\", v);\nconsole.log(v);\neval(s);"),
     (".java", "class A { void m() { try { go(); } catch (Exception e) { } }\n"
               "Runtime.getRuntime().exec(cmd);\n"
               "stmt.executeQuery(\"SELECT a FROM t WHERE id=\" + id);\n"
+              "stmt.executeUpdate(\"DELETE FROM t WHERE id=\" + id);\n"
               "Statement s = \"x\" + y;\nSystem.out.println(s);"),
     (".c", "gets(buf);\nstrcpy(a, b);\nsprintf(a, \"%d\", n);\nscanf(\"%s\", a);\n"
            "char *p = malloc(10);\nfree(p);\nsystem(\"ls\");\nfgets(buf, 9, f);"),
     (".html", "<body onload=\"go()\">\n<a href=\"javascript:go()\">x</a>\n"
-              "<script src=\"a.js\"></script>\n<!-- TODO fix -->\n</html>"),
+              "<script src=\"a.js\"></script>\n<!-- TODO fix -->\n</html>\n"
+              "<script type=\"x\"> <!-- old\n<p onclick=\"javascript:go()\">"),
     (".css", "a { width: expression(1); color: red !important; }"),
     (".php", "<?php\n$r = $db->query(\"SELECT * FROM t WHERE id=$_GET[id]\");\n"
              "echo $_GET['q'];\necho htmlspecialchars($_GET['q']);\n"
@@ -42,8 +45,11 @@ SNIPPETS = [
     (".php", "<?php\ndefine('ENCRYPTION_KEY', 'abcd1234');\n"
              "header(\"Location: $_GET[u]\");\nexit;\n"
              "$q = \"SELECT a FROM t WHERE id=$id\";\n$list = split(',', $s);\n"
-             "$w = 'SELECT a FROM t WHERE id=' . $_POST['id'];"),
+             "$w = 'SELECT a FROM t WHERE id=' . $_POST['id'];\neval($code);\nexec($line);\n"
+             "$r = $_POST['id'] . query($q);"),
 ]
+# What every web page ends with, so that pages have something to report.
+PAGE_SNIPPET = "\n<body onload=\"go()\">\n<script src=\"a.js\"></script> <!-- TODO -->\n"
 # Where the files lie: plain folders and folders the profiles prune.
 FOLDERS = ["src", "src", "app/core", "lib", "web/static", "src", "vendor/pkg", "dist",
            "node_modules/m", "uploads"]
@@ -88,7 +94,8 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as HTML files."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html")
     return pages.select(
-        F.concat("url", F.lit(".html")).alias("path"), F.col("html").alias("content")
+        F.concat("url", F.lit(".html")).alias("path"),
+        F.concat("html", F.lit(PAGE_SNIPPET)).alias("content"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulint.rules.fixed_values import BANDIT_TYPE, PYLINT_TYPE
 from rivulint.schema import as_findings
+from rivulint.sources.json_items import json_items
 
 PYLINT_ITEM = "path string, line int, symbol string, message string"
 BANDIT_ISSUE = (
@@ -63,13 +64,15 @@ def _as_struct(ddl: str) -> str:
     return ", ".join(f"{name}:{kind}" for name, kind in (f.split() for f in ddl.split(",")))
 
 
+def _parsed(items: DataFrame, schema: str) -> DataFrame:
+    return items.select(F.from_json("item", schema).alias("one")).select("one.*")
+
+
 def read_pylint(spark: SparkSession, path: str) -> DataFrame:
-    """Report files holding a JSON array; the reader streams the items of a file."""
-    return pylint_findings(spark.read.schema(PYLINT_ITEM).json(path, multiLine=True))
+    """Report files holding a JSON array, of any size (``json_items``)."""
+    return pylint_findings(_parsed(json_items(spark, path), PYLINT_ITEM))
 
 
 def read_bandit(spark: SparkSession, path: str) -> DataFrame:
-    """Report files holding one JSON object each; a report must fit in a task's memory."""
-    schema = f"results array<struct<{_as_struct(BANDIT_ISSUE)}>>"
-    reports = spark.read.schema(schema).json(path, multiLine=True)
-    return bandit_findings(reports.select(F.inline("results")))
+    """Report files holding one JSON object with the issues under ``results``, of any size."""
+    return bandit_findings(_parsed(json_items(spark, path, "results"), BANDIT_ISSUE))

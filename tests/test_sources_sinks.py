@@ -4,16 +4,20 @@ import csv
 import glob
 import json
 import os
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from rivulint.operators.detect import review_files
 from rivulint.operators.errors import review_read_errors, scan_read_errors
 from rivulint.plans import profiles
 from rivulint.rules.fixed_values import SCAN_PRUNED_DIRS
+from rivulint.schema import as_findings
 from rivulint.sinks import reports
 from rivulint.sources.corpus import code_files, table_corpus
+from rivulint.sources.json_items import json_items
 from rivulint.sources.tool_reports import read_bandit, read_pylint
 from rivulint.sources.tree import tree_corpus
 from rivulint.streaming import feeds
@@ -202,3 +206,67 @@ def test_stream_lets_a_file_pass_once(spark, tmp_path):
     once = feeds.once_per_file(stream, "arrived")
     found = feeds.drained(feeds.streamed_findings(once.select("path", "content")))
     assert Counter(r.path for r in found.collect()) == Counter({"a.py": 1, "b.py": 1})
+
+
+def test_reports_of_any_size_are_read_in_blocks(spark, tmp_path):
+    """Files divided anywhere: in strings, keys and nested values."""
+    rng = random.Random(1)
+
+    def text():
+        return "".join(rng.choice('ab,{}[]:"\\ é\n') for _ in range(rng.randrange(30)))
+
+    want: dict = {None: [], "results": []}
+    for k in range(6):
+        items = [{"code": text(), "n": k, "cwe": {"id": [1, {"x": text()}]}, "t": text()}
+                 for _ in range(rng.randrange(60))]
+        whole = {"errors": [{"filename": text()}], "metrics": {"a,b": {"q": 1}, "c": {"results": [{}]}},
+                 "results": items, "generated": text(), "more": [{"z": 1}]}
+        for field, value in ((None, items), ("results", whole)):
+            folder = tmp_path / str(field)
+            folder.mkdir(exist_ok=True)
+            (folder / f"{k}.json").write_text(json.dumps(
+                value, indent=rng.choice([None, 2]), ensure_ascii=bool(k % 2)))
+            want[field] += [json.dumps(i, sort_keys=True) for i in items]
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "50"}
+    for size in ("50", "700", "1000000"):
+        settings["spark.sql.files.maxPartitionBytes"] = size
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        try:
+            for field in want:
+                found = json_items(spark, str(tmp_path / str(field)), field)
+                have = [json.dumps(json.loads(r.item), sort_keys=True) for r in found.collect()]
+                assert sorted(have) == sorted(want[field])
+        finally:
+            for name in settings:
+                spark.conf.unset(name)
+
+
+def test_odd_reports(spark, tmp_path):
+    for k, content in enumerate(["", "[]", "null", "[null, 3, \"a,{b\"]", '{"results": []}', "[{\"path\": \"open"]):
+        (tmp_path / f"{k}.json").write_text(content)
+    assert json_items(spark, str(tmp_path)).count() == 0
+    assert json_items(spark, str(tmp_path), "results").count() == 0
+
+
+def test_runs_replace_only_their_own_files(spark, corpus, tmp_path):
+    store = str(tmp_path / "store")
+    first = corpus(("a.py", "eval(1)"), ("b.py", "print(1)"), ("c.py", "exec(1)"))
+    reports.write_run(profiles.audit(first), first, store, 0)
+    again = corpus(("a.py", "nothing"), ("d.py", "gets(eval(1))"))
+    for _ in range(2):
+        reports.write_run(profiles.audit(again), again, store, 1)
+    rows = reports.read_runs(spark, store).collect()
+    assert sorted((r.path, r.rule_id) for r in rows) == [
+        ("b.py", "A-PY-06"), ("c.py", "A-PY-01"), ("d.py", "A-PY-02")]
+
+
+def test_files_of_the_store_follow_from_its_bytes(spark, tmp_path):
+    """Many tasks before, few findings: few files; a large pair is split."""
+    few = as_findings(spark.range(2_000).repartition(64).select(
+        F.concat(F.lit("p"), "id").alias("path"), F.lit(1).alias("line"), F.lit("R").alias("rule_id"),
+        F.when(F.col("id") % 4 == 0, "LOW").otherwise("HIGH").alias("severity"),
+        F.lit("m").alias("message")), "scan")
+    reports.write_store(few, str(tmp_path / "few"))
+    assert len(list((tmp_path / "few").rglob("part-*"))) <= 8
+    assert reports.read_store(spark, str(tmp_path / "few")).count() == 2_000
