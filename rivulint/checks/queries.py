@@ -33,7 +33,10 @@ from rivulint.rules import fixed_values as fv
 from rivulint.session import shared_dir
 from rivulint.sinks import reports
 from rivulint.sources import tool_reports
-from rivulint.sources.corpus import code_files, documents_as_code, page_files, reported_files
+from rivulint.sources.corpus import (
+    FOLDERS, code_files, documents_as_code, page_files, reported_files,
+)
+from rivulint.sources.tree import tree_corpus
 from rivulint.streaming import feeds
 from rivulint.streaming import review as streamed_review
 
@@ -84,6 +87,25 @@ on_code("src4_sorted_files", q.compose("SELECT path FROM scan_files ORDER BY pat
         lambda c: scan_files(c).select("path").orderBy("path"))
 
 
+@register("src4_written_tree", q.compose(f"""
+SELECT regexp_extract(path, '^repo[0-9]/(.*)/f', 1) AS folder, md5(content) AS digest
+FROM code_files
+WHERE NOT {q.pruned("regexp_extract(path, '^repo[0-9]/(.*/)f', 1)", fv.SCAN_PRUNED_DIRS)}""",
+                                         "code_files"))
+def _src4_tree(spark, sf_dir):
+    """The corpus as a tree of text files, a digest of a file on each line, listed by its address."""
+    root, folder = shared_dir(spark, "tree"), F.regexp_extract("path", "^repo[0-9]/(.*)/f", 1)
+    files = code_files(spark, sf_dir).select(folder.alias("folder"), _digest("content").alias("value"))
+    for name in sorted(set(FOLDERS)):
+        files.where(F.col("folder") == name).select("value").write.text(f"{root}/{name}")
+    found = tree_corpus(
+        spark, root if "://" in root else f"file://{root}", fv.SCAN_PRUNED_DIRS,
+        keep=lambda listing: listing.where(F.col("path").endswith(".txt")))
+    return found.select(
+        F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"),
+        F.explode(read_lines(F.col("content"))).alias("digest"))
+
+
 def _damaged(spark, sf_dir):
     """Document bytes with bad bytes, CRLF, a lone CR and a genuine U+FFFD added."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -4,9 +4,10 @@ Spark's own file listing skips names beginning with ``_`` or ``.`` (so ``__init_
 hence a small Python data source that only lists.  The driver looks at directories until
 there are enough of them for the tasks; the tasks walk the subtrees.  The listed names are
 then dealt out evenly before the files are read, so a huge folder is one task's listing but
-never one task's reading.  The tree must be a file system that every executor mounts; for
-object storage use a table as corpus (``corpus.table_corpus``).  A folder that may not be listed
-is passed over, a file that cannot be read (a broken link too) gives its error.
+never one task's reading.  A plain path must lie on a file system that every executor mounts; a
+root with a scheme (``s3://``, ``gs://``, ``hdfs://``, ``file://``) is listed and read through pyarrow's
+file systems, by the same tasks and with the same pruning.  A folder that may not be listed is
+passed over, a file that cannot be read (a broken link, one that is gone by then) gives its error.
 """
 
 from __future__ import annotations
@@ -72,6 +73,53 @@ class TreeReader(DataSourceReader):
                     yield (os.path.relpath(entry.path, self.root), entry.path)
 
 
+class StoreReader(DataSourceReader):
+    """The same through a file system that a root's scheme names."""
+
+    def __init__(self, root: str, pruned: list[str], tasks: int):
+        self.root, self.pruned, self.tasks = root, set(pruned), tasks
+
+    def _opened(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.root.rstrip("/"))
+
+    def _entries(self, system, folder: str):
+        from pyarrow import fs
+
+        try:
+            return system.get_file_info(fs.FileSelector(folder))
+        except OSError:
+            return []
+
+    def _subfolders(self, system, folder: str) -> list[str]:
+        return [e.path for e in self._entries(system, folder)
+                if not e.is_file and e.base_name not in self.pruned]
+
+    def partitions(self):
+        from pyarrow import fs
+
+        system, base = self._opened()
+        if system.get_file_info(base).type != fs.FileType.Directory:
+            raise ValueError(f"not a directory: {self.root}")
+        shallow, open_folders = [], deque([base])
+        while open_folders and len(open_folders) < self.tasks:
+            folder = open_folders.popleft()
+            shallow.append(folder)
+            open_folders.extend(self._subfolders(system, folder))
+        return [Subtree(f, False) for f in shallow] + [Subtree(f, True) for f in open_folders]
+
+    def read(self, partition):
+        system, base = self._opened()
+        pending = [partition.folder]
+        while pending:
+            for entry in self._entries(system, pending.pop()):
+                if entry.is_file:
+                    yield (entry.path[len(base):].lstrip("/"), entry.path)
+                elif partition.deep and entry.base_name not in self.pruned:
+                    pending.append(entry.path)
+
+
 class TreeSource(DataSource):
     @classmethod
     def name(cls):
@@ -81,11 +129,10 @@ class TreeSource(DataSource):
         return "path string, full_path string"
 
     def reader(self, schema):
-        pruned = self.options.get("pruned", "")
-        return TreeReader(
-            self.options["path"], [p for p in pruned.split("|") if p],
-            int(self.options.get("tasks", "64")),
-        )
+        root, pruned = self.options["path"], self.options.get("pruned", "")
+        kind = StoreReader if "://" in root else TreeReader
+        return kind(root, [p for p in pruned.split("|") if p],
+                    int(self.options.get("tasks", "64")))
 
 
 def list_tree(spark: SparkSession, root: str, pruned: list[str] | None = None) -> DataFrame:
@@ -101,27 +148,36 @@ def list_tree(spark: SparkSession, root: str, pruned: list[str] | None = None) -
     )
 
 
-def _read_contents(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        for path, full_path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data, error = None, None
-            try:
-                with open(full_path, "rb") as handle:
-                    data = handle.read()
-            except OSError as problem:
-                error = str(problem)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path], pa.string()), pa.array([data], pa.binary()),
-                 pa.array([error], pa.string())],
-                names=["path", "content_bytes", "read_error"],
-            )
-
-
-def read_tree(listing: DataFrame, tasks: int | None = None) -> DataFrame:
+def _read_contents(root: str):
+    """Reads the files of batches of names, each with the error if there is one."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system = fs.FileSystem.from_uri(root.rstrip("/"))[0] if "://" in root else None
+        for batch in batches:
+            for path, full_path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data, error = None, None
+                try:
+                    with (system.open_input_file(full_path) if system is not None
+                          else open(full_path, "rb")) as handle:
+                        data = handle.read()
+                except OSError as problem:
+                    error = str(problem)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path], pa.string()), pa.array([data], pa.binary()),
+                     pa.array([error], pa.string())],
+                    names=["path", "content_bytes", "read_error"],
+                )
+
+    return run
+
+
+def read_tree(listing: DataFrame, tasks: int | None = None, root: str = "") -> DataFrame:
     """(path, content_bytes, read_error); a file is read by whichever task its name falls to.
 
+    ``root`` is that of the listing where it has a scheme.
+
     The number of tasks is given outright: names are small, and adaptive execution would
     merge them into few partitions without knowing how much there is to read behind them.
     """
@@ -132,7 +188,7 @@ def read_tree(listing: DataFrame, tasks: int | None = None) -> DataFrame:
             int(spark.conf.get("spark.sql.shuffle.partitions")),
         )
     spread = listing.select("path", "full_path").repartition(tasks, "path")
-    return spread.mapInArrow(_read_contents, CONTENT_SCHEMA)
+    return spread.mapInArrow(_read_contents(root), CONTENT_SCHEMA)
 
 
 def tree_corpus(
@@ -148,6 +204,6 @@ def tree_corpus(
     if keep is not None:
         listing = keep(listing)
     decode = decode_replacing if bad_bytes == "replace" else decode_dropping
-    return read_tree(listing, tasks).select(
+    return read_tree(listing, tasks, root).select(
         "path", decode(F.col("content_bytes")).alias("content"), "read_error"
     )

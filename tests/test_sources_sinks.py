@@ -19,7 +19,7 @@ from rivulint.sinks import reports
 from rivulint.sources.corpus import code_files, table_corpus
 from rivulint.sources.json_items import json_items
 from rivulint.sources.tool_reports import read_bandit, read_pylint
-from rivulint.sources.tree import tree_corpus
+from rivulint.sources.tree import list_tree, read_tree, tree_corpus
 from rivulint.streaming import feeds
 
 SMALL = "/root/testdata/sf0.001"
@@ -270,3 +270,29 @@ def test_files_of_the_store_follow_from_its_bytes(spark, tmp_path):
     reports.write_store(few, str(tmp_path / "few"))
     assert len(list((tmp_path / "few").rglob("part-*"))) <= 8
     assert reports.read_store(spark, str(tmp_path / "few")).count() == 2_000
+
+
+def test_a_tree_by_its_address(spark, tree):
+    """Through a file system named by a scheme: the same files, pruning and errors."""
+    here = {r.path: (r.content, r.read_error is None) for r in tree_corpus(
+        spark, str(tree), SCAN_PRUNED_DIRS).collect()}
+    there = {r.path: (r.content, r.read_error is None) for r in tree_corpus(
+        spark, f"file://{tree}/", SCAN_PRUNED_DIRS).collect()}
+    # A link that leads nowhere is a file to one and nothing to the other.
+    assert there == {p: found for p, found in here.items() if p in there} and len(there) >= 4
+    assert all(os.path.islink(tree / p) for p in set(here) - set(there))
+    with pytest.raises(Exception, match="not a directory"):
+        list_tree(spark, f"file://{tree}/none").collect()
+
+
+def test_a_file_that_is_gone_when_it_is_read(spark, tmp_path):
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text("eval(1)")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        names = spark.createDataFrame(
+            [(n, str(tmp_path / n)) for n in ("a.py", "b.py", "gone.py")],
+            "path string, full_path string")
+        rows = {r.path: (r.content_bytes, r.read_error) for r in read_tree(
+            names, root=root if "://" in root else "").collect()}
+        assert rows["a.py"] == (b"eval(1)", None) and rows["gone.py"][0] is None
+        assert "gone.py" in rows["gone.py"][1]
