@@ -20,8 +20,8 @@ SNIPPETS = [
     (".java", "class A { void m() { try { go(); } catch (Exception e) { } }\n"
               "Runtime.getRuntime().exec(cmd);\n"
               "stmt.executeQuery(\"SELECT a FROM t WHERE id=\" + id);\n"
-              "stmt.executeUpdate(\"DELETE FROM t WHERE id=\" + id);\n"
-              "Statement s = \"x\" + y;\nSystem.out.println(s);"),
+              "Statement s = \"x\" + y;\nSystem.out.println(s);\n"
+              "stmt.executeUpdate(\"DELETE FROM t WHERE id=\" + id);"),
     (".c", "gets(buf);\nstrcpy(a, b);\nsprintf(a, \"%d\", n);\nscanf(\"%s\", a);\n"
            "char *p = malloc(10);\nfree(p);\nsystem(\"ls\");\nfgets(buf, 9, f);"),
     (".html", "<body onload=\"go()\">\n<a href=\"javascript:go()\">x</a>\n"
