@@ -39,7 +39,7 @@ from rivulint.llm.common import fresh_name, row_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 BITMAP_BITS = 1 << 24
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 WORD = re.compile(r"[^\W_]+")
 # Odd multipliers that tell a shingle's words' places apart.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
