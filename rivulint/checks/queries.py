@@ -1037,6 +1037,32 @@ def _snk1(spark, sf_dir):
     return spark.read.schema(reports.REPORT_SCHEMA).json(f"{out}/findings")
 
 
+def _joined_entries(name: str):
+    return F.array_join(F.transform(F.map_entries(name), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), "; ")
+
+
+@register("snk1_json_summary", q.compose(f"""
+SELECT max(CASE WHEN section = 'files_scanned' THEN n END) AS files_scanned,
+  max(CASE WHEN section = 'lines_scanned' THEN n END) AS lines_scanned,
+  max(CASE WHEN section = 'total_findings' THEN n END) AS total_findings,
+  string_agg(key || '=' || n, '; ' ORDER BY rank) FILTER (section = 'by_severity') AS severities,
+  string_agg(key || '=' || n, '; ' ORDER BY rank) FILTER (section = 'by_category') AS categories,
+  string_agg(key || '=' || n, '; ' ORDER BY rank) FILTER (section = 'top_files') AS files
+FROM ({SUMMARY_SQL})""", REVIEW))
+def _snk1_summary(spark, sf_dir):
+    """The summary as it stands in the written report."""
+    found, out = profiles.review_once(code_files(spark, sf_dir)), shared_dir(spark, "snk1")
+    summary = analytics.summary_document(found.summary_rows)
+    reports.write_json(found.findings, summary, out)
+    return spark.read.schema(summary.schema).json(f"{out}/summary").select(
+        "files_scanned", "lines_scanned", "total_findings",
+        _joined_entries("by_severity").alias("severities"),
+        _joined_entries("by_category").alias("categories"),
+        F.array_join(F.transform("top_files", lambda e: F.concat(
+            e["file"], F.lit("="), e["n"].cast("string"))), "; ").alias("files"))
+
+
 @register("snk2_csv_report", q.compose(_REPORT_SQL, REVIEW))
 def _snk2(spark, sf_dir):
     out = shared_dir(spark, "snk2")
