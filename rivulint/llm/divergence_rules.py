@@ -17,8 +17,9 @@ documents of that length has no reference; its documents are judged by the base
 Only DataFrame functions are used, and no text is shuffled.  Words that stand in most documents
 are found in two counts: by hash bucket (at most ``BUCKETS`` rows a language), then exactly in the
 buckets that hold as many as the least of the words found so far; the rest cannot hold one.
-Hashes of such groups of copies, fewer than a thousand, are broadcast.  Languages with over a thousandth of all documents have their tables broadcast, which bounds them;
-texts of the others, if any, are joined by language.
+Hashes of large groups of copies, fewer than a thousand, are broadcast, and so are the tables of
+languages with over a thousandth of all documents; texts of other languages, if any, are joined by
+language.
 
 Null, empty and repeated: a null text is an empty one, has no words and fails; equal words in equally
 many documents are ranked by text; rows are judged each for itself, repeated or not, and count

@@ -8,13 +8,14 @@ and under every one that differs in ``FLIPS`` bits, so that two such vectors sha
 Pairs that meet and differ in no more bits than pairs at the threshold do are compared by cosine
 of the original vectors in double precision; only those at the threshold or above are links.
 
-Length and number of substrings follow from the data and their number.  Pairs at the threshold
-are made from the sample.  For every length the tables are counted that make ``RECALL`` of them meet; a
-longer substring needs more tables but lets fewer strangers meet.  Of all lengths that with the least
-work is taken, where work is entries plus chance meetings, n times the chance that random
+Length and number of substrings follow from the data and their number.  Pairs at the threshold are
+made from the sample.  For every length the tables are counted that make ``RECALL`` of them meet;
+a longer substring needs more tables but lets fewer strangers meet.  Of all lengths that with the
+least work is taken, where work is entries plus chance meetings, n times the chance that random
 substrings meet.  So substrings lengthen with log2(n), and the strangers a vector meets grow far
-slower than n (13, 54 and 260 at a background cosine of 0 and 10^4, 10^6 and 10^8 vectors).  Where vectors share a direction, pairs at the threshold are not much closer than
-any others; then substrings are short and many meet, by the same rule and the same path.
+slower than n (13, 54 and 260 at a background cosine of 0 and 10^4, 10^6 and 10^8 vectors).  Where
+vectors share a direction, pairs at the threshold are not much closer than any others; then
+substrings are short and many meet, by the same rule and the same path.
 
 Scale.  Equal vectors are one class from the start.  Every pair has one place, the least entry
 they share in their first common table, where it is counted; an entry with more than ``BLOCK``

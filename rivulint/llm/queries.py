@@ -102,8 +102,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_templates, op2_token_records, op3_contamination, op4_simhash_groups, op6_shuffled_shards, op7_near_vectors,
-        op5_toxicity, op8_url_verdicts, op9_language, op10_curve_packing,
+        op1_line_templates, op2_token_records, op3_contamination, op4_simhash_groups,
+        op6_shuffled_shards, op7_near_vectors, op5_toxicity, op8_url_verdicts, op9_language, op10_curve_packing,
         op11_divergence_rules, op12_feast_whitening, op13_conversation_repair)
 }
 ORACLES: dict[str, str] = {
