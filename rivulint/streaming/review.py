@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from rivulint.operators.context import likely_among
 from rivulint.operators.duplicates import shared_name_findings, written
 from rivulint.operators.errors import review_read_errors
-from rivulint.operators.file_checks import DEFINITION
 from rivulint.plans.profiles import Reviewed, definitions_of, review_hits, reviewed
 from rivulint.schema import FINDING_FIELDS
 from rivulint.session import shared_dir
