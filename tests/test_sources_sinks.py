@@ -195,6 +195,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sum(have.values()) == sum(want.values())
 
 
+def test_tables_stream_as_one_file_or_as_a_folder(spark, tmp_path):
+    """A table of part files gives the same rows as one of a single file."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    want = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    want.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (SMALL, str(tmp_path)):
+        stream = feeds.table_stream(spark, f"{folder}/documents.parquet", schema)
+        have = feeds.drained(stream.select("doc_id", "text"))
+        assert Counter(map(tuple, have.collect())) == Counter(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_stream_without_data_gives_no_rows(spark, tmp_path, mode):
+    (tmp_path / "in").mkdir()
+    stream = feeds.corpus_stream(spark, f"{tmp_path}/in", "path string, n int")
+    rows = feeds.running_counts(stream, "path") if mode == "complete" else stream
+    assert feeds.drained(rows, mode=mode).count() == 0
+
+
 def test_stream_lets_a_file_pass_once(spark, tmp_path):
     rows = [("a.py", "eval(1)", "2024-01-01 00:00:00"), ("a.py", "eval(1)", "2024-01-01 00:05:00"),
             ("b.py", "eval(1)", "2024-01-01 00:01:00")]
