@@ -38,9 +38,10 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = SEED,
                  bucket_bytes: int = BUCKET_BYTES) -> None:
     """Write the shuffled documents as Parquet, one folder per shard, each file in slot order.
 
-    The texts are shuffled once.  Buckets are counted over a hash per row; the bases of the
-    buckets, one row each, reach them by the same partitioning as the documents (cogroup), so
-    nothing is broadcast.
+    The texts are shuffled once.  Buckets are counted over a hash per row; their bases, one row
+    for each bucket, are broadcast.  Spark sorts a task's buckets into their canonical order, so
+    that the function sees them batch by batch and holds no text but a batch's, only the
+    shuffled places of the bucket it is at.
     """
     total = docs.agg(F.count(F.lit(1)), F.sum(_size())).first()
     rows, buckets = total[0], max(1, -(-(total[1] or 0) // bucket_bytes))
@@ -48,30 +49,41 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = SEED,
         "_deal", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
     dealt = dealt.withColumn("_bucket", F.pmod(F.col("_deal"), F.lit(buckets)))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).select(
-        "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()),
                            T.StructField("slot", T.LongType())])
     names = docs.columns
 
-    def shuffled(key: tuple, bucket: pa.Table, base: pa.Table) -> pa.Table:
-        deals, doc_ids = bucket.column("_deal").to_numpy(), bucket.column("doc_id")
-        known = pc.fill_null(doc_ids.cast(pa.int64()), 0).to_numpy()
-        order = np.lexsort((known, deals))
-        # permutation() is a Fisher-Yates shuffle of the places.
-        order = order[np.random.default_rng([seed, key[0].as_py()]).permutation(len(order))]
-        rank = base.column("base")[0].as_py() + np.arange(len(order))
-        shard = (rank * shards + shards - 1) // rows
-        shard = np.where(shard * rows // shards > rank, shard - 1, shard)
-        shard = np.where((shard + 1) * rows // shards <= rank, shard + 1, shard)
-        slot = rank - shard * rows // shards
-        out = bucket.take(pa.array(order)).select(names)
-        return out.append_column("shard", pa.array(shard.astype("int32"))).append_column(
-            "slot", pa.array(slot.astype("int64")))
-
-    grouped = dealt.groupBy("_bucket").cogroup(bases.groupBy("_bucket")).applyInArrow(
-        shuffled, schema)
-    grouped.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, at, places = None, 0, None
+        for batch in batches:
+            numbers, counts, bases = (batch.column(c).to_numpy()
+                                      for c in ("_bucket", "_rows", "_base"))
+            rank = np.empty(batch.num_rows, dtype=np.int64)
+            starts = np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1))
+            for start, end in zip(starts, [*starts[1:], len(numbers)]):
+                if numbers[start] != bucket:
+                    bucket, at = numbers[start], 0
+                    # permutation() is a Fisher-Yates shuffle of the places.
+                    order = np.random.default_rng([seed, int(bucket)]).permutation(counts[start])
+                    places = np.empty_like(order)
+                    places[order] = np.arange(len(order))
+                rank[start: end] = bases[start] + places[at: at + end - start]
+                at += end - start
+            shard = (rank * shards + shards - 1) // rows
+            shard = np.where(shard * rows // shards > rank, shard - 1, shard)
+            shard = np.where((shard + 1) * rows // shards <= rank, shard + 1, shard)
+            slot = rank - shard * rows // shards
+            out = batch.select(names)
+            yield pa.RecordBatch.from_arrays(
+                [*out.columns, pa.array(shard.astype("int32")), pa.array(slot)],
+                names=[*names, "shard", "slot"])
+
+    ordered = dealt.join(F.broadcast(bases), "_bucket").repartition("_bucket").sortWithinPartitions(
+        "_bucket", "_deal", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    ordered.mapInArrow(placed, schema).sortWithinPartitions("shard", "slot").write.partitionBy(
+        "shard").parquet(path)
 
 
 def shard_documents(docs: DataFrame, shards: int, seed: int = SEED) -> DataFrame:

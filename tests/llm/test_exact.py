@@ -207,6 +207,25 @@ def test_shards_in_many_buckets_with_nulls_copies_and_clashing_names(spark, tmp_
     assert sharding.shard_documents(documents(spark, []), 5).count() == 0
 
 
+def test_shards_take_buckets_batch_by_batch(spark, tmp_path, monkeypatch):
+    """No cogroup, which would hold a bucket whole, and the same places however rows are batched."""
+    grouped = type(documents(spark, []).groupBy("doc_id"))
+    monkeypatch.setattr(grouped, "cogroup", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        docs = documents(spark, [f"text {i}" for i in range(300)])
+        path = str(tmp_path / "shards")
+        def write(bucket_bytes, to):
+            sharding.write_shards(docs, to, 5, bucket_bytes=bucket_bytes)
+            return {(r.doc_id, r.shard, r.slot) for r in spark.read.parquet(to).collect()}
+
+        rows = write(1 << 20, path)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert rows == write(1 << 20, path + "-one-batch") and len(rows) == 300
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # --- SimHash -------------------------------------------------------------------------------
 
 def plain_components(values, near):
