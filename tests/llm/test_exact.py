@@ -708,6 +708,39 @@ def test_toxicity_of_made_texts(spark):
     assert toxicity_cnn.toxicity(docs.where("false"), marks).count() == 0
 
 
+def test_every_labelled_text_teaches(spark, monkeypatch):
+    """No sample: more rows of a label than there once were drawn, and a long text."""
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(
+        F.col("id") == 7, F.repeat(F.lit("long "), 50_000)).otherwise(
+        F.concat(F.lit("text "), "id")).alias("text"), F.lit("x").alias("lang"))
+    marks = docs.select("doc_id", (F.col("doc_id") < 20).cast("int").alias("toxic"))
+    got = []
+    monkeypatch.setattr(toxicity_cnn, "train", lambda rows, weight: got.append((rows, weight)))
+    toxicity_cnn.learn(docs, marks, folds=1, held=1)
+    (rows, weight), = got
+    assert len(rows) == 3_000 and weight == 1 and max(len(r[0]) for r in rows) == 250_000
+
+
+def test_toxicity_learned_in_parts(spark, monkeypatch):
+    """Rows in parts and texts in chunks; the same model whenever it is learned."""
+    monkeypatch.setattr(toxicity_cnn, "PART_ROWS", 150)
+    monkeypatch.setattr(toxicity_cnn, "train", None)
+    rng = np.random.default_rng(5)
+    words = np.array([hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(300)])
+    texts = [" ".join([*rng.choice(words, rng.integers(3, 60)), *["vile"] * (i % 4 == 0)])
+             for i in range(1_200)] + ["", "calm " * 60_000 + "vile"]
+    docs = documents(spark, texts, lang=["x", "y"] * 601)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1_201)] + [(1_201, 1)],
+                                  "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity_cnn.toxicity(docs, marks).collect()}
+    held = [i for i in range(1_200) if rows[i].held_out]
+    assert sum(rows[i].predicted == (i % 4 == 0) for i in held) >= 0.97 * len(held)
+    again = {r.doc_id: r for r in toxicity_cnn.toxicity(docs.repartition(5), marks).collect()}
+    assert all(abs(rows[i].score - again[i].score) < 1e-3 for i in rows)
+    # One label to train on: nothing to tell apart.
+    assert toxicity_cnn.learn(docs, marks.where("toxic = 0")) is None
+
+
 def test_scores_of_parts_are_those_of_the_whole(monkeypatch):
     model = toxicity_cnn._Model(2)
     rng = np.random.default_rng(6)
