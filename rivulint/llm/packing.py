@@ -68,25 +68,48 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return number
 
 
+def summer(size: int = 1 << 16):
+    """A function that gives the summed projections of arrays of token ids, a row for each."""
+    sent = projection(size).astype("float64").T.copy()
+
+    def summed(arrays: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        out, begin = np.empty((len(arrays), len(sent))), 0
+        while begin < len(arrays):
+            # So many texts as have about a million tokens, and one in any case.
+            end, held = begin, 0
+            while end < len(arrays) and (end == begin or held + lengths[end] <= 1 << 20):
+                held += lengths[end]
+                end += 1
+            ids = np.concatenate(arrays[begin: end])
+            ids = ids if ids.itemsize == 2 else ids & (size - 1)
+            starts = np.cumsum(lengths[begin: end]) - lengths[begin: end]
+            for d, column in enumerate(sent):
+                out[begin: end, d] = np.add.reduceat(column.take(ids), starts)
+            begin = end
+        return out
+
+    return summed
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """row, doc_id, ids (bytes), width, n_tokens and the projected vector of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end_id)
+        encode, summed = encoder(tokenizer, end_id), summer()
         size = int(encode.width[-1])
-        sent = projection(1 << 16)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for at in range(0, len(texts), 256):
                 ids = [encode.encode(t.as_py()) for t in texts.slice(at, 256)]
                 arrays = [np.frombuffer(b, encode.width) for b in ids]
-                vectors = [sent[a & 0xFFFF].sum(0, dtype="float64") / np.sqrt(len(a))
-                           for a in arrays]
+                lengths = np.array([len(a) for a in arrays])
+                vectors = summed(arrays, lengths) / np.sqrt(lengths)[:, None]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(at, 256), batch.column("doc_id").slice(at, 256),
                      pa.array(ids, pa.binary()), pa.array([size] * len(ids), pa.int32()),
-                     pa.array([len(a) for a in arrays], pa.int64()),
-                     pa.array([v.tolist() for v in vectors], pa.list_(pa.float64()))],
+                     pa.array(lengths, pa.int64()),
+                     pa.ListArray.from_arrays(
+                         np.arange(len(ids) + 1, dtype="int32") * DIMENSIONS, vectors.ravel())],
                     names=["row", "doc_id", "ids", "width", "n_tokens", "vector"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"),

@@ -17,7 +17,7 @@ import numpy as np
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def _is_word_level(described: dict) -> bool:

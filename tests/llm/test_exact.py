@@ -173,6 +173,17 @@ def test_hilbert_neighbours_differ_by_one_step(dimensions, bits):
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_vectors_of_many_texts_at_once():
+    """Sums over texts of one to a million tokens are those of each text alone."""
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 7, 1 << 20, 300, (1 << 20) + 5, 2])
+    for width in ("<u2", "<u4"):
+        arrays = [rng.integers(0, 49_000, n).astype(width) for n in lengths]
+        sent = packing.projection(1 << 16)
+        alone = np.array([sent[a].sum(0, dtype="float64") for a in arrays])
+        assert np.allclose(packing.summer()(arrays, lengths), alone, atol=1e-8, rtol=0)
+
+
 # --- shards --------------------------------------------------------------------------------
 
 def test_shards_of_all_documents(spark):
