@@ -138,3 +138,39 @@ def test_every_match_holds_a_literal(pattern, text, other):
     for subject in (text, other, text + other):
         if literals and compiled.search(subject):
             assert any(x in subject.lower() for x in literals), (pattern, subject, literals)
+
+
+def test_rules_with_alternatives_in_common(spark, corpus):
+    """Shared alternatives are searched once a line, plain ones as text; hits are those of the
+    patterns as they stand, also in the index."""
+    from rivulint.functions.dialect import alternatives, plain_text
+    from rivulint.operators.line_rules import exact_matches
+
+    assert alternatives(r"a[|]b|c\|d|(e|f)|g") == ["a[|]b", r"c\|d", "(e|f)", "g"]
+    for whole in (r"(?i)a|b", r"(a)|b\1", r"\Qa|b\E", "[]|]a|b", "ab"):
+        assert alternatives(whole) == [whole]
+    assert [plain_text(p) for p in (r"\(5\)", "a b", "a.b", r"a\b", "", r"\\d")] == [
+        "(5)", "a b", None, None, None, "\\d"]
+    patterns = [r"[a-z]{3}\b|\(1\)", r"[a-z]{3}\b|\(2\)", r"\d{2}|\(3\)", r"x|", r"\(1\)|\.\.", "a|b"]
+    rules = [LineRule(f"Z-{i}", ("Java",), None, p, "low", "T", "C", f"m{i}", "r")
+             for i, p in enumerate(patterns)]
+    searches, _ = exact_matches(rules)
+    assert len(searches) == 1
+    lines = ["abc", "A (1)", "(2) 1", "(3", "7 77", "..", "", "é (1)", "ABC.", "b"]
+    files = corpus(("f.java", "\n".join(lines)))
+    table = rule_tables.rule_table(spark, rules)
+    want = {(n + 1, f"Z-{i}") for n, line in enumerate(lines) for i, p in enumerate(patterns)
+            if re.search(p, line)}
+    for indexed_from in (500, 0):
+        found = rule_tables.table_findings(files, table, indexed_from=indexed_from)
+        assert {(r.line, r.rule_id) for r in found.collect()} == want
+
+
+def test_whole_words_inside_others_are_no_candidates():
+    """Neighbours of ASCII settle that a word is part of another; any others go to the pattern."""
+    from rivulint.operators.rule_index import _automaton, _candidates
+
+    held = _automaton({"abc": ([1], []), "bcd": ([], [2])})
+    text = "xabc\nabc\nabcd abc_ (abc)\néabc\nabc1\nABC."
+    assert [(line, numbers) for line, _, numbers in _candidates(text, held, [])] == [
+        (2, [1]), (3, [1, 2]), (4, [1]), (6, [1])]
