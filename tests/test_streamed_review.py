@@ -1,10 +1,13 @@
 """Review of a stream: many batches, replays, files that arrive again."""
 
+import glob
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from rivulint.checks import queries
 from rivulint.operators.duplicates import duplicate_function_findings
 from rivulint.plans import profiles
 from rivulint.schema import FINDING_FIELDS
@@ -105,3 +108,34 @@ def test_audit_on_a_stream(spark):
     frame(spark, FIRST).write.parquet(source)
     stream = feeds.streamed_audit(feeds.corpus_stream(spark, source, FILES))
     assert rows_of(feeds.drained(stream)) == rows_of(profiles.audit(frame(spark, FIRST)))
+
+
+def test_arriving_files_are_read_by_several_tasks(spark, tmp_path):
+    """One file of some MB has several row groups, so that a batch of it is no single task."""
+    words = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 256) for k in range(16)])
+    files = spark.range(0, 24_000, 1, 1).select(
+        F.col("id").cast("string").alias("path"), words.alias("content"))
+    feeds.write_arriving(files, f"{tmp_path}/in")
+    (one,) = tmp_path.glob("in/*.parquet")
+    assert pq.ParquetFile(one).num_row_groups > 1
+
+
+def test_larger_corpora_arrive_in_more_files(spark, monkeypatch):
+    seen, stream = {}, feeds.corpus_stream
+
+    def watched(spark, folder, schema, files_per_trigger):
+        seen["files"], seen["batch"] = len(glob.glob(f"{folder}/*.parquet")), files_per_trigger
+        return stream(spark, folder, schema, files_per_trigger)
+
+    monkeypatch.setattr(feeds, "corpus_stream", watched)
+    small = {"spark.sql.files.maxPartitionBytes": "10000", "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in small}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        store = queries._review_store(spark, "/root/testdata/sf0.001")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert seen["files"] > queries.STREAMED_FILES and seen["batch"] * 3 >= seen["files"]
+    assert store.hits().select("batch").distinct().count() == 3
