@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 
 import numpy as np
 
@@ -17,7 +18,8 @@ import numpy as np
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
-REMEMBERED = 800_000
+# Words remembered at a time; as many again from before are kept for those that come back.
+REMEMBERED = 500_000
 
 
 def _is_word_level(described: dict) -> bool:
@@ -38,32 +40,48 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """word (bytes) -> ids as little-endian bytes; forgets all when it is full."""
+    """word (bytes) -> ids as little-endian bytes; when full, forgets what was long not met."""
 
     def __init__(self, tokenizer, width: str):
         self.tokenizer, self.width = tokenizer, width
         self.model, self.letters = tokenizer.model, str.maketrans(_byte_letters())
         self.ends: dict[int, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.code = {"<u2": "H", "<u4": "I"}[width]
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self._ids(word)
+        ids = self.before.get(word) or self._ids(word)
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.width).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _with_end(self, word: bytes) -> bytes:
+        end = self.ends.get(word[-1])
+        if end is None:
+            end = self.ends[word[-1]] = self._packed(
+                self.tokenizer.encode(chr(word[-1]), add_special_tokens=False).ids)
+        return self[word[:-1]] + end
 
     def _ids(self, word: bytes) -> bytes:
+        # ASCII letters, by far the most, need no decoding: vocabularies write them as they are.
+        if word.isalpha():
+            low = word.lower()
+            if low != word:
+                return self[low]
+            return self._packed([t.id for t in self.model.tokenize(word.decode("ascii"))])
         # A full stop or comma after a letter is always a piece of its own.
+        if word[-1] in b".," and word[-2:-1].isalpha():
+            return self._with_end(word)
         text = word.decode("utf-8", "replace")
-        if len(text) > 1 and text[-1] in ".," and text[-2].isalpha() and text[-2] < "ɐ":
-            end = self.ends.get(word[-1])
-            if end is None:
-                end = self.ends[word[-1]] = self._packed(
-                    self.tokenizer.encode(chr(word[-1]), add_special_tokens=False).ids)
-            return self[word[:-1]] + end
+        # (Not after U+0130, whose lower case ends in a combining dot.)
+        if (len(text) > 1 and text[-1] in ".," and text[-2].isalpha() and text[-2] < "ɐ"
+                and text[-2] != "\u0130"):
+            return self._with_end(word)
         # Letters below U+0100 are composed and have a lower case of one letter: one piece.
         if text.isalpha() and max(text) < "Ā":
             low = text.lower()

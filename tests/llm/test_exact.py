@@ -765,3 +765,23 @@ def test_scores_of_parts_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(toxicity_cnn, "PART", 40)
     monkeypatch.setattr(toxicity_cnn, "REMEMBERED", 60)
     assert np.allclose(toxicity_cnn.Scorer(model).score(texts)[0], whole, atol=1e-5)
+
+
+def test_words_that_come_back_are_encoded_once(monkeypatch):
+    """Forgetting drops words that were not met for long, and none that every text has."""
+    monkeypatch.setattr(word_tokens, "REMEMBERED", 30)
+    encode, whole = word_tokens.TextEncoder(VOCABULARY, 2), Tokenizer.from_file(VOCABULARY)
+    sought, ids_of = [], encode.words._ids
+    monkeypatch.setattr(encode.words, "_ids", lambda word: sought.append(word) or ids_of(word))
+    for n in range(40):
+        text = f"Common, common word{n} n{n}. été É{n} ende. Ünder, a.b x,y"
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert encode.encode(text.encode()) == np.array([*ids, 2], encode.width).tobytes()
+    assert sought.count(b"common") == 1 and len(sought) > 100
+
+
+def test_full_stop_after_a_letter_with_a_dot_of_its_own():
+    encode, whole = word_tokens.TextEncoder(VOCABULARY, 2), Tokenizer.from_file(VOCABULARY)
+    for text in ("\u0130.", "Z\u0130, a", "\u0130a."):
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert encode.encode(text.encode()) == np.array([*ids, 2], encode.width).tobytes()
