@@ -15,8 +15,9 @@ from rivulint.operators.errors import review_read_errors, scan_read_errors
 from rivulint.plans import profiles
 from rivulint.rules.fixed_values import SCAN_PRUNED_DIRS
 from rivulint.schema import as_findings
+from rivulint.session import CORPUS_PARTITIONS
 from rivulint.sinks import reports
-from rivulint.sources.corpus import code_files, table_corpus
+from rivulint.sources.corpus import code_files, spread_code_files, table_corpus
 from rivulint.sources.json_items import json_items
 from rivulint.sources.tool_reports import read_bandit, read_pylint
 from rivulint.sources.tree import list_tree, read_tree, tree_corpus
@@ -315,3 +316,16 @@ def test_a_file_that_is_gone_when_it_is_read(spark, tmp_path):
             names, root=root if "://" in root else "").collect()}
         assert rows["a.py"] == (b"eval(1)", None) and rows["gone.py"][0] is None
         assert "gone.py" in rows["gone.py"][1]
+
+
+def test_corpus_of_one_row_group_is_dealt_over_all_cores(spark):
+    setting = spark.conf.get(CORPUS_PARTITIONS)
+    spark.conf.unset(CORPUS_PARTITIONS)
+    try:
+        files = spread_code_files(spark, SMALL)
+        tasks = files.select(F.spark_partition_id().alias("task")).distinct().count()
+        assert tasks > spark.sparkContext.defaultParallelism
+        assert Counter(map(tuple, files.collect())) == Counter(
+            map(tuple, code_files(spark, SMALL).collect()))
+    finally:
+        spark.conf.set(CORPUS_PARTITIONS, setting)
