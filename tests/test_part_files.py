@@ -9,6 +9,7 @@ from rivulint.checks.queries import ORACLES, QUERIES
 SMALL = "/root/testdata/sf0.001"
 STREAMS = [
     "str2_running_severity",
+    "str4_stream_errors",
 ]
 
 
