@@ -10,6 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 STREAMS = [
     "str2_running_severity",
     "str4_stream_errors",
+    "str3_stream_dedup",
 ]
 
 
