@@ -11,6 +11,7 @@ STREAMS = [
     "str2_running_severity",
     "str4_stream_errors",
     "str3_stream_dedup",
+    "str3_once_per_file",
 ]
 
 
