@@ -12,6 +12,7 @@ STREAMS = [
     "str4_stream_errors",
     "str3_stream_dedup",
     "str3_once_per_file",
+    "str1_streamed_findings",
 ]
 
 
