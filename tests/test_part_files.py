@@ -8,11 +8,8 @@ from rivulint.checks.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 STREAMS = [
-    "str2_running_severity",
-    "str4_stream_errors",
-    "str3_stream_dedup",
-    "str3_once_per_file",
-    "str1_streamed_findings",
+    "str2_running_severity", "str4_stream_errors", "str3_stream_dedup", "str3_once_per_file",
+    "str1_streamed_findings", "str1_streamed_checks",
 ]
 
 
