@@ -43,3 +43,9 @@ def test_stream_of_files_of_no_known_source(spark, tmp_path):
     name = "str4_stream_errors"
     con = _without(spark, tmp_path, "source")
     assert difference(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_stream_over_missing_texts(spark, tmp_path, name):
+    con = _without(spark, tmp_path, "text")
+    assert difference(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name]) is None
